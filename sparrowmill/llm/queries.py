@@ -6,10 +6,28 @@ from collections.abc import Callable
 
 from pyspark.sql import DataFrame, SparkSession
 
+from . import bpe, packing
+from .chat import op7_chat
 from .common import table
 from .exact_dedup import exact_duplicates
+from .fingerprint import op8_fingerprints
+from .html_wrapper import op3_html_extraction
 from .langid import op1_language_id
 from .minhash import near_duplicates
+from .quality import op5_quality
+from .url_rules import op9_url_filter
+
+
+def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+
+
+def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
+    import public_tokenizers
+
+    return bpe.round_trip_digests(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -23,7 +41,14 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
+        "op2_packing": op2_packing,
+        "op3_html_extraction": op3_html_extraction,
         "op4_exact_dedup": op4_exact_dedup,
+        "op5_quality": op5_quality,
+        "op6_byte_bpe": op6_byte_bpe,
+        "op7_chat": op7_chat,
+        "op8_fingerprints": op8_fingerprints,
+        "op9_url_filter": op9_url_filter,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
     }
 
