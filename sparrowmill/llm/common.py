@@ -2,13 +2,14 @@
 
 from __future__ import annotations
 
-import uuid
 from collections.abc import Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from ..plans.storage import materialize  # noqa: F401  (for the operators beside)
+
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 SLICE_BYTES = 2 << 20
 #: Rows in an Arrow batch. Texts are of any length, so batches are kept short.
@@ -26,22 +27,6 @@ def short_batches(spark: SparkSession) -> None:
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))
 
 
-def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests), one of our own."""
-    folder = spark.conf.get("spark.checkpoint.dir", None)
-    if not folder:
-        folder = "/tmp/sparrowmill-checkpoints"
-    return folder.rstrip("/")
-
-
-def materialize(frame: DataFrame) -> DataFrame:
-    """Write frame once to the shared folder and read it back: lineage ends in replicated files."""
-    spark = frame.sparkSession
-    path = f"{shared_folder(spark)}/sparrowmill-{uuid.uuid4().hex}"
-    frame.write.parquet(path)
-    return spark.read.schema(frame.schema).parquet(path)
-
-
 def crc_of_id(col: str = "doc_id") -> Column:
     """crc32 of the decimal id; a null id counts as an empty text."""
     return F.crc32(F.coalesce(F.col(col).cast("string"), F.lit("")).cast("binary"))

@@ -22,9 +22,9 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
+from ..operators.graph import components
 from . import flattext as ft
 from .common import materialize, rebatch, short_batches, slices
-from .graph import components
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
@@ -106,8 +106,12 @@ def _full_sets(size: int):
 
 def _stars(members: DataFrame, salt: int) -> DataFrame:
     """Candidate (a, b): in each bucket of (rep, bucket, component) one centre, drawn by hash,
-    with every member of another component than its own."""
-    drawn = F.struct(F.xxhash64("rep", "bucket", F.lit(salt)), "rep", "component")
+    with every member of another component than its own.
+
+    The draw is the same in all buckets, so the buckets of a group of near copies have few
+    centres between them, and their candidates fall together.
+    """
+    drawn = F.struct(F.xxhash64("rep", F.lit(salt)), "rep", "component")
     centres = members.groupBy("bucket").agg(F.min(drawn).alias("c")).select("bucket", F.col("c.rep").alias("centre"), F.col("c.component").alias("its"))
     pairs = members.join(centres, "bucket").where("component <> its")
     return pairs.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()

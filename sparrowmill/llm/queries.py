@@ -63,10 +63,10 @@ def oracle_sql() -> dict[str, str]:
         """,
         "op10_minhash_near_dedup": r"""
             WITH RECURSIVE w AS (
-                SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), x -> x <> '') AS words FROM documents),
+                SELECT doc_id, list_filter(string_split_regex(translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz'), '[\x20\x09-\x0D]+'), lambda x: x <> '') AS words FROM documents),
             s AS (
                 SELECT doc_id, unnest(CASE WHEN len(words) = 0 THEN [] WHEN len(words) < 5 THEN [array_to_string(words, ' ')]
-                    ELSE list_distinct(list_transform(range(1, len(words) - 3), i -> array_to_string(words[i:i+4], ' '))) END) AS g FROM w),
+                    ELSE list_distinct(list_transform(range(1, len(words) - 3), lambda i: array_to_string(words[i:i+4], ' '))) END) AS g FROM w),
             n AS (SELECT w.doc_id, count(s.g) AS n_shingles FROM w LEFT JOIN s ON w.doc_id = s.doc_id GROUP BY w.doc_id),
             sets AS (SELECT doc_id, md5(string_agg(g, chr(31) ORDER BY g)) AS k, count(*) AS n FROM s GROUP BY doc_id),
             reps AS (SELECT k, min(doc_id) AS rep, min(n) AS n FROM sets GROUP BY k),
