@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flattext as ft
-from .common import crc_of_id, rebatch, short_batches, slices, table, text_list, uniform
+from .common import crc_of_id, rebatch, short_batches, slices, spread, table, text_list, uniform
 
 ORDER = 4
 #: Bounds of the labelled sample: expected documents of each language for counts, and as many more to calibrate.
@@ -329,7 +329,7 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
 
 def op1_language_id(spark, sf_dir):
     """The language of every document; rows with crc32(doc_id) mod 4 = 2 are held out."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text", "lang")
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))
     held_out = F.pmod(crc_of_id(), F.lit(4)) == 2
     model = train(docs.where(~held_out))
     return identify(docs.select("doc_id", "text"), model).withColumn("held_out", F.pmod(crc_of_id(), F.lit(4)) == 2)

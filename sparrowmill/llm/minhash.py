@@ -138,8 +138,9 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5,
     Texts are linked where 100 * |intersection| >= percent * |union| of their shingle sets;
     component_id is the least doc_id reachable over links, kept is doc_id = component_id.
     Null or blank text: no shingles, linked with nothing. Null doc_id: never linked,
-    component_id null, kept. Rows that repeat a doc_id are judged each by its own text; equal
-    sets are one class. No rows: no rows. Other columns of ``docs`` are ignored.
+    component_id null, kept. Equal sets are one class. doc_id should be unique: rows that repeat
+    one are one node of the graph, for which one of their texts is confirmed. No rows: no rows.
+    Other columns of ``docs`` are ignored.
     """
     short_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))

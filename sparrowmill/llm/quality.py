@@ -18,7 +18,7 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flattext as ft
-from .common import crc_of_id, rebatch, short_batches, slices, table
+from .common import crc_of_id, rebatch, short_batches, slices, spread, table
 
 PASSAGE_WORDS = 48
 #: Bound of the labelled sample: at most so many documents, drawn by a hash of doc_id.
@@ -228,7 +228,7 @@ def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFr
 
 def op5_quality(spark, sf_dir):
     """Quality scores of all documents; rows with crc32(doc_id) mod 5 = 0 are held out."""
-    docs = table(spark, sf_dir, "documents", "doc_id", "text")
+    docs = spread(table(spark, sf_dir, "documents", "doc_id", "text"))
     labels = table(spark, sf_dir, "labels", "doc_id", "quality")
     net = train(docs, labels.where(F.pmod(crc_of_id(), F.lit(5)) != 0))
     return score(docs, net).withColumn("held_out", F.pmod(crc_of_id(), F.lit(5)) == 0)

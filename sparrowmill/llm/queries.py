@@ -8,7 +8,7 @@ from pyspark.sql import DataFrame, SparkSession
 
 from . import bpe, packing
 from .chat import op7_chat
-from .common import table
+from .common import spread, table
 from .exact_dedup import exact_duplicates
 from .fingerprint import op8_fingerprints
 from .html_wrapper import op3_html_extraction
@@ -21,13 +21,13 @@ from .url_rules import op9_url_filter
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return packing.pack(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("word_bpe_49k.json"))
+    return packing.pack(spread(table(spark, sf_dir, "documents", "doc_id", "text")), public_tokenizers.path("word_bpe_49k.json"))
 
 
 def op6_byte_bpe(spark: SparkSession, sf_dir: str) -> DataFrame:
     import public_tokenizers
 
-    return bpe.round_trip_digests(table(spark, sf_dir, "documents", "doc_id", "text"), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
+    return bpe.round_trip_digests(spread(table(spark, sf_dir, "documents", "doc_id", "text")), public_tokenizers.path("byte_bpe_50k.tiktoken"), public_tokenizers.PATTERN)
 
 
 def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -35,7 +35,7 @@ def op4_exact_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
 
 
 def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
-    return near_duplicates(table(spark, sf_dir, "documents", "doc_id", "text"))
+    return near_duplicates(spread(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:

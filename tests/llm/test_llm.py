@@ -443,3 +443,22 @@ def test_pipeline_keeps_clean_rows_and_drops_copies(spark, data):
             assert new == {c for _, c in plain_near(list(old.items())).values()}
         docs = after
     assert crc_of_id is not None and duckdb is not None
+
+
+def test_pipeline_stages_on_edges(spark, edge, empty, tmp_path):
+    corpus_pipeline = pytest.importorskip("corpus_pipeline")
+    spark.createDataFrame([(4, 1, None), (None, 0, 1)], "doc_id long, quality int, toxic int").write.parquet(str(tmp_path / "labels.parquet"))
+    for docs in (edge, empty):
+        docs = docs.withColumn("source", F.lit("s")).withColumn("n_chars", F.length("text")).withColumn("kept", F.lit("clash")).withColumn("component", F.lit("clash"))
+        n = docs.count()
+        for name, stage in corpus_pipeline.STAGES:
+            out = stage(spark, docs, str(tmp_path))
+            assert out.count() <= n if name != "packing" else out.count() >= n
+            assert name == "packing" or out.columns == docs.columns
+
+
+def test_urls_of_edges(spark):
+    rows = [(1, None), (1, None), (None, "http://x.org/"), (2, ""), (3, "http://"), (4, "http://a.com/de/" + "x" * 50_000), (5, "HTTP://A.COM/de/?q=1&q=2#f")]
+    pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("label", F.lit("clash")).withColumn("host", F.lit("clash"))
+    got = url_rules.judge(pages).collect()
+    assert len(got) == 7 and [r["verdict"] for r in got if r["page_id"] in (4, 5)] == ["block", "block"] and {r["host"] for r in got if r["page_id"] == 1} == {""}
