@@ -739,3 +739,147 @@ def pricing_summary(t):
 def segment_totals(t):
     rows = t.orders.join(t.customer, F.col("c_custkey") == F.col("o_custkey")).join(t.nation, F.col("c_nationkey") == F.col("n_nationkey"))
     return rows.groupBy("c_mktsegment", "n_name").agg(F.count("*").alias("orders"), F.round(F.sum("o_totalprice"), 2).alias("total"))
+
+
+# -- more of the same operators -------------------------------------------------------------------
+@query("""WITH d AS (SELECT event_type AS k, event_id // 50 AS pos, avg(value) AS v FROM events GROUP BY 1, 2), z AS (SELECT k, pos, (v - avg(v) OVER (PARTITION BY k)) / greatest(stddev_pop(v) OVER (PARTITION BY k), 1e-9) AS x FROM d),
+    c AS (SELECT a.k, l.lag, round(avg(a.x * b.x), 6) AS score FROM z a, (SELECT unnest(generate_series(-5, 5)) AS lag) l, z b WHERE a.k = b.k AND b.pos = a.pos + l.lag GROUP BY 1, 2),
+    r AS (SELECT *, row_number() OVER (PARTITION BY k ORDER BY score DESC, abs(lag), lag) AS n FROM c) SELECT a.k, a.lag, a.score, round(b.score, 6) AS runner_up FROM r a JOIN r b ON a.k = b.k AND a.n = 1 AND b.n = 2""")
+def curve_peak(t):
+    d = t.events.groupBy(F.col("event_type").alias("k"), F.floor(F.col("event_id") / 50).alias("at")).agg(F.avg("value").alias("v"))
+    curve = signals.correlation_curve(d, d, ["k"], "at", "v", 5).withColumn("score", F.round("score", 6))
+    return signals.curve_peak(curve, ["k"]).select("k", F.col("lag").cast("bigint").alias("lag"), "score", F.round("runner_up", 6).alias("runner_up"))
+
+
+TRACKED = "t AS (SELECT label AS video, vec_id % 3 AS track, vec_id AS frame, embedding[1]::DOUBLE * 100 AS x, embedding[2]::DOUBLE * 100 AS y, embedding[3]::DOUBLE AS opening, abs(embedding[4]::DOUBLE) * 1000 AS area, embedding[5]::DOUBLE AS yaw FROM embeddings)"
+
+
+def _tracked(t: Tables) -> DataFrame:
+    e = lambda i: F.get("embedding", F.lit(i)).cast("double")
+    return t.embeddings.select(F.col("label").alias("video"), (F.col("vec_id") % 3).alias("track"), F.col("vec_id").alias("frame"), (e(0) * 100).alias("x"), (e(1) * 100).alias("y"), e(2).alias("opening"), (F.abs(e(3)) * 1000).alias("area"), e(4).alias("yaw"))
+
+
+SCORED = f"""WITH {TRACKED}, m AS (SELECT *, CASE WHEN frame - lag(frame) OVER w <= 2 THEN abs(opening - lag(opening) OVER w) END AS move FROM t WINDOW w AS (PARTITION BY video, track ORDER BY frame)),
+    r AS (SELECT video, track, count(*) AS frames, count(*) / 500.0 AS coverage, median(area) AS area, coalesce(median(move), 0) AS motion, greatest(0, 1 - 2 * sqrt(pow(median(x) - 320, 2) + pow(median(y) - 240, 2)) / 800) AS center FROM m GROUP BY 1, 2),
+    s AS (SELECT *, 0.5 * coverage + 0.35 * CASE WHEN max(motion) OVER v > 1e-7 THEN motion / max(motion) OVER v ELSE 0 END + 0.1 * area / greatest(max(area) OVER v, 1) + 0.05 * center AS score FROM r WINDOW v AS (PARTITION BY video))"""
+
+
+@query(f"{SCORED} SELECT video, track, frames, round(score, 5) AS score FROM s")
+def face_scores(t):
+    return faces.track_scores(_tracked(t), 500, 640, 480).select("video", "track", "frames", F.round("score", 5).alias("score"))
+
+
+@query(f"{SCORED}, k AS (SELECT *, row_number() OVER (PARTITION BY video ORDER BY score DESC, track) AS n FROM s) SELECT a.video, a.track, round(coalesce(a.score - b.score, 1.0), 5) AS margin, CASE WHEN coalesce(a.score - b.score, 1.0) < 0.01 THEN 'ambiguous_face' END AS reject_reason FROM k a LEFT JOIN k b ON a.video = b.video AND b.n = 2 WHERE a.n = 1")
+def face_selection(t):
+    return faces.selected(faces.track_scores(_tracked(t), 500, 640, 480), least_margin=0.01).select("video", "track", F.round("margin", 5).alias("margin"), "reject_reason")
+
+
+@query(f"WITH {TRACKED}, m AS (SELECT *, sqrt(pow(x - lag(x) OVER w, 2) + pow(y - lag(y) OVER w, 2)) AS step FROM t WINDOW w AS (PARTITION BY video, track ORDER BY frame)) SELECT video, track, round(count(*) / 500.0, 6) AS coverage, round(avg(step), 5) AS jitter, round(avg(abs(yaw)), 5) AS yaw_mean, round(stddev_pop(yaw), 5) AS yaw_std FROM m GROUP BY 1, 2")
+def track_report(t):
+    r = lambda c, n=5: F.round(c, n).alias(c)
+    return faces.track_report(_tracked(t), 500).select("video", "track", r("coverage", 6), r("jitter"), r("yaw_mean"), r("yaw_std"))
+
+
+@query("SELECT vec_id, round(list_min([embedding[1], embedding[5], embedding[9]])::DOUBLE, 5) AS x0, round(list_max([embedding[2], embedding[6], embedding[10]])::DOUBLE, 5) AS y1 FROM embeddings")
+def anchor_boxes(t):
+    points = F.transform(F.sequence(F.lit(0), F.lit(31)), lambda i: F.array(F.get("embedding", 2 * i).cast("double"), F.get("embedding", 2 * i + 1).cast("double")))
+    box = t.embeddings.withColumn("p", points).select("vec_id", faces.anchor_box("p", [0, 2, 4]).alias("b"))
+    return box.select("vec_id", F.round("b.x0", 5).alias("x0"), F.round("b.y1", 5).alias("y1"))
+
+
+@query("SELECT vec_id, round(ln(list_sum(list_transform(embedding, lambda x: exp(x::DOUBLE)))), 5) AS z FROM embeddings")
+def log_sums(t):
+    from .operators import media
+
+    return t.embeddings.select("vec_id", F.round(media.log_sum(F.col("embedding").cast("array<double>")), 5).alias("z"))
+
+
+@query("SELECT event_id, round(CASE WHEN greatest(event_id, 1) < 400 THEN 0.001 * greatest(event_id, 1) / 400 ELSE 0.001 * sqrt(400.0 / greatest(event_id, 1)) END, 9) AS rate, round(CASE WHEN event_id < 500 THEN greatest(event_id, 1) / 500.0 ELSE 0.5 * (1 + cos(pi() * least((event_id - 500) / 9500.0, 1))) END, 6) AS factor FROM events")
+def learning_rates(t):
+    from .operators import media
+
+    return t.events.select("event_id", F.round(media.inverse_root_rate("event_id", 0.001, 400), 9).alias("rate"), F.round(media.cosine_factor("event_id", 10_000, 0.05), 6).alias("factor"))
+
+
+@query("""WITH s AS (SELECT DISTINCT syllable FROM (SELECT lang AS syllable FROM documents UNION ALL SELECT event_type FROM events))
+    SELECT syllable, regexp_extract(syllable, '^(zh|ch|sh|[bpmfdtnlgkhjqxrzcsyw])?(.*)$', 1) AS initial, regexp_extract(syllable, '^(zh|ch|sh|[bpmfdtnlgkhjqxrzcsyw])?(.*)$', 2) AS final FROM s""")
+def syllable_parts(t):
+    names = t.documents.select(F.col("lang").alias("syllable")).union(t.events.select("event_type")).distinct()
+    return names.select("syllable", lexicon.syllable_parts("syllable").alias("p")).select("syllable", "p.*")
+
+
+@query(r"""SELECT conv_id, turn, CASE WHEN a <> '' AND length(a) <= 1.6 * greatest(n, 1) THEN a ELSE role END AS answer FROM (
+    SELECT conv_id, turn, role, len(regexp_extract_all(text, '[a-z]+')) * 3 AS n, array_to_string(regexp_extract_all(CASE WHEN contains(l, ':') AND length(string_split(l, ':')[-1]) > 1 THEN string_split(l, ':')[-1] ELSE l END, '[a-z]+'), '') AS a
+    FROM (SELECT *, trim(string_split_regex(trim(text), '\r?\n')[-1]) AS l FROM conversations))""")
+def guarded_answers(t):
+    words = text.tokens("text", "[a-z]+")
+    return t.conversations.select("conv_id", "turn", text.guarded_answer("text", F.flatten(F.array(words, words, words)), F.array("role"), 1.6, "a-z").alias("answer"))
+
+
+@query("SELECT lang, len(list(DISTINCT source)) AS n, string_agg(DISTINCT source, '|' ORDER BY source) AS sources FROM documents GROUP BY 1")
+def distinct_in_order(t):
+    rows = t.documents.groupBy("lang").agg(F.array_sort(F.collect_list("source")).alias("s")).withColumn("s", text.distinct_in_order("s", F.array(F.lit(""), F.lit(None).cast("string"))))
+    return rows.select("lang", F.size("s").cast("bigint").alias("n"), F.array_join("s", "|").alias("sources"))
+
+
+@query(f"""WITH {TASK}, c AS (SELECT task_id FROM t WHERE status = 'queued' ORDER BY priority DESC, created_at, task_id LIMIT 25)
+    SELECT t.task_id, CASE WHEN c.task_id IS NULL THEN status ELSE 'running' END AS status, attempts + (c.task_id IS NOT NULL)::INT AS attempts, CASE WHEN c.task_id IS NOT NULL THEN 'n1' END AS owner FROM t LEFT JOIN c ON t.task_id = c.task_id""")
+def claimed_tasks(t):
+    rows = _tasks(t)
+    kinds = [r["kind"] for r in rows.select("kind").distinct().collect()]
+    return tasks.claim(rows, tasks.claimable(rows, kinds, 25), "n1", 0.0, 60.0).select("task_id", "status", "attempts", "owner")
+
+
+@query(f"WITH {TASK} SELECT task_id AS parent_id, 'analyze' AS kind, task_id::VARCHAR AS payload, 'queued' AS status FROM t WHERE status = 'succeeded' AND kind = '1-URGENT'")
+def chained_tasks(t):
+    return tasks.chained(_tasks(t).withColumn("payload", F.col("task_id").cast("string")), {"1-URGENT": "analyze"})
+
+
+@query("SELECT source AS key, min(lang) AS old, max(lang) AS new FROM documents GROUP BY 1 HAVING min(lang) <> max(lang)")
+def changed_content(t):
+    side = lambda f: t.documents.groupBy(F.col("source").alias("key")).agg(f("lang").alias("sha256"))
+    return tasks.changed_content(side(F.min), side(F.max), "key")
+
+
+@query("SELECT label, pos::BIGINT AS pos, x FROM (SELECT label, unnest(range(n)) AS pos, unnest(list_resize(v, n, 0)) AS x FROM (SELECT label % 2 AS batch, label, list(vec_id ORDER BY vec_id) AS v, max(count(*)) OVER (PARTITION BY label % 2) AS n FROM embeddings GROUP BY label))")
+def padded_batches(t):
+    rows = t.embeddings.groupBy("label").agg(F.sort_array(F.collect_list("vec_id")).alias("v")).withColumn("batch", F.col("label") % 2)
+    out = rows.withColumn("v", batching.padded("v", ["batch"]))
+    return out.select("label", F.posexplode("v").alias("pos", "x")).select("label", F.col("pos").cast("bigint").alias("pos"), "x")
+
+
+@query("SELECT conv_id, turn, least(len(w) + 3, 12) AS ids, least(len(w), 9) AS labelled FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+') AS w FROM conversations)")
+def chat_labels(t):
+    words = F.transform(text.tokens(F.lower("text"), "[a-z]+"), lambda w: F.length(w))
+    rows = t.conversations.select("conv_id", "turn", F.array(F.lit(1), F.lit(2), F.lit(3)).alias("p"), words.alias("a"))
+    ids, labels = batching.chat_labels("p", "a", 12)
+    return rows.select("conv_id", "turn", F.size(ids).cast("bigint").alias("ids"), F.size(F.filter(labels, lambda x: x != -100)).cast("bigint").alias("labelled"))
+
+
+@query(f"""WITH f AS (SELECT event_type AS video, event_id AS frame, value > 20 AS face, value > 40 AS talk FROM events), c AS (SELECT event_type AS video, event_id AS cue, event_id::DOUBLE AS s, event_id + 60.0 AS e, user_id % 9 AS units FROM events WHERE event_id % 41 = 0),
+    p AS (SELECT *, greatest(round_even(s, 0), 0)::BIGINT AS f0, least(round_even(e, 0)::BIGINT, 100000) AS f1 FROM c), r AS (SELECT *, CASE WHEN f1 <= f0 OR f0 > 100000 THEN 'out_of_range' WHEN f1 - f0 + 1 < 10 THEN 'min_frames' WHEN units NOT BETWEEN 1 AND 7 THEN 'units' END AS why FROM p),
+    m AS (SELECT r.cue, sum(f.face::INT) AS face, sum(f.talk::INT) AS talk FROM r JOIN f ON r.video = f.video AND f.frame BETWEEN f0 AND f1 WHERE why IS NULL GROUP BY 1)
+    SELECT r.cue, coalesce(why, CASE WHEN coalesce(face, 0) / (f1 - f0 + 1) < 0.08 THEN 'face_coverage' WHEN coalesce(talk, 0) / (f1 - f0 + 1) < 0.05 THEN 'speaker_coverage' END) AS reject_reason FROM r LEFT JOIN m ON r.cue = m.cue""")
+def cue_coverage(t):
+    frames = t.events.select(F.col("event_type").alias("video"), F.col("event_id").alias("frame"), (F.col("value") > 20).alias("has_face"), (F.col("value") > 40).alias("speaking"))
+    cues = t.events.where("event_id % 41 = 0").select(F.col("event_type").alias("video"), F.col("event_id").alias("cue"), F.col("event_id").cast("double").alias("start"), (F.col("event_id") + 60.0).alias("end"), F.lit("t").alias("text"), (F.col("user_id") % 9).alias("units"))
+    return corpus.cue_samples(cues, frames, 1.0, 0.0, 0.0, 100_000, 10, 0.08, 0.05, (1, 7)).select("cue", "reject_reason")
+
+
+@query(f"WITH {PAIRS} SELECT round(sum(CASE WHEN hyp <> '' THEN levenshtein(ref, hyp) ELSE 0 END) / greatest(sum(CASE WHEN hyp <> '' THEN length(ref) ELSE 0 END), 1), 6) AS before, round(sum(levenshtein(ref, lower(ref))) / greatest(sum(length(ref)), 1), 6) AS after FROM p")
+def before_after(t):
+    return ngram.before_after(_pairs(t).withColumn("refined", F.lower("ref")), "ref", "hyp", "refined")
+
+
+@query("SELECT CASE WHEN s.lang IS NULL THEN 'kept' ELSE 'sampled' END AS part, count(*) AS n FROM documents d LEFT JOIN (SELECT 'en' AS lang) s ON d.lang = s.lang AND " + U.format(2, "d.doc_id") + " >= 0.25 GROUP BY 1")
+def probabilistic_keep(t):
+    kept = t.documents.withColumn("part", F.when(batching.keep_some(F.col("lang") == "en", 0.25, 2, "doc_id"), "kept").otherwise("sampled"))
+    return kept.groupBy("part").agg(F.count("*").alias("n"))
+
+
+@query("SELECT page_id, CASE WHEN length(html) < 2500 THEN 'duration_short|height' WHEN length(html) > 4000 THEN 'duration_long' ELSE '' END AS reasons FROM pages")
+def metadata_gate(t):
+    size = F.length("html")
+    formats = F.array(F.struct(F.when(size < 2500, 480).otherwise(1080).alias("height"), F.lit(30).alias("fps")))
+    rows = t.pages.select("page_id", (size / 10).alias("duration"), formats.alias("formats"), F.array(F.lit("zh")).alias("subtitles"))
+    return rows.select("page_id", F.array_join(gates.metadata_reasons(250, 400, 720, 25, ["zh"]), "|").alias("reasons"))
