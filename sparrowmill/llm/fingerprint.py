@@ -24,6 +24,8 @@ PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
 #: Code points of a span, and bins of a fingerprint.
 SPAN, BINS = 8, 64
+#: Spans that are hashed at once: a bound on memory, whatever the length of a text.
+BLOCK = 1 << 18
 BUCKET_DOCS = 2_000
 MAX_BUCKETS = 20_000
 U64 = np.uint64
@@ -99,14 +101,17 @@ def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, Pref
     whole = _canonical(prefix, off[:-1], off[1:])
     # All spans of SPAN code points; a shorter text is one span.
     per_text = np.where(sizes == 0, 0, np.maximum(sizes - SPAN + 1, 1))
-    row = np.repeat(np.arange(len(texts)), per_text)
-    start = np.arange(len(row)) - np.repeat(np.cumsum(per_text) - per_text, per_text) + off[row]
-    value = _canonical(prefix, start, np.minimum(start + SPAN, off[row + 1]))
-    cell = row * BINS + (value >> U64(58)).astype(np.int64)
     least = np.full(len(texts) * BINS, np.iinfo(np.uint64).max, U64)
-    np.minimum.at(least, cell, value)
     filled = np.zeros(len(texts) * BINS, bool)
-    filled[cell] = True
+    ends = np.cumsum(per_text)
+    for first in range(0, int(per_text.sum()), BLOCK):
+        at = np.arange(first, min(first + BLOCK, int(ends[-1])))
+        row = np.searchsorted(ends, at, "right")
+        start = at - (ends - per_text)[row] + off[row]
+        value = _canonical(prefix, start, np.minimum(start + SPAN, off[row + 1]))
+        cell = row * BINS + (value >> U64(58)).astype(np.int64)
+        np.minimum.at(least, cell, value)
+        filled[cell] = True
     return whole, least.reshape(-1, BINS), filled.reshape(-1, BINS), prefix, off
 
 
