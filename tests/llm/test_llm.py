@@ -268,6 +268,13 @@ def test_wrapper_finds_template_and_links():
     w = html_wrapper.infer(pages)
     assert "(" in w["pattern"] and any("Welcome" in t for t in w["template"]) and w["links"]
     assert html_wrapper.main_text(pages[1], w) == "text number 1"
+    articles = [f"<div class=top><p>Hot news {i}</p></div><article><h1>H{i}</h1><p>Body {i}</p>{'<ul><li>x</li></ul>' * (i % 2)}</article>" for i in range(4)]
+    w = html_wrapper.infer(articles)
+    assert w["main"] and "?" in w["pattern"] and all("*" in p for p in w["content"])
+    assert html_wrapper.main_text(articles[1], w) == "H1\n\nBody 1\n\nx"
+    # Pages that the wrapper does not fit: a new block in the article, and a page without one.
+    assert html_wrapper.main_text("<article><table><td>new</td></table></article>", w) == "new"
+    assert html_wrapper.main_text("<div class=top><p>only this</p></div><nav>no</nav>", w) == "only this"
 
 
 def test_extraction_matches_a_plain_reading(spark, data):
