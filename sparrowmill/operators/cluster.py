@@ -10,10 +10,6 @@ from pyspark.sql import functions as F
 from .graph import components
 
 
-def dot(a: str, b: str) -> Column:
-    return F.aggregate(F.zip_with(F.col(a), F.col(b), lambda x, y: x.cast("double") * y.cast("double")), F.lit(0.0), lambda s, x: s + x)
-
-
 def descriptors(rows: DataFrame, key: str, vector: str) -> DataFrame:
     """The element-wise mean vector of each key, scaled to unit length."""
     cells = rows.select(key, F.posexplode(vector).alias("pos", "x")).groupBy(key, "pos").agg(F.avg("x").alias("x"))
@@ -23,26 +19,40 @@ def descriptors(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return vectors.select(key, F.transform(mean, lambda x: x / F.greatest(norm, F.lit(1e-12))).alias("descriptor"))
 
 
-def similar_pairs(rows: DataFrame, key: str, vector: str, threshold: float, blocks: int = 32, explicit: str | None = None) -> DataFrame:
+def similar_pairs(rows: DataFrame, key: str, vector: str, threshold: float, blocks: int = 16, explicit: str | None = None) -> DataFrame:
     """(a, b, similarity) of rows with a dot product of at least ``threshold``; a < b.
 
-    Exact, for tables of sources: rows meet in ``blocks`` x ``blocks`` / 2 cells of a grid, an
-    equi-join in which each cell is a task of bounded share, and each pair meets in one cell. The
-    work is quadratic in the number of sources, as the question is; it is no operator for rows.
-    With ``explicit`` (a name, or null), two named rows are linked where the names are equal,
-    whatever the vectors.
+    Exact, for tables of sources: rows are hashed into blocks, and each pair of blocks is one cell
+    whose products are one matrix. Each pair of rows meets in one cell; a cell holds the rows of
+    two blocks, so ``blocks`` bounds its share. The work is quadratic in the number of sources, as
+    the question is; it is no operator for rows. With ``explicit`` (a name, or null), two named
+    rows are linked where the names are equal, whatever the vectors. Keys are numbers or texts;
+    rows without key or vector are left out.
     """
-    own = rows.select(key, vector, *([explicit] if explicit else []), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("__block"))
-    cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.struct(F.least("__block", o).alias("x"), F.greatest("__block", o).alias("y")))
-    spread = own.withColumn("__cell", F.explode(F.array_distinct(cells)))
-    left = spread.select("__cell", F.col(key).alias("a"), F.col(vector).alias("va"), F.col("__block").alias("ba"), *([F.col(explicit).alias("ea")] if explicit else []))
-    right = spread.select("__cell", F.col(key).alias("b"), F.col(vector).alias("vb"), F.col("__block").alias("bb"), *([F.col(explicit).alias("eb")] if explicit else []))
-    same_cell = F.col("__cell") == F.struct(F.least("ba", "bb").alias("x"), F.greatest("ba", "bb").alias("y"))
-    pairs = left.join(right, "__cell").where((F.col("a") < F.col("b")) & same_cell).withColumn("similarity", dot("va", "vb"))
-    close = F.col("similarity") >= threshold
-    if explicit:
-        close = F.when(F.col("ea").isNotNull() & F.col("eb").isNotNull(), F.col("ea") == F.col("eb")).otherwise(close)
-    return pairs.where(close).select("a", "b", "similarity")
+    kind = dict(rows.dtypes)[key]
+    name = F.col(explicit).cast("string") if explicit else F.lit(None).cast("string")
+    own = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), name.alias("name"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
+    cells = F.transform(F.sequence(F.lit(0), F.lit(blocks - 1)), lambda o: F.least("block", o) * blocks + F.greatest("block", o))
+    spread = own.withColumn("cell", F.explode(cells))
+
+    def run(frame: pd.DataFrame) -> pd.DataFrame:
+        low, high = divmod(int(frame["cell"].iloc[0]), blocks)
+        left, right = (frame[frame["block"] == b].reset_index(drop=True) for b in (low, high))
+        if not len(left) or not len(right):
+            return pd.DataFrame({"a": left["k"][:0], "b": left["k"][:0], "similarity": pd.Series([], dtype="float64")})
+        products = np.stack(left["v"].to_numpy()) @ np.stack(right["v"].to_numpy()).T
+        close = products >= threshold
+        if explicit:
+            x, y = left["name"].to_numpy(object)[:, None], right["name"].to_numpy(object)[None, :]
+            close = np.where(pd.notna(x) & pd.notna(y), x == y, close)
+        if low == high:
+            close = np.triu(close, 1)
+        i, j = np.nonzero(close)
+        a, b = left["k"].to_numpy()[i], right["k"].to_numpy()[j]
+        swap = a > b
+        return pd.DataFrame({"a": np.where(swap, b, a), "b": np.where(swap, a, b), "similarity": products[i, j]})
+
+    return spread.groupBy("cell").applyInPandas(run, f"a {kind}, b {kind}, similarity double")
 
 
 def with_component(rows: DataFrame, key: str, pairs: DataFrame) -> DataFrame:

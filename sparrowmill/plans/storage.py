@@ -1,4 +1,4 @@
-"""Cutting lineage through files in the shared folder."""
+"""Cutting lineage through files in the shared folder; dealing out small tables."""
 
 from __future__ import annotations
 
@@ -18,3 +18,13 @@ def materialize(frame: DataFrame) -> DataFrame:
     path = f"{shared_folder(spark)}/sparrowmill-{uuid.uuid4().hex}"
     frame.write.parquet(path)
     return spark.read.schema(frame.schema).parquet(path)
+
+
+def spread(frame: DataFrame) -> DataFrame:
+    """``frame``, dealt out anew where it has fewer splits than the cluster has cores.
+
+    A small table in one file would keep one core busy; a large one has more splits than cores and
+    is left as it is, without a shuffle.
+    """
+    cores = frame.sparkSession.sparkContext.defaultParallelism
+    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame

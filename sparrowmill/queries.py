@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 from .functions import edits, hashing, lexicon, text
 from .operators import align, augment, batching, cluster, dedup, faces, gates, joins, ngram, profile, signals, tasks
 from .plans import corpus
+from .plans.storage import spread
 from .streaming import cues as streams
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
@@ -25,7 +26,8 @@ class Tables:
         self.spark, self.path = spark, path
 
     def __getattr__(self, name: str) -> DataFrame:
-        return self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        frame = self.spark.read.parquet(f"{self.path}/{name}.parquet")
+        return spread(frame) if name == "documents" else frame
 
 
 def query(sql: str | None = None):

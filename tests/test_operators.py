@@ -224,3 +224,14 @@ def test_curve_peak(spark):
     b = a.withColumn("at", F.col("at") + 3)
     got = signals.curve_peak(signals.correlation_curve(a, b, ["k"], "at", "v", 5), ["k"]).first()
     assert got["lag"] == 3 and got["score"] > got["runner_up"]
+
+
+def test_similar_pairs_by_vector_and_by_name(spark):
+    rng = random.Random(2)
+    rows = [(i, [rng.gauss(0, 1) for _ in range(6)], rng.choice([None, "x", "y"])) for i in range(60)]
+    frame = spark.createDataFrame(rows, "k int, v array<double>, name string")
+    value = lambda a, b: sum(p * q for p, q in zip(rows[a][1], rows[b][1], strict=True))
+    pairs = [(a, b) for a in range(60) for b in range(a + 1, 60)]
+    named = lambda a, b: rows[a][2] == rows[b][2] if rows[a][2] and rows[b][2] else value(a, b) >= 3
+    assert sorted((r["a"], r["b"]) for r in cluster.similar_pairs(frame, "k", "v", 3.0).collect()) == [p for p in pairs if value(*p) >= 3]
+    assert sorted((r["a"], r["b"]) for r in cluster.similar_pairs(frame, "k", "v", 3.0, explicit="name").collect()) == [p for p in pairs if named(*p)]
