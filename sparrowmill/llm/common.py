@@ -8,10 +8,10 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialize  # noqa: F401  (for the operators beside)
+from ..plans.storage import materialize, spread  # noqa: F401  (for the operators beside)
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
-SLICE_BYTES = 2 << 20
+SLICE_BYTES = 1 << 20
 #: Rows in an Arrow batch. Texts are of any length, so batches are kept short.
 BATCH_ROWS = 512
 
@@ -22,16 +22,6 @@ def table(spark: SparkSession, sf_dir: str, name: str, *cols: str) -> DataFrame:
     return frame.select(*cols) if cols else frame
 
 
-def spread(frame: DataFrame) -> DataFrame:
-    """``frame``, dealt out anew where it has fewer splits than the cluster has cores.
-
-    A small table in one file would keep one core busy; a large one has more splits than cores and
-    is left as it is, without a shuffle.
-    """
-    cores = frame.sparkSession.sparkContext.defaultParallelism
-    return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
-
-
 def short_batches(spark: SparkSession) -> None:
     """Keep the Arrow batches of text small; a session setting, read when a plan runs."""
     spark.conf.set("spark.sql.execution.arrow.maxRecordsPerBatch", str(BATCH_ROWS))

@@ -30,7 +30,7 @@ DOCS_PER_LANGUAGE = 400
 DISCOUNT = 0.75
 MARK = "\x02"
 #: Words whose scores a worker keeps.
-CACHE_WORDS = 400_000
+CACHE_WORDS = 250_000
 UNKNOWN = "und"
 U64 = np.uint64
 _STEP = U64(0x9E3779B97F4A7C15)

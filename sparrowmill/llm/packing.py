@@ -9,9 +9,9 @@ the end and fills no window is cut into powers of two, which need no padding.
 from __future__ import annotations
 
 import os
+import re
 import zlib
 from collections.abc import Iterator
-from itertools import chain, islice
 
 import numpy as np
 import pandas as pd
@@ -28,17 +28,64 @@ SLACK = 8
 #: Documents that one group packs together, about; the number of groups grows with the input.
 GROUP_DOCS = 20_000
 END_ID = 1
-CACHE_WORDS = 400_000
+#: Words whose ids a worker keeps.
+CACHE_WORDS = 300_000
+#: What str.split() takes for white space and the vocabulary does not.
+ODD = re.compile("[\x1c-\x1f]")
 
+#: Words that the fast path reads: ASCII without blanks and controls, and Latin-1 letters. They are
+#: in normal form C, and their lower case does not depend on what stands beside them.
+PLAIN = re.compile("[!-~\u00c0-\u00d6\u00d8-\u00f6\u00f8-\u00ff]+")
+#: Fixed value: the vocabulary's own pattern, for words of that kind in lower case.
+PIECES = re.compile("'s|'t|'re|'ve|'m|'ll|'d|[a-z\u00df-\u00f6\u00f8-\u00ff]+|[0-9]|[^a-z0-9\u00df-\u00f6\u00f8-\u00ff]+")
 
-class _Index(dict):
-    def __missing__(self, word: str) -> int:
-        self[word] = row = len(self)
-        return row
+
+def byte_letters() -> dict[int, str]:
+    """The letter that byte-level vocabularies write for each byte: printable bytes are themselves,
+    the others follow from U+0100 on, in order."""
+    printable = [*range(33, 127), *range(161, 173), *range(174, 256)]
+    others = [b for b in range(256) if b not in set(printable)]
+    return {b: chr(b) for b in printable} | {b: chr(256 + i) for i, b in enumerate(others)}
+
+
+class _Pieces(dict):
+    """piece -> ids, by the tokenizer's model alone."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.model, self.letters = tokenizer.model, byte_letters()
+
+    def __missing__(self, piece: str) -> bytes:
+        written = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
+        self[piece] = ids = np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
+        return ids
+
+
+class _Words(dict):
+    """word -> ids; plain words by their pieces, others by the whole tokenizer."""
+
+    def __init__(self, tokenizer):
+        super().__init__()
+        self.tokenizer, self.pieces = tokenizer, _Pieces(tokenizer)
+        self.special = [t.content for t in tokenizer.get_added_tokens_decoder().values()]
+
+    def whole(self, text: str) -> bytes:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+
+    def __missing__(self, word: str) -> bytes:
+        if len(word) < 200 and PLAIN.fullmatch(word) and not ("<" in word and any(x in word for x in self.special)):
+            ids = b"".join(map(self.pieces.__getitem__, PIECES.findall(word.lower())))
+        else:
+            ids = self.whole(word)
+        self[word] = ids
+        return ids
+
+
+_tokenizers: dict[str, WordTokenizer] = {}
 
 
 class WordTokenizer:
-    """Token ids of whole texts through a cache of words.
+    """Token ids of whole texts through a bounded cache of words.
 
     The vocabulary's patterns never cross white space, so a text's ids are those of its words.
     Texts with separators that Python alone takes for white space are encoded whole.
@@ -49,27 +96,21 @@ class WordTokenizer:
         from tokenizers import Tokenizer
 
         self.tokenizer = Tokenizer.from_file(path)
-        self.index, self.ids = _Index(), []
+        self.words = _Words(self.tokenizer)
 
-    def _encode(self, texts: list[str]) -> list[bytes]:
-        found = self.tokenizer.encode_batch(texts, add_special_tokens=False)
-        return [np.array(x.ids, "<u4").tobytes() for x in found]
+    @classmethod
+    def shared(cls, path: str) -> WordTokenizer:
+        """One for each process, so that tasks of a worker share what it has seen."""
+        if path not in _tokenizers:
+            _tokenizers[path] = cls(path)
+        return _tokenizers[path]
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.index) > CACHE_WORDS:
-            self.index, self.ids = _Index(), []
-        odd = [i for i, t in enumerate(texts) if any(c in t for c in "\x1c\x1d\x1e\x1f")]
-        whole = dict(zip(odd, self._encode([texts[i] for i in odd]), strict=True)) if odd else {}
-        split = [() if i in whole else t.split() for i, t in enumerate(texts)]
-        codes = list(map(self.index.__getitem__, chain.from_iterable(split)))
-        if new := len(self.index) - len(self.ids):
-            self.ids += self._encode(list(islice(reversed(self.index), new))[::-1])
-        out, at, get = [], 0, self.ids.__getitem__
-        for i, part in enumerate(split):
-            out.append(whole[i] if i in whole else b"".join(map(get, codes[at : at + len(part)])))
-            at += len(part)
-        return out
+        if len(self.words) > CACHE_WORDS:
+            self.words = _Words(self.tokenizer)
+        get, whole = self.words.__getitem__, self.words.whole
+        return [whole(t) if ODD.search(t) else b"".join(map(get, t.split())) for t in texts]
 
 
 def powers_of_two(n: int) -> list[int]:
@@ -136,7 +177,7 @@ _TOKENS = pa.schema([("doc_id", pa.int64()), ("doc_tokens", pa.int64()), ("windo
 
 def _tokenized(path: str, window: int):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        tokenizer = WordTokenizer(path)
+        tokenizer = WordTokenizer.shared(path)
         end = np.array([END_ID], "<u4").tobytes()
         for batch in batches:
             texts = batch.column("text")
