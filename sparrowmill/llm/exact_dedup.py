@@ -11,8 +11,8 @@ from __future__ import annotations
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-#: White space that counts as one space, as a Java and RE2 pattern.
-BLANKS = r"[\x20\x09-\x0D]+"
+#: Runs of blanks that are not a single space already: most texts have few, so little is rebuilt.
+BLANKS = r"[\x09-\x0D][\x20\x09-\x0D]*|\x20[\x20\x09-\x0D]+"
 #: Code points of the text that the second step looks at.
 PREFIX_CHARS = 64
 #: Slots of the table of survivors: a fixed bound on what is broadcast.
