@@ -28,7 +28,7 @@ SLACK = 8
 #: Documents that one group packs together, about; the number of groups grows with the input.
 GROUP_DOCS = 20_000
 END_ID = 1
-#: Words whose ids a worker keeps.
+#: Words, and pieces of words, whose ids a worker keeps.
 CACHE_WORDS = 300_000
 #: What str.split() takes for white space and the vocabulary does not.
 ODD = re.compile("[\x1c-\x1f]")
@@ -107,8 +107,10 @@ class WordTokenizer:
 
     def encode(self, texts: list[str]) -> list[bytes]:
         """The ids of each text as little-endian unsigned 32-bit numbers."""
-        if len(self.words) > CACHE_WORDS:
-            self.words = _Words(self.tokenizer)
+        # The two caches are bounded apart: pieces are fewer than words and dearer to get.
+        for cache in (self.words, self.words.pieces):
+            if len(cache) > CACHE_WORDS:
+                cache.clear()
         get, whole = self.words.__getitem__, self.words.whole
         return [whole(t) if ODD.search(t) else b"".join(map(get, t.split())) for t in texts]
 
