@@ -7,7 +7,10 @@ filled bin of a sequence that is the same for all texts (optimal densification).
 bucket of representatives one centre is linked with every other member, so candidates grow with
 the members and not with their square. Candidates are confirmed on full sets. Later rounds draw
 new centres in buckets whose members are still in different components, against the members of
-other components only, until no candidate is left or ``rounds`` are over.
+other components only, for ``rounds`` at most. What then still lies in buckets of
+several components is finished exactly: tokens in one order, rarest first, a pair that reaches the
+threshold shares a token early in both (prefix and positional filters), so every such pair is a
+candidate and is confirmed on full sets.
 
 With 32 bands of 4 bins a pair at similarity 0.75 misses every common bucket with a
 probability of 5e-6.
@@ -19,7 +22,7 @@ from collections.abc import Iterator
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..operators.graph import components
@@ -64,7 +67,9 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
-_SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64()))])
+_SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+#: Bits of the bitmap of a set; what one bitmap has and another lacks bounds their common part.
+BITS = 512
 
 
 def _shingle_slices(batch: pa.RecordBatch, size: int):
@@ -99,7 +104,11 @@ def _full_sets(size: int):
             for a, b, rows, hashes in _shingle_slices(batch, size):
                 ends = np.searchsorted(rows, np.arange(b - a + 1)).astype(np.int32)
                 lists = pa.ListArray.from_arrays(pa.array(ends), pa.array(hashes.view(np.int64)))
-                yield rebatch({"doc_id": batch.column("doc_id").slice(a, b - a), "shingles": lists}, _SETS)
+                marks = np.zeros((b - a, BITS), bool)
+                marks[rows, (hashes % U64(BITS)).astype(np.int64)] = True
+                words = np.packbits(marks, axis=1).view(np.int64).reshape(-1)
+                bits = pa.ListArray.from_arrays(pa.array(np.arange(0, (b - a) * BITS // 64 + 1, BITS // 64, dtype=np.int32)), pa.array(words))
+                yield rebatch({"doc_id": batch.column("doc_id").slice(a, b - a), "shingles": lists, "bits": bits}, _SETS)
 
     return run
 
@@ -109,9 +118,15 @@ def _stars(members: DataFrame, salt: int) -> DataFrame:
     with every member of another component than its own.
 
     The draw is the same in all buckets, so the buckets of a group of near copies have few
-    centres between them, and their candidates fall together.
+    centres between them, and their candidates fall together. The first draw (salt 0) prefers
+    members of many shared buckets: a text that others are copies of is in more than each of them.
     """
-    drawn = F.struct(F.xxhash64("rep", F.lit(salt)), "rep", "component")
+    first = F.xxhash64("rep", F.lit(salt))
+    if salt == 0:
+        members = members.join(members.groupBy("rep").agg((-F.count("*")).alias("rank")), "rep")
+        drawn = F.struct("rank", first.alias("draw"), "rep", "component")
+    else:
+        drawn = F.struct(first.alias("draw"), "rep", "component")
     centres = members.groupBy("bucket").agg(F.min(drawn).alias("c")).select("bucket", F.col("c.rep").alias("centre"), F.col("c.component").alias("its"))
     pairs = members.join(centres, "bucket").where("component <> its")
     return pairs.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
@@ -132,6 +147,33 @@ def _confirmed(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFram
     return both.where(100 * common >= percent * union).select("a", "b")
 
 
+def _leftover(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
+    """Candidates (a, b) of different components among all ``members`` (rep, component): every pair
+    that reaches the threshold is among them.
+
+    Tokens that one component alone has stand first in the order, then the others, rarest first. If
+    the first token that two sets share stands at i and j (from 0), they share min(nx - i, ny - j)
+    tokens at most. A set's tokens are looked at as far as that bound allows any partner.
+    """
+    held = members.select(F.col("rep").alias("doc_id"), "component").distinct().join(sets, "doc_id")
+    held = materialize(held.select("doc_id", "component", F.size("shingles").cast("long").alias("n"), "shingles", "bits"))
+    each = held.select("doc_id", "component", "n", F.explode("shingles").alias("token"))
+    common = each.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "df")
+    own = Window.partitionBy("doc_id")
+    placed = each.join(common, "token").withColumn("from_end", F.row_number().over(own.orderBy(F.desc("df"), F.desc("token"))).cast("long"))
+    # from_end is n - i: tokens from here to the end of the order, this one too.
+    placed = placed.where(100 * F.col("from_end") >= percent * F.col("n")).select("doc_id", "token", "from_end")
+    placed = materialize(placed.join(held.select("doc_id", "component", "n", "bits"), "doc_id"))
+    x = placed.select("token", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "component", "n", "bits", "from_end")])
+    y = placed.select("token", *[F.col(c).alias(f"y_{c}") for c in ("doc_id", "component", "n", "bits", "from_end")])
+    lacks = lambda p, q: sum(F.bit_count(F.get(p, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(q, F.lit(k))))) for k in range(BITS // 64))
+    need = percent * (F.col("x_n") + F.col("y_n"))
+    by_place = (100 + percent) * F.least("x_from_end", "y_from_end") >= need
+    by_bits = (100 + percent) * F.least(F.col("x_n") - lacks("x_bits", "y_bits"), F.col("y_n") - lacks("y_bits", "x_bits")) >= need
+    met = (x["token"] == y["token"]) & (F.col("x_doc_id") < F.col("y_doc_id")) & (F.col("x_component") != F.col("y_component")) & by_place & by_bits
+    return x.join(y, met).select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5, rounds: int = 4) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
@@ -153,17 +195,22 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5,
     shared = chosen.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("bucket")
     members = materialize(chosen.join(shared, "bucket", "left_semi").distinct().withColumn("component", F.col("rep")))
     needed = materialize(members.select(F.col("rep").alias("doc_id")).distinct())
-    sets = docs.join(needed, "doc_id", "left_semi").mapInArrow(_full_sets(shingle_words), "doc_id long, shingles array<long>")
+    sets = docs.join(needed, "doc_id", "left_semi").mapInArrow(_full_sets(shingle_words), "doc_id long, shingles array<long>, bits array<long>")
     sets = materialize(sets.dropDuplicates(["doc_id"]))
 
     links = tested = label = None
-    for turn in range(rounds):
-        candidates = _stars(members, turn)
+    for turn in range(rounds + 1):
+        # Draws first, as they are cheap; the last turn finishes what they leave.
+        last = turn == rounds
+        candidates = _leftover(members, sets, percent) if last else _stars(members, turn)
         if tested is not None:
             candidates = candidates.join(tested, ["a", "b"], "left_anti")
         candidates = materialize(candidates)
         if candidates.isEmpty():
-            break
+            # A draw may have been tested before while other pairs were not: only no members end it.
+            if members.isEmpty():
+                break
+            continue
         tested = candidates if tested is None else tested.unionAll(candidates)
         found = materialize(_confirmed(candidates, sets, percent))
         if not found.isEmpty():
@@ -171,7 +218,7 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5,
             label = materialize(components(links))
             members = members.drop("component").join(label, F.col("rep") == F.col("node"), "left")
             members = members.select("rep", "bucket", F.coalesce("component", "rep").alias("component"))
-        if turn + 1 < rounds:
+        if not last:
             members = _mixed(members)
     named = classes.select(*same, F.col("rep").alias("component_id"))
     if label is not None:

@@ -79,6 +79,33 @@ def test_near_duplicates_match_brute_force(near):
     assert got == plain_near(rows)
 
 
+def test_near_duplicates_of_hub_families_and_passage_crowds(spark):
+    """Copies that reach the threshold with a common base alone, and linked pairs in crowds around a passage."""
+    rng = random.Random(8)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+
+    def changed(base, n):
+        base = list(base)
+        for at in rng.sample(range(3, len(base) - 3), n):
+            base[at] = word()
+        return base
+
+    texts = []
+    for n in (40, 1200):
+        base = [word() for _ in range(100)]
+        texts += [base] + [changed(base, 2) for _ in range(n)]
+    base = [word() for _ in range(100)]
+    texts += [changed(base, 2) for _ in range(300)]  # the base itself is missing
+    for share in (60, 78):
+        passage = [word() for _ in range(share)]
+        crowd = [passage + [word() for _ in range(100 - share)] for _ in range(600)]
+        texts += crowd + [changed(t, 2) for t in crowd[:100]]
+    rng.shuffle(texts)
+    rows = [(i, " ".join(t)) for i, t in enumerate(texts)]
+    got = {r["doc_id"]: (r["n_shingles"], r["component_id"]) for r in minhash.near_duplicates(spark.createDataFrame(rows, "doc_id long, text string")).collect()}
+    assert got == plain_near(rows)
+
+
 def test_near_duplicates_of_edges(edge, empty):
     got = [tuple(r) for r in minhash.near_duplicates(edge).collect()]
     by = {r[0]: r for r in got}
