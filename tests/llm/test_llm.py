@@ -304,6 +304,19 @@ def test_wrapper_finds_template_and_links():
     assert html_wrapper.main_text("<div class=top><p>only this</p></div><nav>no</nav>", w) == "only this"
 
 
+def test_wrapper_leaves_out_what_repeats_inside_articles():
+    note = "<div class=box><p>We may earn from links</p></div>"
+    pages = [f"<article><h1>H{i}</h1>{note}<p>Body {i}</p><p>More {i}</p>{'<p>Call us today</p>' * (i != 2)}</article>" for i in range(5)]
+    w = html_wrapper.infer(pages)
+    assert [html_wrapper.main_text(p, w) for p in pages] == [f"H{i}\n\nBody {i}\n\nMore {i}" for i in range(5)]
+    # Text on two pages of five, a page that is there many times, and a page of the notice alone stay.
+    twice = [p.replace("More 1", "More 0") for p in pages]
+    assert "More 0" in html_wrapper.main_text(twice[1], html_wrapper.infer(twice))
+    copies = [pages[0].replace("H0", f"H{i}") for i in range(6)]
+    assert html_wrapper.main_text(copies[1], html_wrapper.infer(copies)) == "H1\n\nWe may earn from links\n\nBody 0\n\nMore 0\n\nCall us today"
+    assert html_wrapper.main_text(f"<article>{note}</article>", w) == "We may earn from links"
+
+
 def test_extraction_matches_a_plain_reading(spark, data):
     import re
 
