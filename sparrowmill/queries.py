@@ -532,10 +532,15 @@ def lm_score(t):
 PAIRS = "p AS (SELECT a.conv_id, a.text AS ref, b.text AS hyp FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND NOT regexp_matches(a.text || b.text, '[^\\x00-\\x7f]'))".replace("\\\\", "\\")
 
 
-def _pairs(t: Tables) -> DataFrame:
+def _all_pairs(t: Tables) -> DataFrame:
     a = t.conversations.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("ref"))
     b = t.conversations.select("conv_id", "turn", F.col("text").alias("hyp"))
-    return a.join(b, ["conv_id", "turn"]).where(~F.concat("ref", "hyp").rlike(r"[^\x00-\x7f]")).select("conv_id", "ref", "hyp")
+    return a.join(b, ["conv_id", "turn"]).select("conv_id", "ref", "hyp")
+
+
+def _pairs(t: Tables) -> DataFrame:
+    """The pairs that DuckDB, which counts bytes, measures alike; the queries of all pairs have no SQL."""
+    return _all_pairs(t).where(~F.concat("ref", "hyp").rlike(r"[^\x00-\x7f]"))
 
 
 @query(f"WITH {PAIRS} SELECT sum(levenshtein(ref, hyp))::BIGINT AS edits, sum(length(ref))::BIGINT AS length, round(sum(levenshtein(ref, hyp)) / greatest(sum(length(ref)), 1), 6) AS rate FROM p")
@@ -543,10 +548,15 @@ def edit_rate_micro(t):
     return profile.micro_rate(_pairs(t), F.levenshtein("ref", "hyp"), F.length("ref"))
 
 
+@query()
+def edit_rate_micro_all(t):
+    return profile.micro_rate(_all_pairs(t), F.levenshtein("ref", "hyp"), F.length("ref"))
+
+
 @query()
 def edit_operations(t):
     words = lambda c: F.split(F.lower(c), r"\s+")
-    return _pairs(t).select("conv_id", edits.edit_operations(words("ref"), words("hyp")).alias("o")).groupBy("conv_id").agg(F.sum("o.sub").alias("sub"), F.sum("o.dele").alias("dele"), F.sum("o.ins").alias("ins"))
+    return _all_pairs(t).select("conv_id", edits.edit_operations(words("ref"), words("hyp")).alias("o")).groupBy("conv_id").agg(F.sum("o.sub").alias("sub"), F.sum("o.dele").alias("dele"), F.sum("o.ins").alias("ins"))
 
 
 @query("""WITH t AS (SELECT lang, list(DISTINCT source ORDER BY source) AS c FROM documents GROUP BY 1), e AS (SELECT lang, unnest(c) AS s, generate_subscripts(c, 1) - 1 AS rank FROM t), r AS (SELECT *, levenshtein('src12', s) / 5.0 AS rate FROM e)
@@ -873,6 +883,11 @@ def before_after(t):
     return ngram.before_after(_pairs(t).withColumn("refined", F.lower("ref")), "ref", "hyp", "refined")
 
 
+@query()
+def before_after_all(t):
+    return ngram.before_after(_all_pairs(t).withColumn("refined", F.lower("ref")), "ref", "hyp", "refined")
+
+
 @query("SELECT CASE WHEN s.lang IS NULL THEN 'kept' ELSE 'sampled' END AS part, count(*) AS n FROM documents d LEFT JOIN (SELECT 'en' AS lang) s ON d.lang = s.lang AND " + U.format(2, "d.doc_id") + " >= 0.25 GROUP BY 1")
 def probabilistic_keep(t):
     kept = t.documents.withColumn("part", F.when(batching.keep_some(F.col("lang") == "en", 0.25, 2, "doc_id"), "kept").otherwise("sampled"))
