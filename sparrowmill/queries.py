@@ -714,8 +714,17 @@ def bucket_counts(t):
 @query("""WITH f AS (SELECT event_type AS video, event_id AS frame_no FROM events), c AS (SELECT event_type AS video, event_id AS cue, event_id AS f0, event_id + 40 AS f1 FROM events WHERE event_id % 97 = 0)
     SELECT c.video, cue, f0, f1, count(*) FILTER (WHERE frame_no <= f1) AS n FROM f JOIN c ON f.video = c.video AND frame_no >= f0 GROUP BY 1, 2, 3, 4 HAVING max(frame_no) >= f1""")
 def closed_cues(t):
+    return _closed(t, t.events.where("event_id % 97 = 0"))
+
+
+@query()
+def closed_cues_all(t):
+    return _closed(t, t.events)
+
+
+def _closed(t: Tables, chosen: DataFrame) -> DataFrame:
     frames = t.events.select(F.col("event_type").alias("video"), F.col("event_id").alias("frame_no"))
-    cues = t.events.where("event_id % 97 = 0").select(F.col("event_type").alias("video"), F.col("event_id").alias("cue"), F.col("event_id").alias("f0"), (F.col("event_id") + 40).alias("f1"))
+    cues = chosen.select(F.col("event_type").alias("video"), F.col("event_id").alias("cue"), F.col("event_id").alias("f0"), (F.col("event_id") + 40).alias("f1"))
     return streams.closed_cues(frames, cues).drop("complete")
 
 
@@ -873,8 +882,17 @@ def chat_labels(t):
     m AS (SELECT r.cue, sum(f.face::INT) AS face, sum(f.talk::INT) AS talk FROM r JOIN f ON r.video = f.video AND f.frame BETWEEN f0 AND f1 WHERE why IS NULL GROUP BY 1)
     SELECT r.cue, coalesce(why, CASE WHEN coalesce(face, 0) / (f1 - f0 + 1) < 0.08 THEN 'face_coverage' WHEN coalesce(talk, 0) / (f1 - f0 + 1) < 0.05 THEN 'speaker_coverage' END) AS reject_reason FROM r LEFT JOIN m ON r.cue = m.cue""")
 def cue_coverage(t):
+    return _coverage(t, t.events.where("event_id % 41 = 0"))
+
+
+@query()
+def cue_coverage_all(t):
+    return _coverage(t, t.events)
+
+
+def _coverage(t: Tables, chosen: DataFrame) -> DataFrame:
     frames = t.events.select(F.col("event_type").alias("video"), F.col("event_id").alias("frame"), (F.col("value") > 20).alias("has_face"), (F.col("value") > 40).alias("speaking"))
-    cues = t.events.where("event_id % 41 = 0").select(F.col("event_type").alias("video"), F.col("event_id").alias("cue"), F.col("event_id").cast("double").alias("start"), (F.col("event_id") + 60.0).alias("end"), F.lit("t").alias("text"), (F.col("user_id") % 9).alias("units"))
+    cues = chosen.select(F.col("event_type").alias("video"), F.col("event_id").alias("cue"), F.col("event_id").cast("double").alias("start"), (F.col("event_id") + 60.0).alias("end"), F.lit("t").alias("text"), (F.col("user_id") % 9).alias("units"))
     return corpus.cue_samples(cues, frames, 1.0, 0.0, 0.0, 100_000, 10, 0.08, 0.05, (1, 7)).select("cue", "reject_reason")
 
 

@@ -10,6 +10,8 @@ from pyspark.sql import functions as F
 from pyspark.sql import types as T
 from pyspark.sql.streaming.state import GroupState, GroupStateTimeout
 
+from ..operators.joins import interval_join
+
 
 def bucket_counts(events: DataFrame, time: str, width: str, late: str, *keys: str) -> DataFrame:
     """Tumbling counts and sums of a stream (or table); closed buckets only, by watermark."""
@@ -29,8 +31,13 @@ def closed_cues(frames: DataFrame, cues: DataFrame, key: str = "video", emit_inc
     ``emit_incomplete`` (tables only).
     """
     if not frames.isStreaming:
-        inside = frames.join(cues, key).where(F.col("frame_no") >= F.col("f0"))
-        out = inside.groupBy(key, "cue", "f0", "f1").agg(F.count_if(F.col("frame_no") <= F.col("f1")).alias("n"), (F.max("frame_no") >= F.col("f1")).alias("complete"))
+        # Only frames inside a cue are met; that one comes at or after it is told by the key's last frame.
+        keys = [key, "cue", "f0", "f1"]
+        inside = interval_join(frames.select(key, "frame_no"), cues.select(*keys).where("f0 <= f1").distinct(), key, "frame_no", "f0", "f1", 64).groupBy(*keys).agg(F.count("*").alias("n"))
+        last = frames.groupBy(key).agg(F.max("frame_no").alias("__last"))
+        # A row that repeats a cue counts its frames again.
+        out = cues.groupBy(*keys).agg(F.count("*").alias("__times")).join(last, key).where(F.col("__last") >= F.col("f0")).join(inside, keys, "left")
+        out = out.select(*keys, (F.coalesce("n", F.lit(0)) * F.col("__times")).alias("n"), (F.col("__last") >= F.col("f1")).alias("complete"))
         return out if emit_incomplete else out.where("complete")
     # A stream meets the table of cues by key; the state of a cue is two numbers.
     met = frames.join(cues, key).where(F.col("frame_no") >= F.col("f0"))
