@@ -24,14 +24,14 @@ def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; learns from those with crc32(doc_id) mod 4 <> 2."""
     model = langid.train(docs.where(F.pmod(crc_of_id(), F.lit(4)) != 2))
-    return _without(docs, langid.identify(docs, model).where("rejected").select("doc_id"))
+    return langid.identified(docs, model)
 
 
 def good_quality(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents that the classifier does not reject; learns from labels with crc32(doc_id) mod 5 <> 0."""
     labels = table(spark, sf_dir, "labels", "doc_id", "quality").where(F.pmod(crc_of_id(), F.lit(5)) != 0)
     net = quality.train(docs.select("doc_id", "text"), labels)
-    return _without(docs, quality.score(docs, net).where("predicted = 0").select("doc_id"))
+    return quality.accepted(docs, net)
 
 
 def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -54,5 +54,32 @@ def text_list(column: pa.Array) -> list[str]:
     return [x or "" for x in column.to_pylist()]
 
 
+def passing(docs: DataFrame, run: Callable, passes: Callable[[pa.Table], pa.ChunkedArray]) -> DataFrame:
+    """The rows of ``docs``, all columns, for which ``passes`` is true of what ``run`` tells of them.
+
+    ``run`` takes batches of (doc_id, text) and gives a row for each, in order; so the verdict is on
+    the row, whether or not ids are unique or null.
+    """
+    short_batches(docs.sparkSession)
+
+    def filtered(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        waiting, told = [], []
+
+        def parts():
+            for batch in batches:
+                if batch.num_rows:
+                    waiting.append(batch)
+                    yield pa.RecordBatch.from_arrays([batch.column("doc_id").cast(pa.int64()), batch.column("text").cast(pa.string())], names=["doc_id", "text"])
+
+        # All that is told of a batch comes before the next one is read.
+        for out in run(parts()):
+            told.append(out)
+            if sum(x.num_rows for x in told) == waiting[0].num_rows:
+                yield waiting.pop(0).filter(passes(pa.Table.from_batches(told)).combine_chunks())
+                told.clear()
+
+    return docs.mapInArrow(filtered, docs.schema)
+
+
 def rebatch(columns: dict, schema: pa.Schema) -> pa.RecordBatch:
     return pa.RecordBatch.from_arrays([pa.array(columns[f.name], type=f.type) for f in schema], schema=schema)

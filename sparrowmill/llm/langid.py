@@ -18,11 +18,12 @@ from itertools import chain, islice
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flattext as ft
-from .common import crc_of_id, rebatch, short_batches, slices, spread, table, text_list, uniform
+from .common import crc_of_id, passing, rebatch, short_batches, slices, spread, table, text_list, uniform
 
 ORDER = 4
 #: Bounds of the labelled sample: expected documents of each language for counts, and as many more to calibrate.
@@ -327,6 +328,12 @@ def identify(docs: DataFrame, model: Model) -> DataFrame:
     return docs.mapInArrow(run, "doc_id long, lang_pred string, score double, cross_entropy double, rejected boolean")
 
 
+def identified(docs: DataFrame, model: Model) -> DataFrame:
+    """The rows of ``docs``, all columns, whose own text is not rejected."""
+    run = _predictor(docs.sparkSession.sparkContext.broadcast(model)) if model.languages else _nothing
+    return passing(docs, run, lambda told: pc.invert(told["rejected"]))
+
+
 def op1_language_id(spark, sf_dir):
     """The language of every document; rows with crc32(doc_id) mod 4 = 2 are held out."""
     docs = spread(table(spark, sf_dir, "documents", "doc_id", "text", "lang"))

@@ -14,11 +14,12 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
+import pyarrow.compute as pc
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from . import flattext as ft
-from .common import crc_of_id, rebatch, short_batches, slices, spread, table
+from .common import crc_of_id, passing, rebatch, short_batches, slices, spread, table
 
 PASSAGE_WORDS = 48
 #: Bound of the labelled sample: at most so many documents, drawn by a hash of doc_id.
@@ -210,10 +211,17 @@ def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFr
     A null, empty or blank text is one passage without words, scored like any other. Repeated rows
     are scored each. No rows: no rows. Other columns of ``docs`` are ignored. A narrow scan.
     """
-    spark = docs.sparkSession
-    short_batches(spark)
-    shared = spark.sparkContext.broadcast(net)
+    short_batches(docs.sparkSession)
+    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
+    return docs.mapInArrow(_scorer(docs.sparkSession.sparkContext.broadcast(net), threshold), "doc_id long, score double, predicted int")
+
 
+def accepted(docs: DataFrame, net: Network) -> DataFrame:
+    """The rows of ``docs``, all columns, whose own text the classifier does not reject."""
+    return passing(docs, _scorer(docs.sparkSession.sparkContext.broadcast(net), THRESHOLD), lambda told: pc.equal(told["predicted"], 1))
+
+
+def _scorer(shared, threshold: float):
     def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for batch in batches:
             texts = batch.column("text")
@@ -222,8 +230,7 @@ def score(docs: DataFrame, net: Network, threshold: float = THRESHOLD) -> DataFr
                 value = shared.value.forward(x, np.searchsorted(owner, np.arange(b - a)))[0].astype(np.float64)
                 yield rebatch({"doc_id": batch.column("doc_id").slice(a, b - a), "score": value, "predicted": (value >= threshold).astype(np.int32)}, _RESULT)
 
-    docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
-    return docs.mapInArrow(run, "doc_id long, score double, predicted int")
+    return run
 
 
 def op5_quality(spark, sf_dir):

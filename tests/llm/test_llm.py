@@ -504,6 +504,29 @@ def test_pipeline_stages_on_edges(spark, edge, empty, tmp_path):
             assert name == "packing" or out.columns == docs.columns
 
 
+def test_verdicts_are_on_rows_not_on_ids(spark, data):
+    """Repeated ids with mixed verdicts, and rejected rows without an id."""
+    import corpus_pipeline
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text", "lang")
+    for name, at in (("language", 0), ("quality", 1)):
+        stage = corpus_pipeline.STAGES[at][1]
+        fixed = docs.withColumn("doc_id", F.when(F.col("doc_id") % 3 == 0, F.lit(None)).otherwise(F.col("doc_id") - F.col("doc_id") % 3)).unionAll(spark.createDataFrame([(None, "", None), (3, "", None), (4, "", None)], docs.schema))
+        if name == "language":
+            model = langid.train(fixed.where(F.pmod(crc_of_id(), F.lit(4)) != 2))
+            told = langid.identify(fixed, model).select("doc_id", (~F.col("rejected")).alias("ok")).collect()
+        else:
+            labels = spark.read.parquet(f"{data}/labels.parquet").where(F.pmod(crc_of_id(), F.lit(5)) != 0)
+            told = quality.score(fixed, quality.train(fixed.select("doc_id", "text"), labels)).select("doc_id", (F.col("predicted") == 1).alias("ok")).collect()
+        mixed = defaultdict(set)
+        for r in told:
+            mixed[r["doc_id"]].add(r["ok"])
+        assert any(len(v) == 2 for k, v in mixed.items() if k is not None) and (name == "quality" or False in mixed[None])
+        got = stage(spark, fixed, data)
+        assert got.columns == fixed.columns
+        assert sorted(r["doc_id"] or -1 for r in got.collect()) == sorted(r["doc_id"] or -1 for r in told if r["ok"])
+
+
 def test_urls_of_edges(spark):
     rows = [(1, None), (1, None), (None, "http://x.org/"), (2, ""), (3, "http://"), (4, "http://a.com/de/" + "x" * 50_000), (5, "HTTP://A.COM/de/?q=1&q=2#f")]
     pages = spark.createDataFrame(rows, "page_id long, url string").withColumn("label", F.lit("clash")).withColumn("host", F.lit("clash"))
