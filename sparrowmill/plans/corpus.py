@@ -147,6 +147,10 @@ def cue_samples(cues: DataFrame, frames: DataFrame, fps: float, offset: float, p
     return out.withColumn("reject_reason", reason).drop("__face", "__speaking")
 
 
+#: Pairs of a face and a voice that are brought to the driver, at most.
+MOST_MEETINGS = 10_000
+
+
 def speaker_segments(faces: DataFrame, voices: DataFrame, hop: float, fps: float, gap: int, step: int = 4, shortest: int = 8) -> tuple[DataFrame, float]:
     """(segments, usable share): faces (video, frame, face) and voices (video, hop, voice) brought together.
 
@@ -161,7 +165,10 @@ def speaker_segments(faces: DataFrame, voices: DataFrame, hop: float, fps: float
     last = heard.groupBy("video").agg(F.max("hop").alias("__last"))
     at = F.least(F.floor(F.col("frame") / fps / hop), F.col("__last"))
     both = shown.join(last, "video").withColumn("hop", at).drop("__last").join(heard.select("video", "hop", "said"), ["video", "hop"], "left")
-    matched = best_matching([tuple(r) for r in co_occurrence(both, "shown", "said").limit(10_000).collect()])
+    met = co_occurrence(both, "shown", "said").limit(MOST_MEETINGS + 1).collect()
+    if len(met) > MOST_MEETINGS:
+        raise ValueError(f"over {MOST_MEETINGS} pairs of a face and a voice")
+    matched = best_matching([tuple(r) for r in met])
     table = F.create_map(*[F.lit(x) for k, v in matched.items() for x in (k, v)]) if matched else None
     same = F.coalesce(F.element_at(table, F.col("shown")) == F.col("said"), F.lit(False)) if table is not None else F.lit(False)
     flagged = both.withColumn("is_speaker", same)

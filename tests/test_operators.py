@@ -212,6 +212,14 @@ def test_speaker_segments(spark):
     assert share > 0.9 and segments.where("is_speaker").count() >= 2
 
 
+def test_speaker_segments_refuse_too_many_meetings(spark, monkeypatch):
+    monkeypatch.setattr(corpus, "MOST_MEETINGS", 2, raising=False)
+    f = spark.createDataFrame([("v", i, i // 25) for i in range(100)], "video string, frame int, face int")
+    v = spark.createDataFrame([("v", i, 0) for i in range(40)], "video string, hop int, voice int")
+    with pytest.raises(ValueError, match="over 2 pairs"):
+        corpus.speaker_segments(f, v, 0.1, 25.0, 3)
+
+
 def test_cue_samples(spark):
     cues = spark.createDataFrame([("v", 1, 0.0, 1.0, "t", 5), ("v", 2, 2.0, 2.05, "t", 5), ("v", 3, 3.0, 4.0, "t", 5)], "video string, cue int, start double, end double, text string, units int")
     frames = spark.createDataFrame([("v", i, i < 60, True) for i in range(120)], "video string, frame int, has_face boolean, speaking boolean")
