@@ -510,6 +510,11 @@ def co_occurrence(t):
     return kinds.groupBy(F.col("event_type").alias("a"), "b").agg(F.count("*").alias("n"))
 
 
+@query("SELECT a, b, count(*) AS n FROM (SELECT user_id % 5 - 1 AS a, event_id % 3 - 1 AS b FROM events) WHERE a >= 0 AND b >= 0 GROUP BY 1, 2")
+def co_occurrence_voiced(t):
+    return cluster.co_occurrence(t.events.select((F.col("user_id") % 5 - 1).alias("a"), (F.col("event_id") % 3 - 1).alias("b")), "a", "b")
+
+
 # -- language model ------------------------------------------------------------------------------
 BIGRAMS = "(SELECT doc_id, unnest(list_zip(list_prepend('<s>', c), list_append(c, '</s>'))) AS g FROM (SELECT doc_id, regexp_extract_all(text, '[a-z]') AS c FROM documents))"
 COUNTED = f"c AS (SELECT g[1] AS prev, g[2] AS cur, count(*) AS n FROM {BIGRAMS} GROUP BY 1, 2)"
