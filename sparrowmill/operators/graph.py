@@ -8,7 +8,7 @@ from pyspark.sql import functions as F
 from ..plans.storage import materialize
 
 
-def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
+def components(edges: DataFrame) -> DataFrame:
     """(node, component) for every node of ``edges`` (a, b); component is the least node reachable.
 
     Each round hangs larger neighbours on the least neighbour (large star), then smaller
@@ -21,7 +21,7 @@ def components(edges: DataFrame, rounds: int = 60) -> DataFrame:
         edges.where("a <> b").select(F.greatest("a", "b").alias("u"), F.least("a", "b").alias("v")).distinct()
     )
     state = None
-    for _ in range(rounds):
+    while True:
         now = tree.agg(F.count("*").alias("n"), F.sum(F.xxhash64("u", "v").cast("decimal(38,0)")).alias("s")).first()
         if not now["n"] or (state is not None and (now["n"], now["s"]) == state):
             break

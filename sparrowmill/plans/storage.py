@@ -2,21 +2,37 @@
 
 from __future__ import annotations
 
+import tempfile
 import uuid
 
 from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import functions as F
 
 
 def shared_folder(spark: SparkSession) -> str:
-    """The folder in spark.checkpoint.dir; only where that is unset (tests), one of our own."""
-    return (spark.conf.get("spark.checkpoint.dir", None) or "/tmp/sparrowmill-checkpoints").rstrip("/")
+    """The folder in spark.checkpoint.dir.
+
+    Where that is unset, a session on one machine (master ``local``) gets a folder of its own; on a
+    cluster it is an error, as executors would write where nobody else reads.
+    """
+    path = spark.conf.get("spark.checkpoint.dir", None)
+    if path:
+        return path.rstrip("/")
+    if spark.sparkContext.master.partition("[")[0] != "local":
+        raise ValueError("set spark.checkpoint.dir to a folder that the driver and all executors share")
+    return f"{tempfile.gettempdir()}/sparrowmill-checkpoints"
 
 
 def materialize(frame: DataFrame) -> DataFrame:
-    """Write frame once to the shared folder and read it back: lineage ends in shared files."""
+    """Write frame once to the shared folder and read it back: lineage ends in shared files.
+
+    The files are removed when the application ends, by the file system that they lie in.
+    """
     spark = frame.sparkSession
     path = f"{shared_folder(spark)}/sparrowmill-{uuid.uuid4().hex}"
     frame.write.parquet(path)
+    where = spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path)
+    where.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).deleteOnExit(where)
     return spark.read.schema(frame.schema).parquet(path)
 
 
@@ -28,3 +44,52 @@ def spread(frame: DataFrame) -> DataFrame:
     """
     cores = frame.sparkSession.sparkContext.defaultParallelism
     return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
+
+
+#: Groups that are met by a broadcast, at most; a size bound, whatever the input.
+HOT_GROUPS = 10_000
+LEAST_HOT = 200
+
+
+def by_size(groups: DataFrame, size: str, total: int) -> tuple[DataFrame, DataFrame]:
+    """(large groups, the others) of ``groups`` with sizes counted in ``total`` rows.
+
+    A large group has ``total`` / HOT_GROUPS rows and more, so there are HOT_GROUPS of them at most:
+    few enough to broadcast. The others are too small to load one task.
+    """
+    limit = max(LEAST_HOT, total // HOT_GROUPS)
+    return groups.where(F.col(size) >= limit), groups.where(F.col(size) < limit)
+
+
+def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: int, *spread_by: str) -> DataFrame:
+    """``rows`` left-joined with ``groups`` (key, size, ...), which has one row for each key.
+
+    Large groups (see by_size) are met by a broadcast, others by an equi-join. Rows of large groups
+    are dealt out by a hash of ``spread_by`` there, so no key is a task of its own. Null keys meet
+    nothing.
+    """
+    rest = [c for c in groups.columns if c != key]
+    hot, cold = by_size(groups, size, total)
+    hot = hot.select(key, F.lit(True).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in rest])
+    dealt = F.lit(1) + F.pmod(F.xxhash64(*spread_by), F.lit(1 << 20)).cast("int")
+    met = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", F.when(F.col("__hot") | F.col(key).isNull(), dealt).otherwise(0))
+    met = met.join(cold.select(key, F.lit(0).alias("__salt"), *rest), [key, "__salt"], "left")
+    return met.select(*rows.columns, *[F.coalesce(f"__hot_{c}", c).alias(c) for c in rest])
+
+
+#: Words of 64 bits of the bitmap of keys: a size bound of what is broadcast.
+BITMAP_WORDS = 1 << 20
+
+
+def maybe_among(rows: DataFrame, keys: DataFrame, *columns: str, name: str = "__hit") -> DataFrame:
+    """``rows`` with a flag: false where the values of ``columns`` are surely none of those in ``keys``.
+
+    A bitmap of 64 * BITMAP_WORDS slots, at most BITMAP_WORDS rows of two numbers, is broadcast
+    whatever the number of keys. Two values may share a slot: more rows are flagged then, none fewer.
+    """
+    slot = F.pmod(F.xxhash64(*columns), F.lit(64 * BITMAP_WORDS))
+    bit = F.call_function("shiftleft", F.lit(1).cast("long"), slot.bitwiseAND(63).cast("int"))
+    words = keys.select(F.shiftright(slot, 6).alias("__word"), bit.alias("__bit")).groupBy("__word").agg(F.bit_or("__bit").alias("__bits"))
+    met = rows.withColumn("__word", F.shiftright(slot, 6)).join(F.broadcast(words), "__word", "left")
+    flag = F.coalesce(F.getbit("__bits", slot.bitwiseAND(63).cast("int")) == 1, F.lit(False))
+    return met.withColumn(name, flag).drop("__word", "__bits")
