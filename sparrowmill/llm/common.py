@@ -8,7 +8,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..plans.storage import materialize, spread  # noqa: F401  (for the operators beside)
+from ..plans.storage import by_size, materialize, maybe_among, spread, with_group  # noqa: F401  (for the operators beside)
 
 #: Bytes of text that one vectorised step works on; a longer text is a step of its own.
 SLICE_BYTES = 1 << 20
