@@ -12,15 +12,6 @@ from sparrowmill.llm.common import crc_of_id, materialize, table
 TOKENIZER = "word_bpe_49k.json"
 
 
-def _without(docs: DataFrame, dropped: DataFrame) -> DataFrame:
-    """``docs`` without the rows whose id is in ``dropped`` (doc_id).
-
-    The dropped ids are written first, so that Spark knows their size and broadcasts them only
-    where they are small. Rows without an id are never dropped.
-    """
-    return docs.join(materialize(dropped.where("doc_id is not null").distinct()), "doc_id", "left_anti").select(*docs.columns)
-
-
 def language(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """Documents whose language is identified; learns from those with crc32(doc_id) mod 4 <> 2."""
     model = langid.train(docs.where(F.pmod(crc_of_id(), F.lit(4)) != 2))
@@ -41,7 +32,7 @@ def without_exact_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> D
 
 def without_near_copies(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:
     """One document of each group of near copies."""
-    return _without(docs, minhash.near_duplicates(docs.select("doc_id", "text")).where("not kept").select("doc_id"))
+    return minhash.without_near_duplicates(docs)
 
 
 def packed(spark: SparkSession, docs: DataFrame, sf_dir: str) -> DataFrame:

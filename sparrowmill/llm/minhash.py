@@ -7,13 +7,16 @@ filled bin of a sequence that is the same for all texts (optimal densification).
 bucket of representatives one centre is linked with every other member, so candidates grow with
 the members and not with their square. Candidates are confirmed on full sets. Later rounds draw
 new centres in buckets whose members are still in different components, against the members of
-other components only, for ``rounds`` at most. What then still lies in buckets of
-several components is finished exactly: tokens in one order, rarest first, a pair that reaches the
+other components only. Draws are cheap; what still lies in buckets of several components after
+``rounds`` of them is finished exactly: tokens in one order, rarest first, a pair that reaches the
 threshold shares a token early in both (prefix and positional filters), so every such pair is a
 candidate and is confirmed on full sets.
 
 With 32 bands of 4 bins a pair at similarity 0.75 misses every common bucket with a
 probability of 5e-6.
+
+Hot buckets and classes: large ones are few and are met by a broadcast (see storage.by_size), so no
+bucket is a task of its own.
 """
 
 from __future__ import annotations
@@ -27,7 +30,7 @@ from pyspark.sql import functions as F
 
 from ..operators.graph import components
 from . import flattext as ft
-from .common import materialize, rebatch, short_batches, slices
+from .common import materialize, maybe_among, rebatch, short_batches, slices, with_group
 
 BINS, ROWS = 128, 4
 BANDS = BINS // ROWS
@@ -122,20 +125,23 @@ def _stars(members: DataFrame, salt: int) -> DataFrame:
     members of many shared buckets: a text that others are copies of is in more than each of them.
     """
     first = F.xxhash64("rep", F.lit(salt))
+    drawing = members
     if salt == 0:
-        members = members.join(members.groupBy("rep").agg((-F.count("*")).alias("rank")), "rep")
+        drawing = members.join(members.groupBy("rep").agg((-F.count("*")).alias("rank")), "rep")
         drawn = F.struct("rank", first.alias("draw"), "rep", "component")
     else:
         drawn = F.struct(first.alias("draw"), "rep", "component")
-    centres = members.groupBy("bucket").agg(F.min(drawn).alias("c")).select("bucket", F.col("c.rep").alias("centre"), F.col("c.component").alias("its"))
-    pairs = members.join(centres, "bucket").where("component <> its")
+    centres = drawing.groupBy("bucket").agg(F.min(drawn).alias("c"), F.count("*").alias("size"))
+    centres = materialize(centres.select("bucket", F.col("c.rep").alias("centre"), F.col("c.component").alias("its"), "size"))
+    pairs = with_group(members, centres, "bucket", "size", members.count(), "rep").where("component <> its")
     return pairs.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
 
 
-def _mixed(members: DataFrame) -> DataFrame:
-    """The members of buckets that hold more than one component."""
-    mixed = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("bucket")
-    return materialize(members.join(mixed, "bucket", "left_semi"))
+def _mixed(members: DataFrame, total: int) -> DataFrame:
+    """The members (of ``total`` rows) of buckets that hold more than one component."""
+    buckets = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
+    mixed = materialize(buckets.where("lo <> hi").select("bucket", "size"))
+    return materialize(with_group(members, mixed, "bucket", "size", total, "rep").where("size is not null").select(*members.columns))
 
 
 def _confirmed(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
@@ -151,9 +157,12 @@ def _leftover(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     """Candidates (a, b) of different components among all ``members`` (rep, component): every pair
     that reaches the threshold is among them.
 
-    Tokens that one component alone has stand first in the order, then the others, rarest first. If
-    the first token that two sets share stands at i and j (from 0), they share min(nx - i, ny - j)
-    tokens at most. A set's tokens are looked at as far as that bound allows any partner.
+    Tokens that one component alone has stand first in the order, then the others, rarest first.
+    Sets that reach the threshold share a token that lies early in both: in the larger set x, with n
+    tokens, at least percent * n tokens are left from it on; in the smaller set y, at least
+    2 * percent / (100 + percent) * n. If the first token they share stands at i and j (from 0), they
+    share min(nx - i, ny - j) tokens at most. So a passage that unlinked texts share is not looked at
+    where what is their own is a seventh of the smaller text.
     """
     held = members.select(F.col("rep").alias("doc_id"), "component").distinct().join(sets, "doc_id")
     held = materialize(held.select("doc_id", "component", F.size("shingles").cast("long").alias("n"), "shingles", "bits"))
@@ -164,14 +173,17 @@ def _leftover(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     # from_end is n - i: tokens from here to the end of the order, this one too.
     placed = placed.where(100 * F.col("from_end") >= percent * F.col("n")).select("doc_id", "token", "from_end")
     placed = materialize(placed.join(held.select("doc_id", "component", "n", "bits"), "doc_id"))
-    x = placed.select("token", *[F.col(c).alias(f"x_{c}") for c in ("doc_id", "component", "n", "bits", "from_end")])
-    y = placed.select("token", *[F.col(c).alias(f"y_{c}") for c in ("doc_id", "component", "n", "bits", "from_end")])
+    names = ("doc_id", "component", "n", "bits", "from_end")
+    x = placed.select("token", *[F.col(c).alias(f"x_{c}") for c in names])
+    y = placed.where((100 + percent) * F.col("from_end") >= 2 * percent * F.col("n")).select("token", *[F.col(c).alias(f"y_{c}") for c in names])
     lacks = lambda p, q: sum(F.bit_count(F.get(p, F.lit(k)).bitwiseAND(F.bitwise_not(F.get(q, F.lit(k))))) for k in range(BITS // 64))
     need = percent * (F.col("x_n") + F.col("y_n"))
+    smaller = (F.col("y_n") < F.col("x_n")) | ((F.col("y_n") == F.col("x_n")) & (F.col("y_doc_id") < F.col("x_doc_id")))
+    by_size = 100 * F.col("y_n") >= percent * F.col("x_n")
     by_place = (100 + percent) * F.least("x_from_end", "y_from_end") >= need
     by_bits = (100 + percent) * F.least(F.col("x_n") - lacks("x_bits", "y_bits"), F.col("y_n") - lacks("y_bits", "x_bits")) >= need
-    met = (x["token"] == y["token"]) & (F.col("x_doc_id") < F.col("y_doc_id")) & (F.col("x_component") != F.col("y_component")) & by_place & by_bits
-    return x.join(y, met).select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b")).distinct()
+    met = (x["token"] == y["token"]) & smaller & by_size & (F.col("x_component") != F.col("y_component")) & by_place & by_bits
+    return x.join(y, met).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
 
 
 def near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5, rounds: int = 4) -> DataFrame:
@@ -189,11 +201,11 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5,
     sketch = materialize(docs.mapInArrow(_sketches(shingle_words), "doc_id long, n_shingles long, set_a long, set_b long, bands array<long>"))
     same = ["n_shingles", "set_a", "set_b"]
     usable = sketch.where("n_shingles > 0 and doc_id is not null")
-    classes = materialize(usable.groupBy(*same).agg(F.min("doc_id").alias("rep")))
-    # A class's representative row is found by its id; the distinct drops rows that repeat it.
-    chosen = usable.join(classes, same).where("doc_id = rep").select("rep", F.explode("bands").alias("bucket"))
-    shared = chosen.groupBy("bucket").agg(F.min("rep").alias("lo"), F.max("rep").alias("hi")).where("lo <> hi").select("bucket")
-    members = materialize(chosen.join(shared, "bucket", "left_semi").distinct().withColumn("component", F.col("rep")))
+    classes = materialize(usable.groupBy(*same).agg(F.min("doc_id").alias("rep"), F.count("*").alias("size")))
+    # A class's representative row is found by its id, which also deals out the rows of a large class.
+    chosen = usable.join(classes.withColumn("doc_id", F.col("rep")), [*same, "doc_id"]).select("rep", F.explode("bands").alias("bucket"), F.col("rep").alias("component"))
+    # The distinct drops what rows that repeat an id and a text bring twice.
+    members = materialize(_mixed(chosen, classes.count() * BANDS).distinct())
     needed = materialize(members.select(F.col("rep").alias("doc_id")).distinct())
     sets = docs.join(needed, "doc_id", "left_semi").mapInArrow(_full_sets(shingle_words), "doc_id long, shingles array<long>, bits array<long>")
     sets = materialize(sets.dropDuplicates(["doc_id"]))
@@ -219,10 +231,28 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5,
             members = members.drop("component").join(label, F.col("rep") == F.col("node"), "left")
             members = members.select("rep", "bucket", F.coalesce("component", "rep").alias("component"))
         if not last:
-            members = _mixed(members)
-    named = classes.select(*same, F.col("rep").alias("component_id"))
+            members = _mixed(members, members.count())
+    named = classes.select(*same, F.col("rep").alias("component_id"), "size")
     if label is not None:
-        named = classes.join(label, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component_id"))
-    linked = usable.select("doc_id", *same).join(named, same).select("doc_id", "n_shingles", "component_id")
+        named = classes.join(label, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component_id"), "size")
+    # One value that names a class, to meet it by.
+    named = materialize(named.select(F.struct(*same).alias("key"), "component_id", "size"))
+    linked = with_group(usable.select("doc_id", "n_shingles", F.struct(*same).alias("key")), named, "key", "size", usable.count(), "doc_id", "n_shingles")
+    linked = linked.select("doc_id", "n_shingles", "component_id")
     alone = sketch.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
+
+
+def without_near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5) -> DataFrame:
+    """One document of each group of near copies of ``docs`` (doc_id, text, ...), all columns.
+
+    Rows without an id stay. Rows that repeat an id stay or go together; they stay if any of them
+    does. Rows that surely stay pass straight through a narrow scan, so only rows that may go are
+    shuffled.
+    """
+    told = near_duplicates(docs.select("doc_id", "text"), percent, shingle_words).where("doc_id is not null")
+    gone = materialize(told.groupBy("doc_id").agg(F.bool_or("kept").alias("kept")).where("not kept").select(F.col("doc_id").alias("__id")))
+    whole = docs.select(F.col("doc_id").cast("long").alias("__id"), F.struct(*[F.col(f"`{c}`") for c in docs.columns]).alias("__row"))
+    marked = maybe_among(whole, gone, "__id")
+    stays = marked.where("__hit").join(gone, "__id", "left_anti")
+    return marked.where("not __hit").unionByName(stays).select("__row.*")

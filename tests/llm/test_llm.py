@@ -106,6 +106,63 @@ def test_near_duplicates_of_hub_families_and_passage_crowds(spark):
     assert got == plain_near(rows)
 
 
+def counted_near(texts, percent=75):
+    """Brute force for larger sets of texts: {position: component} by counting what each pair shares."""
+    sets = [{tuple(w[k : k + 5]) for k in range(max(len(w) - 4, 1))} for w in (t.split() for t in texts)]
+    posting = defaultdict(list)
+    for i, s in enumerate(sets):
+        for g in s:
+            posting[g].append(i)
+    posting = {g: np.array(p) for g, p in posting.items()}
+    size, root = np.array([len(s) for s in sets]), list(range(len(sets)))
+
+    def find(x):
+        while root[x] != x:
+            x = root[x]
+        return x
+
+    for i, s in enumerate(sets):
+        common = np.bincount(np.concatenate([posting[g] for g in s]), minlength=len(sets))
+        for j in np.flatnonzero((100 * common >= percent * (size + size[i] - common)) & (np.arange(len(sets)) > i)):
+            x, y = sorted((find(i), find(int(j))))
+            root[y] = x
+    return {i: find(i) for i in range(len(sets))}
+
+
+def test_near_duplicates_of_template_families(spark):
+    """Pages of a few templates, unlinked pairs at 0.6 to 0.74 for the most part, and planted linked pairs."""
+    rng = random.Random(3)
+    word = lambda: "".join(rng.choice("abcdefgh") for _ in range(7))
+    texts = []
+    for slots, fill, n in ((14, 4, 300), (8, 8, 500), (20, 2, 300), (5, 1, 200)):
+        parts = [[word() for _ in range(400 // slots)] for _ in range(slots)]
+        for _ in range(n):
+            page = [w for p in parts for w in [*p, *(word() for _ in range(fill))]]
+            texts.append(page)
+            if rng.random() < 0.4:
+                near = list(page)
+                for _ in range(rng.randrange(1, 10)):
+                    near[rng.randrange(len(near))] = word()
+                texts.append(near)
+    rng.shuffle(texts)
+    texts = [" ".join(t) for t in texts]
+    want = counted_near(texts)
+    assert 500 < len(set(want.values())) < len(texts) - 300
+    got = {r["doc_id"]: r["component_id"] for r in minhash.near_duplicates(spark.createDataFrame(list(enumerate(texts)), "doc_id long, text string")).collect()}
+    assert got == want
+
+
+def test_near_copies_go_by_row(near, edge, empty):
+    """Columns of any name stay; rows that repeat an id go only where none of them stays."""
+    docs = edge.withColumn("a.b", F.lit(1)).withColumn("__hit", F.lit("x")).withColumn("kept", F.col("doc_id"))
+    got = minhash.without_near_duplicates(docs)
+    ids = [r["doc_id"] for r in got.collect()]
+    assert got.columns == docs.columns and 8 in ids and 9 not in ids and 10 not in ids and ids.count(4) == 3 and ids.count(None) == 1
+    component = plain_near([(r["doc_id"], r["text"]) for r in near.where("doc_id is not null").collect()])
+    kept = sorted(r["doc_id"] for r in minhash.without_near_duplicates(near).where("doc_id is not null").collect())
+    assert kept == sorted(i for i, (_, c) in component.items() if c == i) and minhash.without_near_duplicates(empty).count() == 0
+
+
 def test_near_duplicates_of_edges(edge, empty):
     got = [tuple(r) for r in minhash.near_duplicates(edge).collect()]
     by = {r[0]: r for r in got}
@@ -143,9 +200,24 @@ def test_exact_duplicates_match_brute_force(near, edge, empty):
         assert all(r["kept"] == (r["doc_id"] == r["keep_id"]) for r in got)
         kept = exact_dedup.drop_exact_duplicates(docs)
         assert kept.columns == docs.columns and kept.select("doc_id").where("doc_id is not null").distinct().count() == len({v[0] for v in groups.values() if v[0] is not None})
+        odd = docs.withColumn("a.b", F.lit(1)).withColumn("keep_id", F.lit(2)).withColumn("__full", F.lit("x")).withColumn("n", F.col("doc_id"))
+        assert exact_dedup.drop_exact_duplicates(odd).columns == odd.columns and exact_dedup.drop_exact_duplicates(odd).count() == kept.count()
     assert exact_dedup.exact_duplicates(empty).count() == 0 and exact_dedup.drop_exact_duplicates(empty).count() == 0
 
 
+def test_exact_duplicates_with_large_groups(spark, monkeypatch):
+    """Groups over the bound are met by a broadcast, others by a shuffle; both by row."""
+    from sparrowmill.plans import storage
+
+    monkeypatch.setattr(storage, "LEAST_HOT", 20)
+    rows = [(i, "same  text" if i % 3 else f"text {i % 40}", "en", "q") for i in range(600)] + [(None, "same text", None, None), (1, "same text", None, None)]
+    docs = spark.createDataFrame(rows, DOCS)
+    groups = plain_exact([r[:2] for r in rows])
+    got = exact_dedup.exact_duplicates(docs).collect()
+    assert len(got) == 602 and {(r["keep_id"], r["group_size"]) for r in got} == set(groups.values()) and sum(r["kept"] for r in got) == len(groups) + 1
+    assert exact_dedup.drop_exact_duplicates(docs).count() == len(groups) + 1
+
+
 @pytest.mark.parametrize("name", sorted(queries.oracle_sql()))
 def test_queries_match_sql(spark, data, name):
     from oracle import check
