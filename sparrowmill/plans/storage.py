@@ -65,16 +65,18 @@ def with_group(rows: DataFrame, groups: DataFrame, key: str, size: str, total: i
     """``rows`` left-joined with ``groups`` (key, size, ...), which has one row for each key.
 
     Large groups (see by_size) are met by a broadcast, others by an equi-join. Rows of large groups
-    are dealt out by a hash of ``spread_by`` there, so no key is a task of its own. Null keys meet
-    nothing.
+    are dealt out by a hash of ``spread_by`` there, so no key is a task of its own; what they meet is
+    passed over. Null keys meet nothing. Keys are long integers or texts.
     """
     rest = [c for c in groups.columns if c != key]
     hot, cold = by_size(groups, size, total)
     hot = hot.select(key, F.lit(True).alias("__hot"), *[F.col(c).alias(f"__hot_{c}") for c in rest])
-    dealt = F.lit(1) + F.pmod(F.xxhash64(*spread_by), F.lit(1 << 20)).cast("int")
-    met = rows.join(F.broadcast(hot), key, "left").withColumn("__salt", F.when(F.col("__hot") | F.col(key).isNull(), dealt).otherwise(0))
-    met = met.join(cold.select(key, F.lit(0).alias("__salt"), *rest), [key, "__salt"], "left")
-    return met.select(*rows.columns, *[F.coalesce(f"__hot_{c}", c).alias(c) for c in rest])
+    cold = cold.select(F.col(key).alias("__key"), *[F.col(c).alias(f"__cold_{c}") for c in rest])
+    apart = F.col("__hot") | F.col(key).isNull()
+    dealt = F.xxhash64(*spread_by, F.lit(1)).cast(groups.schema[key].dataType)
+    met = rows.join(F.broadcast(hot), key, "left").withColumn("__key", F.when(apart, dealt).otherwise(F.col(key))).join(cold, "__key", "left")
+    value = lambda c: F.when(apart, F.col(f"__hot_{c}")).otherwise(F.col(f"__cold_{c}")).alias(c)
+    return met.select(*rows.columns, *[value(c) for c in rest])
 
 
 #: Words of 64 bits of the bitmap of keys: a size bound of what is broadcast.
