@@ -7,8 +7,8 @@ filled bin of a sequence that is the same for all texts (optimal densification).
 bucket of representatives one centre is linked with every other member, so candidates grow with
 the members and not with their square. Candidates are confirmed on full sets. Later rounds draw
 new centres in buckets whose members are still in different components, against the members of
-other components only. Draws are cheap; what still lies in buckets of several components after
-``rounds`` of them is finished exactly: tokens in one order, rarest first, a pair that reaches the
+other components only, as long as draws bring links; what then still lies in buckets of several
+components is finished exactly: tokens in one order, rarest first, a pair that reaches the
 threshold shares a token early in both (prefix and positional filters), so every such pair is a
 candidate and is confirmed on full sets.
 
@@ -71,6 +71,8 @@ def band_keys(values: np.ndarray) -> np.ndarray:
 
 _SKETCH = pa.schema([("doc_id", pa.int64()), ("n_shingles", pa.int64()), ("set_a", pa.int64()), ("set_b", pa.int64()), ("bands", pa.list_(pa.int64()))])
 _SETS = pa.schema([("doc_id", pa.int64()), ("shingles", pa.list_(pa.int64())), ("bits", pa.list_(pa.int64()))])
+#: Draws go on while at least this share of their candidates are links; then the exact way finishes.
+PRODUCTIVE = 0.05
 #: Bits of the bitmap of a set; what one bitmap has and another lacks bounds their common part.
 BITS = 512
 
@@ -117,8 +119,8 @@ def _full_sets(size: int):
 
 
 def _stars(members: DataFrame, salt: int) -> DataFrame:
-    """Candidate (a, b): in each bucket of (rep, bucket, component) one centre, drawn by hash,
-    with every member of another component than its own.
+    """Candidate (a, b, ca, cb): in each bucket of (rep, bucket, component) one centre, drawn by
+    hash, with every member of another component than its own; ca and cb are their components.
 
     The draw is the same in all buckets, so the buckets of a group of near copies have few
     centres between them, and their candidates fall together. The first draw (salt 0) prefers
@@ -132,30 +134,33 @@ def _stars(members: DataFrame, salt: int) -> DataFrame:
     else:
         drawn = F.struct(first.alias("draw"), "rep", "component")
     centres = drawing.groupBy("bucket").agg(F.min(drawn).alias("c"), F.count("*").alias("size"))
-    centres = materialize(centres.select("bucket", F.col("c.rep").alias("centre"), F.col("c.component").alias("its"), "size"))
+    centres = centres.select("bucket", F.col("c.rep").alias("centre"), F.col("c.component").alias("its"), "size")
     pairs = with_group(members, centres, "bucket", "size", members.count(), "rep").where("component <> its")
-    return pairs.select(F.least("rep", "centre").alias("a"), F.greatest("rep", "centre").alias("b")).distinct()
+    low = F.least(F.struct("rep", "component"), F.struct(F.col("centre").alias("rep"), F.col("its").alias("component")))
+    high = F.greatest(F.struct("rep", "component"), F.struct(F.col("centre").alias("rep"), F.col("its").alias("component")))
+    pairs = pairs.select(low.alias("p"), high.alias("q")).select(F.col("p.rep").alias("a"), F.col("q.rep").alias("b"), F.col("p.component").alias("ca"), F.col("q.component").alias("cb"))
+    return pairs.distinct()
 
 
 def _mixed(members: DataFrame, total: int) -> DataFrame:
     """The members (of ``total`` rows) of buckets that hold more than one component."""
     buckets = members.groupBy("bucket").agg(F.min("component").alias("lo"), F.max("component").alias("hi"), F.count("*").alias("size"))
-    mixed = materialize(buckets.where("lo <> hi").select("bucket", "size"))
-    return materialize(with_group(members, mixed, "bucket", "size", total, "rep").where("size is not null").select(*members.columns))
+    mixed = buckets.where("lo <> hi").select("bucket", "size")
+    return with_group(members, mixed, "bucket", "size", total, "rep").where("size is not null").select(*members.columns)
 
 
 def _confirmed(candidates: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """The candidates (a, b) whose full shingle sets reach the threshold."""
+    """The candidates (a, b, ...) whose full shingle sets reach the threshold."""
     left = candidates.join(sets.select(F.col("doc_id").alias("a"), F.col("shingles").alias("x")), "a")
     both = left.join(sets.select(F.col("doc_id").alias("b"), F.col("shingles").alias("y")), "b")
     common = F.size(F.array_intersect("x", "y")).cast("long")
     union = F.size("x") + F.size("y") - common
-    return both.where(100 * common >= percent * union).select("a", "b")
+    return both.where(100 * common >= percent * union).select(*candidates.columns)
 
 
 def _leftover(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
-    """Candidates (a, b) of different components among all ``members`` (rep, component): every pair
-    that reaches the threshold is among them.
+    """Candidates (a, b, ca, cb) of different components among all ``members`` (rep, component): every
+    pair that reaches the threshold is among them.
 
     Tokens that one component alone has stand first in the order, then the others, rarest first.
     Sets that reach the threshold share a token that lies early in both: in the larger set x, with n
@@ -164,7 +169,7 @@ def _leftover(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     share min(nx - i, ny - j) tokens at most. So a passage that unlinked texts share is not looked at
     where what is their own is a seventh of the smaller text.
     """
-    held = members.select(F.col("rep").alias("doc_id"), "component").distinct().join(sets, "doc_id")
+    held = members.select(F.col("rep").alias("doc_id"), "component").distinct().join(sets, "doc_id").dropDuplicates(["doc_id"])
     held = materialize(held.select("doc_id", "component", F.size("shingles").cast("long").alias("n"), "shingles", "bits"))
     each = held.select("doc_id", "component", "n", F.explode("shingles").alias("token"))
     common = each.groupBy("token").agg(F.count("*").alias("df"), F.min("component").alias("lo"), F.max("component").alias("hi")).where("lo <> hi").select("token", "df")
@@ -183,18 +188,18 @@ def _leftover(members: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
     by_place = (100 + percent) * F.least("x_from_end", "y_from_end") >= need
     by_bits = (100 + percent) * F.least(F.col("x_n") - lacks("x_bits", "y_bits"), F.col("y_n") - lacks("y_bits", "x_bits")) >= need
     met = (x["token"] == y["token"]) & smaller & by_size & (F.col("x_component") != F.col("y_component")) & by_place & by_bits
-    return x.join(y, met).select(F.least("x_doc_id", "y_doc_id").alias("a"), F.greatest("x_doc_id", "y_doc_id").alias("b")).distinct()
+    return x.join(y, met).select(F.col("x_doc_id").alias("a"), F.col("y_doc_id").alias("b"), F.col("x_component").alias("ca"), F.col("y_component").alias("cb")).distinct()
 
 
-def near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5, rounds: int = 4) -> DataFrame:
+def near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5, productive: float = PRODUCTIVE) -> DataFrame:
     """One row for each row of ``docs`` (doc_id, text): doc_id, n_shingles, component_id, kept.
 
     Texts are linked where 100 * |intersection| >= percent * |union| of their shingle sets;
     component_id is the least doc_id reachable over links, kept is doc_id = component_id.
     Null or blank text: no shingles, linked with nothing. Null doc_id: never linked,
     component_id null, kept. Equal sets are one class. doc_id should be unique: rows that repeat
-    one are one node of the graph, for which one of their texts is confirmed. No rows: no rows.
-    Other columns of ``docs`` are ignored.
+    one are one node of the graph. No rows: no rows. Other columns of ``docs`` are ignored.
+    ``productive`` moves work between draws and the exact way, and changes no result.
     """
     short_batches(docs.sparkSession)
     docs = docs.select(F.col("doc_id").cast("long").alias("doc_id"), F.col("text").cast("string").alias("text"))
@@ -206,43 +211,39 @@ def near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5,
     chosen = usable.join(classes.withColumn("doc_id", F.col("rep")), [*same, "doc_id"]).select("rep", F.explode("bands").alias("bucket"), F.col("rep").alias("component"))
     # The distinct drops what rows that repeat an id and a text bring twice.
     members = materialize(_mixed(chosen, classes.count() * BANDS).distinct())
-    needed = materialize(members.select(F.col("rep").alias("doc_id")).distinct())
-    sets = docs.join(needed, "doc_id", "left_semi").mapInArrow(_full_sets(shingle_words), "doc_id long, shingles array<long>, bits array<long>")
-    sets = materialize(sets.dropDuplicates(["doc_id"]))
-
-    links = tested = label = None
-    for turn in range(rounds + 1):
-        # Draws first, as they are cheap; the last turn finishes what they leave.
-        last = turn == rounds
-        candidates = _leftover(members, sets, percent) if last else _stars(members, turn)
-        if tested is not None:
-            candidates = candidates.join(tested, ["a", "b"], "left_anti")
-        candidates = materialize(candidates)
-        if candidates.isEmpty():
-            # A draw may have been tested before while other pairs were not: only no members end it.
-            if members.isEmpty():
-                break
-            continue
-        tested = candidates if tested is None else tested.unionAll(candidates)
+    needed = members.select(F.col("rep").alias("doc_id")).distinct()
+    sets = materialize(docs.join(needed, "doc_id", "left_semi").mapInArrow(_full_sets(shingle_words), "doc_id long, shingles array<long>, bits array<long>"))
+
+    named = classes.withColumn("component_id", F.col("rep"))
+    turn, last = 0, False
+    while not members.isEmpty():
+        candidates = materialize(_leftover(members, sets, percent) if last else _stars(members, turn))
         found = materialize(_confirmed(candidates, sets, percent))
-        if not found.isEmpty():
-            links = found if links is None else links.unionAll(found)
-            label = materialize(components(links))
-            members = members.drop("component").join(label, F.col("rep") == F.col("node"), "left")
-            members = members.select("rep", "bucket", F.coalesce("component", "rep").alias("component"))
-        if not last:
-            members = _mixed(members, members.count())
-    named = classes.select(*same, F.col("rep").alias("component_id"), "size")
-    if label is not None:
-        named = classes.join(label, F.col("rep") == F.col("node"), "left").select(*same, F.coalesce("component", "rep").alias("component_id"), "size")
+        links = found.count()
+        if links:
+            # Components of components: a graph that shrinks from turn to turn.
+            moved = materialize(components(found.select(F.col("ca").alias("a"), F.col("cb").alias("b"))))
+            members, named = _renamed(members, "component", moved), _renamed(named, "component_id", moved)
+        if last:
+            break
+        last = links < productive * candidates.count()
+        members = materialize(_mixed(members, members.count()))
+        turn += 1
     # One value that names a class, to meet it by.
-    named = materialize(named.select(F.struct(*same).alias("key"), "component_id", "size"))
-    linked = with_group(usable.select("doc_id", "n_shingles", F.struct(*same).alias("key")), named, "key", "size", usable.count(), "doc_id", "n_shingles")
+    key = F.concat_ws(",", *same).alias("key")
+    named = materialize(named.select(key, "component_id", "size"))
+    linked = with_group(usable.select("doc_id", "n_shingles", key), named, "key", "size", usable.count(), "doc_id", "n_shingles")
     linked = linked.select("doc_id", "n_shingles", "component_id")
     alone = sketch.where("n_shingles = 0 or doc_id is null").select("doc_id", "n_shingles", F.col("doc_id").alias("component_id"))
     return linked.unionAll(alone).withColumn("kept", F.coalesce(F.col("doc_id") == F.col("component_id"), F.lit(True)))
 
 
+def _renamed(rows: DataFrame, name: str, moved: DataFrame) -> DataFrame:
+    """``rows`` with the components in ``moved`` (node, component) renamed."""
+    met = rows.join(moved.select(F.col("node").alias(name), F.col("component").alias("__new")), name, "left")
+    return met.withColumn(name, F.coalesce("__new", name)).select(*rows.columns)
+
+
 def without_near_duplicates(docs: DataFrame, percent: int = 75, shingle_words: int = 5) -> DataFrame:
     """One document of each group of near copies of ``docs`` (doc_id, text, ...), all columns.
 
