@@ -389,6 +389,69 @@ def test_wrapper_leaves_out_what_repeats_inside_articles():
     assert html_wrapper.main_text(f"<article>{note}</article>", w) == "We may earn from links"
 
 
+def test_class_names_mark_by_all_their_words():
+    for token in ("ad", "ad-300x250", "cookie-notice", "commentList", "related-posts", "sidebar_left", "article-share", "nav"):
+        assert html_wrapper.marks(token), token
+    for token in ("side-effects", "alert-level", "share-price", "footer-note", "search-results", "commentary", "main-content", "article"):
+        assert not html_wrapper.marks(token), token
+    body = "<article><h1>H</h1><div class='side-effects'><p>Nausea</p></div><p class='alert-level'>High</p><div class='comment-list'><p>me too</p></div><p>End</p></article>"
+    assert html_wrapper.main_text(PAGE.format(body)) == "H\n\nNausea\n\nHigh\n\nEnd"
+
+
+def test_slots_decide_where_tags_and_classes_do_not():
+    """Hosts of plain divisions: menus, repeated lines and short asides go by their slots; a class name gives way."""
+    page = "<div>{menu}</div><div>Offer {k} today</div><div><p>Read our terms</p><h1>Title {k}</h1>{body}</div><div>Seen by {k} people</div>"
+    pages = [page.format(menu="".join(f"<li><a>m{j}{k}</a></li>" for j in range(4)), k=k, body="".join(f"<p>Sentence {k} {j} tells something new.</p>" for j in range(3 + k % 3))) for k in range(6)]
+    want = ["\n\n".join([f"Title {k}", *(f"Sentence {k} {j} tells something new." for j in range(3 + k % 3))]) for k in range(6)]
+    w = html_wrapper.infer(pages)
+    assert w["enough"] and not w["main"] and [html_wrapper.main_text(p, w) for p in pages] == want
+    assert all(html_wrapper.main_text(p) != t for p, t in zip(pages, want, strict=True)) and not html_wrapper.infer(pages[:2])["enough"]
+    # An article on a page of such a host, and a host that keeps its texts in a region named like a widget.
+    marked = [p.replace("<div><p>Read", "<div class=widget><p>Read") for p in pages]
+    w = html_wrapper.infer(marked)
+    assert [html_wrapper.main_text(p, w) for p in marked] == want and html_wrapper.main_text(marked[0]) != want[0]
+
+
+def test_slots_alone_find_the_articles(data):
+    """Pages without any semantic tag or class: the wrapper finds what the article tag held."""
+    import os
+    import re
+
+    path = f"{os.path.dirname(data)}/sf0.01/pages.parquet"
+    if not os.path.exists(path):
+        pytest.skip("no larger table here")
+    pages = pd.read_parquet(path)
+    pages["host"] = pages["url"].str.extract(r"://([^/?#]*)")[0]
+    plain = pages["html"].map(lambda p: re.sub(r"<(/?)(article|nav|footer)\b", r"<\1div", p).replace(' class="ad"', ""))
+    told = right = 0
+    for _, rows in pages.groupby("host"):
+        w = html_wrapper.infer(list(plain[rows.index][:12]))
+        told += len(rows) * w["enough"]
+        right += sum(html_wrapper.main_text(plain[i], w) == html_wrapper.main_text(pages["html"][i]) for i in rows.index)
+    assert told > 0.8 * len(pages) and right == told
+
+
+def test_long_streams_are_aligned_in_bounded_time():
+    import time
+
+    rng = random.Random(2)
+    a = [f"k{i}" if i % 5 else rng.choice("xyz") for i in range(30_000)]
+    b = [k for k in a if rng.random() < 0.9]
+    began = time.perf_counter()
+    pairs = html_wrapper.matches(a, b)
+    assert all(a[i] == b[j] for i, j in pairs) and len(pairs) > 0.99 * len(b) and all(x[0] < y[0] and x[1] < y[1] for x, y in zip(pairs, pairs[1:], strict=False))
+    assert html_wrapper.matches(["x", "y"] * 3000, ["z", "w"] * 3000) == [] and time.perf_counter() - began < 20
+    varied = "".join(f"<div class=c{rng.randrange(400)}{rng.choice('abc')}><p>t{i}</p></div>" for i in range(20_000))
+    assert html_wrapper.infer([varied, varied[50_000:], "<p>x"])["pattern"] and time.perf_counter() - began < 90
+
+
+def test_wrappers_that_are_joined_give_the_same(spark, data, monkeypatch):
+    pages = spark.read.parquet(f"{data}/pages.parquet").withColumn("extra", F.lit(1)).withColumn("host", F.lit("h"))
+    want = sorted(map(tuple, html_wrapper.extract(pages).collect()))
+    monkeypatch.setattr(html_wrapper, "BROADCAST_CHARS", -1)
+    assert sorted(map(tuple, html_wrapper.extract(pages).collect())) == want
+
+
 def test_extraction_matches_a_plain_reading(spark, data):
     import re
 
