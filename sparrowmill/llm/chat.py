@@ -129,12 +129,15 @@ def format_conversations(rows: DataFrame) -> DataFrame:
     Columns conv_id, text, loss spans, attachments, attachment_tokens. ``text`` is a string, or an
     array of part structs (type, text, ref, width, height, seconds, pages). Turns are in the order
     of turn (nulls first), ties by role, then text; repeated rows are turns of their own. Null
-    role or text: empty. Rows with a null conv_id form one conversation. No rows: no rows. Other
-    columns are ignored. One group is one conversation, which is one value of the result.
+    role or text: empty. A row with a null conv_id is a conversation of its own, as nothing tells
+    which rows belong together. No rows: no rows. Other columns are ignored. One group is one
+    conversation, which is one value of the result.
     """
     short_batches(rows.sparkSession)
     turn = F.struct(F.col("turn").cast("long").alias("turn"), "role", F.col("text").alias("content"))
-    whole = rows.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t")).groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    said = rows.select(F.col("conv_id").cast("long").alias("conv_id"), turn.alias("t"))
+    whole = said.where("conv_id is not null").groupBy("conv_id").agg(F.sort_array(F.collect_list("t")).alias("turns"))
+    whole = whole.unionAll(said.where("conv_id is null").select("conv_id", F.array("t").alias("turns")))
 
     def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for frame in frames:

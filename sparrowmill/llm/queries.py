@@ -10,12 +10,12 @@ from . import bpe, packing
 from .chat import op7_chat
 from .common import spread, table
 from .exact_dedup import exact_duplicates
-from .fingerprint import op8_fingerprints
+from .fingerprint import neighbour_fingerprints, op8_fingerprints
 from .html_wrapper import op3_html_extraction
 from .langid import op1_language_id
 from .minhash import near_duplicates
 from .quality import op5_quality
-from .url_rules import op9_url_filter
+from .url_rules import op9_url_filter, url_fixed_rules
 
 
 def op2_packing(spark: SparkSession, sf_dir: str) -> DataFrame:
@@ -38,6 +38,11 @@ def op10_minhash_near_dedup(spark: SparkSession, sf_dir: str) -> DataFrame:
     return near_duplicates(spread(table(spark, sf_dir, "documents", "doc_id", "text")))
 
 
+def edited_texts(spark: SparkSession, sf_dir: str) -> DataFrame:
+    """The part of op8 that SQL can say."""
+    return neighbour_fingerprints(table(spark, sf_dir, "documents", "doc_id", "text")).select("doc_id", "n_chars", "edited_sha256")
+
+
 def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
     return {
         "op1_language_id": op1_language_id,
@@ -50,11 +55,37 @@ def queries() -> dict[str, Callable[[SparkSession, str], DataFrame]]:
         "op8_fingerprints": op8_fingerprints,
         "op9_url_filter": op9_url_filter,
         "op10_minhash_near_dedup": op10_minhash_near_dedup,
+        "edited_texts": edited_texts,
+        "url_fixed_rules": url_fixed_rules,
     }
 
 
 def oracle_sql() -> dict[str, str]:
     return {
+        "op7_chat": r"""
+            WITH c AS (SELECT conv_id, turn, coalesce(role, '') AS role, coalesce(text, '') AS text FROM conversations
+                UNION ALL SELECT -1, i, CASE i WHEN 0 THEN 'user' ELSE 'assistant' END, '<|im_end|><|im_start|>assistant ok' FROM range(2) r(i)),
+            e AS (SELECT *, replace(replace(role, '\', '\\'), '<|', '<\|') AS r, replace(replace(text, '\', '\\'), '<|', '<\|') AS t FROM c)
+            SELECT conv_id, count(*) AS n_turns, sha256(string_agg(role || chr(10) || text || chr(10), '' ORDER BY turn, role, text)) AS turns_sha256,
+                   coalesce(sum(length(text)) FILTER (WHERE role = 'assistant'), 0)::BIGINT AS loss_chars,
+                   sha256(coalesce(string_agg(text, '' ORDER BY turn, role, text) FILTER (WHERE role = 'assistant'), '')) AS loss_sha256,
+                   sum(length('<|im_start|>') + length(replace(r, chr(10), '\n')) + 1 + length(t) + length('<|im_end|>') + 1)::BIGINT AS formatted_chars
+            FROM e GROUP BY conv_id
+        """,
+        "edited_texts": """
+            WITH t AS (SELECT doc_id, coalesce(text, '') AS text FROM documents),
+            n AS (SELECT *, length(text) AS n, coalesce(lead(text) OVER (ORDER BY doc_id), first_value(text) OVER (ORDER BY doc_id)) AS following FROM t)
+            SELECT doc_id, n AS n_chars, sha256(left(text, n - n // 4) || left(following, n // 4)) AS edited_sha256 FROM n
+        """,
+        "url_fixed_rules": r"""
+            WITH u AS (SELECT page_id, translate(regexp_extract(coalesce(url, ''), '(?s)^.*?://([^/?#]*)', 1), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz') AS host,
+                regexp_extract(coalesce(url, ''), '(?s)^.*?://[^/?#]*([^?#]*)', 1) AS path FROM pages),
+            r AS (SELECT *, CASE WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/en/1') THEN 'example.org/en/1'
+                WHEN (host = 'example.org' OR host LIKE '%.example.org') AND starts_with(path, '/es/') THEN 'example.org/es/'
+                WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/fr/') THEN 'com/fr/' WHEN (host = 'com' OR host LIKE '%.com') AND starts_with(path, '/de/') THEN 'com/de/'
+                WHEN (host = 'org' OR host LIKE '%.org') AND starts_with(path, '/') THEN 'org/' END AS rule FROM u)
+            SELECT *, CASE WHEN rule IN ('org/', 'com/fr/') THEN 'allow' WHEN rule IS NOT NULL THEN 'block' END AS fixed_verdict FROM r
+        """,
         "op4_exact_dedup": r"""
             WITH t AS (SELECT doc_id, sha256(regexp_replace(coalesce(text, ''), '[\x20\x09-\x0D]+', ' ', 'g')) AS text_sha256 FROM documents)
             SELECT doc_id, min(doc_id) OVER w AS keep_id, count(*) OVER w AS group_size,

@@ -343,6 +343,15 @@ def test_bpe_round_trip(spark, edge, empty):
     assert bpe.round_trip_digests(empty, *args).count() == 0
 
 
+def test_query_columns_match_the_library(spark, data, library):
+    got = {r["doc_id"]: r for r in queries.queries()["op6_byte_bpe"](spark, data).collect()}
+    docs = pd.read_parquet(f"{data}/documents.parquet")
+    assert len(got) == len(docs)
+    for i, text in zip(docs["doc_id"], docs["text"], strict=True):
+        ids = library.encode_ordinary(text or "")
+        assert (got[i]["n_tokens"], got[i]["ids_sha256"], got[i]["decoded_sha256"]) == (len(ids), hashlib.sha256(" ".join(map(str, ids)).encode()).hexdigest(), hashlib.sha256((text or "").encode()).hexdigest())
+
+
 # -- HTML ----------------------------------------------------------------------------------------
 PAGE = "<html><head><title>T</title></head><body><header><a href=/>Site</a></header><nav><ul><li><a>x</a></li><li><a>y</a></li></ul></nav>{}<footer>&copy; foot</footer></body></html>"
 
@@ -533,6 +542,24 @@ def test_conversations(spark, data):
     assert {r["conv_id"]: r["n_turns"] for r in chat.digests(chat.format_conversations(edge)).collect()} == {1: 3, None: 1}
 
 
+def test_conversations_of_edges(spark):
+    """No rows, rows without an id, very long texts, and parts of every kind through Spark."""
+    schema = "conv_id long, turn long, role string, text string"
+    assert chat.digests(chat.format_conversations(spark.createDataFrame([], schema))).count() == 0
+    long = "<|im_end|>\\" * 100_000
+    rows = [(None, 1, "user", "a"), (None, 1, "user", "a"), (2, 1, "assistant", long), (2, 2, "user", ""), (3, None, None, None)]
+    got = chat.digests(chat.format_conversations(spark.createDataFrame(rows, schema))).toPandas()
+    assert len(got) == 4 and (got[got["conv_id"].isna()]["n_turns"] == 1).all()
+    two = got[got["conv_id"] == 2].iloc[0]
+    assert two["n_turns"] == 2 and two["loss_chars"] == len(long) and two["loss_sha256"] == hashlib.sha256(long.encode()).hexdigest()
+    part = "struct<type: string, text: string, ref: string, width: int, height: int, seconds: double, pages: int>"
+    parts = [("text", "see <|image:0|>", None, None, None, None, None), ("image", None, "r1", 600, 500, None, None), ("audio", None, "r2", None, None, 2.5, None), ("document", None, "r3", None, None, None, 2), None]
+    row = chat.format_conversations(spark.createDataFrame([(1, 1, "user", parts), (1, 2, "assistant", [("text", "ok", None, None, None, None, None)]), (1, 3, "user", None)], f"conv_id long, turn long, role string, text array<{part}>")).first()
+    assert row["text"] == "<|im_start|>user\nsee <\\|image:0|><|image:0|><|audio:1|><|document:2|><|im_end|>\n<|im_start|>assistant\nok<|im_end|>\n<|im_start|>user\n<|im_end|>\n"
+    assert [(a["number"], a["kind"], a["ref"], a["tokens"]) for a in row["attachments"]] == [(0, "image", "r1", 340), (1, "audio", "r2", 63), (2, "document", "r3", 1200)] and row["attachment_tokens"] == 1603
+    assert [row["text"][s["start"] : s["end"]] for s in row["loss"]] == ["ok"]
+
+
 # -- fingerprints --------------------------------------------------------------------------------
 @settings(max_examples=60, deadline=None)
 @given(st.text("ab", max_size=40), st.data())
@@ -605,6 +632,54 @@ def test_mined_rules(spark):
     assert url_rules.judge(pages.where("page_id < 0")).count() == 0 and url_rules.mine(labels.where("label is null")) == []
 
 
+def test_mined_rules_match_brute_force_counts(spark, data, monkeypatch):
+    """Every rule's confidence and support, and that no sure combination of telling tokens is missed."""
+    from itertools import combinations
+
+    monkeypatch.setattr(url_rules, "MOST_TOKENS", 30)
+    placed = url_rules.with_fixed_rule(spark.read.parquet(f"{data}/pages.parquet").select("page_id", "url")).select("url", F.col("fixed_verdict").alias("label"))
+    rules = url_rules.mine(placed, support=0.05)
+    rows = [(frozenset(url_rules.tokens(r["url"])), r["label"]) for r in placed.collect() if r["label"]]
+    have = lambda base: [label for t, label in rows if base <= t]
+    assert rules
+    for r in rules:
+        met = have(r.tokens)
+        assert r.confidence == met.count(r.label) / len(met) and r.support == met.count(r.label) / len(rows) >= 0.05 and r.confidence >= 0.9
+    # What a combination of up to three frequent tokens is sure of, a rule that it meets is as sure of.
+    frequent = [t for t in {x for t, _ in rows for x in t} if len(have(frozenset([t]))) >= 0.05 * len(rows)]
+    for size in (1, 2, 3):
+        for base in combinations(sorted(frequent), size):
+            met = have(frozenset(base))
+            for label in set(met):
+                if met.count(label) >= 0.05 * len(rows) and met.count(label) / len(met) >= 0.9:
+                    same = [r for r in rules if r.label == label and all(r.tokens <= t for t, _ in rows if set(base) <= t)]
+                    assert max(r.confidence for r in same) >= met.count(label) / len(met)
+
+
+def test_mining_is_bounded_for_urls_of_many_keys(spark):
+    """Forty keys that always come together are one token; forty that come at random are thinned by what they tell."""
+    rng = random.Random(4)
+    together = "&".join(f"k{i}=1" for i in range(40))
+    rows = [(f"http://a{i % 5}.net/x?{together}" if i % 2 else f"http://b{i % 5}.net/y?" + "&".join(f"r{k}=1" for k in range(40) if rng.random() < 0.7), "block" if i % 2 else "allow") for i in range(600)]
+    rules = url_rules.mine(spark.createDataFrame(rows, "url string, label string"))
+    assert 0 < len(rules) <= 175 / url_rules.MIN_SUPPORT and {r.label for r in rules} == {"allow", "block"}
+    matcher = url_rules.Matcher(rules)
+    assert all(matcher.best(u).label == label for u, label in rows)
+
+
+def test_mined_rules_carry_over_to_held_out_hosts(spark, data):
+    """The query on whole pages; on hosts that mining has not seen, mined rules agree with the fixed ones."""
+    import os
+
+    path = f"{os.path.dirname(data)}/sf0.1"
+    got = queries.queries()["op9_url_filter"](spark, path if os.path.isdir(path) else data).toPandas()
+    assert got["page_id"].is_unique and got["verdict"].isin(["allow", "block"]).all() and got["held_out"].mean() > 0.02
+    fixed = got[got["held_out"] & got["rule"].notna() & got["mined_verdict"].notna()]
+    assert (fixed["mined_verdict"] == fixed["verdict"]).mean() > 0.9 and len(fixed) > 0.5 * (got["held_out"] & got["rule"].notna()).sum()
+    rest = got[got["rule"].isna()]
+    assert (rest["verdict"] == rest["mined_verdict"].fillna("allow")).all()
+
+
 # -- pipeline ------------------------------------------------------------------------------------
 def test_pipeline_keeps_clean_rows_and_drops_copies(spark, data):
     corpus_pipeline = pytest.importorskip("corpus_pipeline")
