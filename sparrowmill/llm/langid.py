@@ -14,6 +14,7 @@ from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from itertools import chain, islice
+from unicodedata import category
 
 import numpy as np
 import pandas as pd
@@ -30,17 +31,24 @@ ORDER = 4
 DOCS_PER_LANGUAGE = 400
 DISCOUNT = 0.75
 MARK = "\x02"
-#: Words whose scores a worker keeps.
-CACHE_WORDS = 250_000
+#: Words whose scores a worker keeps, and their characters; a text's words come on top.
+CACHE_WORDS, CACHE_CHARS = 250_000, 8_000_000
+#: Characters that are scored at once: a bound on memory for words of any length.
+BLOCK = 1 << 17
 UNKNOWN = "und"
+#: A text is rejected above this multiple of what is usual for its language.
+SLACK = 1.5
 U64 = np.uint64
 _STEP = U64(0x9E3779B97F4A7C15)
 
 
 def letters(word: str) -> str:
-    """The letters of a word, in lower case, with the combining marks among them."""
+    """The letters of a word, in lower case, with the combining marks among them; empty without a letter."""
     word = word.lower()
-    return word if word.isalpha() else "".join(c for c in word if c.isalpha())
+    if word.isalpha():
+        return word
+    kept = "".join(c for c in word if c.isalpha() or (not c.isascii() and category(c)[0] == "M"))
+    return kept if any(map(str.isalpha, kept)) else ""
 
 
 def gram_hashes(codes: np.ndarray, order: int) -> list[np.ndarray]:
@@ -71,16 +79,27 @@ class Model:
         """For words as letters() gives them, (words, languages + 1): minus log probability of the letters and the end, and how many these are."""
         count = len(self.languages)
         out = np.zeros((len(words), count + 1))
-        clean = words
-        used = [i for i, w in enumerate(clean) if w]
-        if not used:
+        used = np.array([i for i, w in enumerate(words) if w], np.int64)
+        if not len(used):
             return out
-        joined = "".join(MARK + clean[i] + MARK for i in used)
-        codes = np.frombuffer(joined.encode("utf-32-le", "surrogatepass"), np.uint32)
-        sizes = np.array([len(clean[i]) + 2 for i in used])
+        codes = np.frombuffer("".join(MARK + words[i] + MARK for i in used).encode("utf-32-le", "surrogatepass"), np.uint32)
+        sizes = np.array([len(words[i]) + 2 for i in used])
+        out[used, count] = sizes - 1
         begin = np.cumsum(sizes) - sizes
-        place = np.arange(len(codes)) - np.repeat(begin, sizes)
-        prob = np.full((len(codes), count), self.floor, np.float32)
+        order = len(self.keys)
+        for low in range(0, len(codes), BLOCK):
+            # A block sees the characters before it that its first contexts reach back to.
+            first, high = max(0, low - order), min(len(codes), low + BLOCK)
+            word = np.searchsorted(begin, np.arange(first, high), "right") - 1
+            loss = self._losses(codes[first:high], np.arange(first, high) - begin[word])[low - first :]
+            word = word[low - first :]
+            lead = np.flatnonzero(np.concatenate([[True], word[1:] != word[:-1]]))
+            out[used[word[lead]], :count] += np.add.reduceat(loss, lead, axis=0)
+        return out
+
+    def _losses(self, codes: np.ndarray, place: np.ndarray) -> np.ndarray:
+        """(characters, languages): minus log probabilities; ``place`` is the position in the word."""
+        prob = np.full((len(codes), len(self.languages)), self.floor, np.float32)
         context = np.full(len(codes), -1)
         for n, hashes in enumerate(gram_hashes(codes, len(self.keys))):
             index = np.searchsorted(self.keys[n], hashes)
@@ -98,9 +117,7 @@ class Model:
             context = index
         loss = -np.log(prob)
         loss[place == 0] = 0
-        out[used, :count] = np.add.reduceat(loss, begin, axis=0)
-        out[used, count] = sizes - 1
-        return out
+        return loss
 
 
 def fit(counts: dict[str, Counter], order: int = ORDER) -> Model:
@@ -164,7 +181,7 @@ class Scorer:
 
     def __init__(self, model: Model):
         self.model, self.index, self.pure = model, Index(), Index()
-        self.pure_of = np.zeros(0, np.int64)
+        self.pure_of, self.chars = np.zeros(0, np.int64), 0
         self.rows = np.zeros((0, len(model.languages) + 1), np.float32)
 
     def texts(self, texts: list[str]) -> np.ndarray:
@@ -175,11 +192,12 @@ class Scorer:
         some = np.flatnonzero(sizes)
         if not len(some):
             return out
-        if len(self.index) > CACHE_WORDS:
+        if len(self.index) > CACHE_WORDS or self.chars > CACHE_CHARS:
             self.__init__(self.model)
         codes = np.fromiter(map(self.index.__getitem__, chain.from_iterable(split)), np.int64, int(sizes.sum()))
         if (new := len(self.index) - len(self.pure_of)) > 0:
             words = list(islice(reversed(self.index), new))[::-1]
+            self.chars += sum(map(len, words))
             # Words that differ in case or punctuation only are scored once.
             pure = np.fromiter(map(self.pure.__getitem__, map(letters, words)), np.int64, new)
             self.pure_of = np.concatenate([self.pure_of, pure])
@@ -210,8 +228,8 @@ def judge(model: Model, sums: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.nd
 def calibrate(model: Model, sums: np.ndarray, truth: np.ndarray) -> None:
     """Set the rejection limits and the temperature from texts that were held aside.
 
-    limit: for each language, half as much again as the greatest cross-entropy among its own
-    texts of 50 letters or more (none: no limit). temperature: of a few, the one with the least
+    limit: for each language, SLACK times the cross-entropy that all but one in a hundred of its
+    own texts of 50 letters or more stay below (under 20 such texts: no limit). temperature: of a few, the one with the least
     log loss.
     """
     n = sums[:, -1]
@@ -219,7 +237,7 @@ def calibrate(model: Model, sums: np.ndarray, truth: np.ndarray) -> None:
     model.limit = np.full(len(model.languages), np.inf)
     for at in range(len(model.languages)):
         if len(seen := own[(truth == at) & (n >= 50)]) >= 20:
-            model.limit[at] = 1.5 * seen.max()
+            model.limit[at] = SLACK * np.quantile(seen, 0.99)
     best = (np.inf, 1.0)
     for temperature in (0.5, 1.0, 2.0, 4.0, 8.0):
         model.temperature = temperature

@@ -234,6 +234,45 @@ def test_languages_on_held_out_rows(spark, data):
     assert all((zlib.crc32(str(i).encode()) % 4 == 2) == h for i, h in zip(got["doc_id"], got["held_out"], strict=True))
 
 
+def test_rejection_is_calibrated(spark, data):
+    """Few held-out texts are rejected; other scripts and noise are."""
+    import os
+
+    path = f"{os.path.dirname(data)}/sf0.01"
+    docs = spark.read.parquet(f"{path if os.path.isdir(path) else data}/documents.parquet")
+    held = F.pmod(crc_of_id(), F.lit(4)) == 2
+    model = langid.train(docs.where(~held))
+    assert np.isfinite(model.limit).all()
+    told = langid.identify(docs.where(held & F.col("text").rlike("[A-Za-z]")), model).toPandas()
+    assert told["rejected"].mean() < 0.005
+    rng = random.Random(6)
+    noise = [" ".join("".join(rng.choice("abcdefghijklmnopqrstuvwxyz") for _ in range(rng.randrange(2, 9))) for _ in range(rng.randrange(60, 300))) for _ in range(100)]
+    noise += [" ".join(rng.choice(words) for _ in range(100)) for words in (["привет", "мир", "это"], ["λόγος", "και", "το"], ["नमस्ते", "दुनिया"], ["日本語", "文章"]) for _ in range(25)]
+    got = langid.identify(spark.createDataFrame(list(enumerate(noise)), "doc_id long, text string"), model).toPandas()
+    assert got["rejected"].mean() > 0.99
+
+
+def test_letters_keep_combining_marks():
+    assert langid.letters("नमस्ते!") == "नमस्ते" and langid.letters("Cafe\u0301s,") == "cafe\u0301s" and langid.letters("ไม่") == "ไม่"
+    assert langid.letters("12\u0301-") == langid.letters("\u0301") == langid.letters("42") == "" and langid.letters("Don't") == "dont"
+
+
+def test_scores_do_not_depend_on_blocks(monkeypatch):
+    from collections import Counter
+
+    grams = {"x": Counter({"a": 5, "ab": 3, "b": 2, "\x02a": 2, "ba": 1, "aba": 2, "\x02": 3}), "y": Counter({"c": 1, "a": 1, "ca": 4, "\x02ca": 2})}
+    model = langid.fit(grams, 3)
+    words = ["ab", "", "abacab" * 700, "c", "b" * 999, "zzz"]
+    want = model.word_scores(words)
+    monkeypatch.setattr(langid, "BLOCK", 17)
+    assert np.allclose(model.word_scores(words), want, rtol=1e-5) and (want[:, 2] == [3, 0, 4201, 2, 1000, 4]).all()
+    # A cache beyond its bound begins anew, with the same scores.
+    scorer = langid.Scorer(model)
+    first = scorer.texts(["ab c", "abab " * 50])
+    monkeypatch.setattr(langid, "CACHE_CHARS", 3)
+    assert np.allclose(scorer.texts(["ab c", "abab " * 50]), first) and len(scorer.index) == 3
+
+
 def test_kneser_ney_sums_to_one():
     from collections import Counter
 
