@@ -2,14 +2,17 @@
 
 The prefix arrays of two polynomial hashes, modulo two primes, give the hash of any span in
 constant time: spans are compared by it, and longest common extensions are found by binary
-search. A fingerprint is the hash of the whole text and, for each of a fixed number of bins, a
-few bits of the least span hash that falls into the bin; the share of bins in which two
-fingerprints agree estimates how many spans their texts share.
+search. A fingerprint is the hash of the whole text; for each of a fixed number of bins, a few bits
+of the least span hash that falls into the bin; the length; and a few bits of the hash of each prefix
+that ends at a checkpoint. The share of bins in which two fingerprints agree estimates how many spans
+their texts share, and the last checkpoint up to which their prefixes are equal tells how far they
+are the same for certain.
 """
 
 from __future__ import annotations
 
 import hashlib
+import math
 from collections.abc import Iterator
 
 import numpy as np
@@ -24,6 +27,8 @@ PRIMES = (2147483647, 2147483629)
 BASES = (911382323, 972663749)
 #: Code points of a span, and bins of a fingerprint.
 SPAN, BINS = 8, 64
+#: Checkpoints of prefixes: the first, and four to a doubling.
+FIRST_CHECK, CHECKS_A_DOUBLING = 16, 4
 #: Spans that are hashed at once: a bound on memory, whatever the length of a text.
 BLOCK = 1 << 18
 BUCKET_DOCS = 2_000
@@ -92,63 +97,81 @@ def _canonical(prefix: PrefixHashes, start: np.ndarray, end: np.ndarray) -> np.n
     return ft.mix(out + (end - start).astype(U64) * U64(0x9E3779B97F4A7C15))
 
 
-def sketches(texts: list[str]) -> tuple[np.ndarray, np.ndarray, np.ndarray, PrefixHashes, np.ndarray]:
-    """(whole-text hashes, (texts, BINS) least span hashes, filled, prefix arrays, offsets) of texts."""
-    codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
-    sizes = np.array([len(t) for t in texts], np.int64)
-    off = np.concatenate([[0], np.cumsum(sizes)])
-    prefix = PrefixHashes(codes)
-    whole = _canonical(prefix, off[:-1], off[1:])
-    # All spans of SPAN code points; a shorter text is one span.
-    per_text = np.where(sizes == 0, 0, np.maximum(sizes - SPAN + 1, 1))
-    least = np.full(len(texts) * BINS, np.iinfo(np.uint64).max, U64)
-    filled = np.zeros(len(texts) * BINS, bool)
-    ends = np.cumsum(per_text)
-    for first in range(0, int(per_text.sum()), BLOCK):
-        at = np.arange(first, min(first + BLOCK, int(ends[-1])))
-        row = np.searchsorted(ends, at, "right")
-        start = at - (ends - per_text)[row] + off[row]
-        value = _canonical(prefix, start, np.minimum(start + SPAN, off[row + 1]))
-        cell = row * BINS + (value >> U64(58)).astype(np.int64)
-        np.minimum.at(least, cell, value)
-        filled[cell] = True
-    return whole, least.reshape(-1, BINS), filled.reshape(-1, BINS), prefix, off
-
-
-def fingerprints(whole: np.ndarray, least: np.ndarray, filled: np.ndarray) -> list[str]:
-    """16 hex digits of the whole text's hash, then 4 for each bin (``....`` if empty)."""
-    bits = ft.mix(least) & U64(0xFFFF)
-    digits = np.array([f"{i:04x}" for i in range(65536)] + ["...."])
-    words = digits[np.where(filled, bits, U64(65536)).astype(np.int64)]
-    return [f"{h:016x}" + "".join(w) for h, w in zip(whole.tolist(), words, strict=True)]
+def checkpoints(longest: int) -> np.ndarray:
+    """Lengths of the prefixes that a fingerprint holds, up to ``longest``."""
+    steps = max(0, math.floor(CHECKS_A_DOUBLING * math.log2(max(longest, 1) / FIRST_CHECK)) + 2)
+    out = np.floor(FIRST_CHECK * 2.0 ** (np.arange(steps) / CHECKS_A_DOUBLING)).astype(np.int64)
+    return out[out <= longest]
+
+
+class Sketches:
+    """What fingerprints are made of, a row for each text: whole-text hashes, bits of the least span
+    hash of each bin (-1 where empty), lengths, bits of the prefixes at checkpoints (-1 beyond the end)."""
+
+    def __init__(self, texts: list[str]):
+        codes = np.frombuffer("".join(texts).encode("utf-32-le", "surrogatepass"), np.uint32)
+        self.sizes = np.array([len(t) for t in texts], np.int64)
+        self.off = np.concatenate([[0], np.cumsum(self.sizes)])
+        self.prefix = PrefixHashes(codes)
+        self.whole = _canonical(self.prefix, self.off[:-1], self.off[1:])
+        # All spans of SPAN code points; a shorter text is one span.
+        per_text = np.where(self.sizes == 0, 0, np.maximum(self.sizes - SPAN + 1, 1))
+        least = np.full(len(texts) * BINS, np.iinfo(np.uint64).max, U64)
+        filled = np.zeros(len(texts) * BINS, bool)
+        ends = np.cumsum(per_text)
+        for first in range(0, int(per_text.sum()), BLOCK):
+            at = np.arange(first, min(first + BLOCK, int(ends[-1])))
+            row = np.searchsorted(ends, at, "right")
+            start = at - (ends - per_text)[row] + self.off[row]
+            value = _canonical(self.prefix, start, np.minimum(start + SPAN, self.off[row + 1]))
+            cell = row * BINS + (value >> U64(58)).astype(np.int64)
+            np.minimum.at(least, cell, value)
+            filled[cell] = True
+        self.bins = np.where(filled, (ft.mix(least) & U64(0xFFFF)).astype(np.int64), -1).reshape(-1, BINS)
+        self.at = checkpoints(int(self.sizes.max(initial=0)))
+        self.checks = np.full((len(texts), len(self.at)), -1)
+        row, k = np.nonzero(self.at[None, :] <= self.sizes[:, None])
+        self.checks[row, k] = (ft.mix(_canonical(self.prefix, self.off[row], self.off[row] + self.at[k])) & U64(0xFFFF)).astype(np.int64)
+
+    def fingerprints(self) -> list[str]:
+        """16 hex digits of the whole text's hash, 4 for each bin (``....`` if empty), 8 of the length,
+        4 for each checkpoint."""
+        digits = np.array([f"{i:04x}" for i in range(65536)] + ["...."])
+        words = digits[self.bins]
+        counts = (self.checks >= 0).sum(axis=1)
+        return [f"{h:016x}{''.join(w)}{n:08x}{''.join(digits[c[:k]])}" for h, w, n, c, k in zip(self.whole.tolist(), words, self.sizes.tolist(), self.checks, counts.tolist(), strict=True)]
+
+    def likenesses(self, a: np.ndarray, b: np.ndarray) -> np.ndarray:
+        """likeness() of the fingerprints of the texts at a and at b."""
+        x, y = self.bins[a], self.bins[b]
+        j = ((x == y) & (x >= 0)).sum(axis=1) / np.maximum(((x >= 0) | (y >= 0)).sum(axis=1), 1)
+        c, d = self.checks[a], self.checks[b]
+        steps = np.cumprod((c == d) & (c >= 0), axis=1).sum(axis=1)
+        common = np.concatenate([[0], self.at])[steps]
+        both = self.sizes[a] + self.sizes[b]
+        equal = (self.whole[a] == self.whole[b]) & (x == y).all(axis=1) & (c == d).all(axis=1) & (self.sizes[a] == self.sizes[b])
+        return np.where(equal, 1.0, np.maximum(2 * j / (1 + j), 2 * common / np.maximum(both, 1)))
 
 
 def likeness(a: str, b: str) -> float:
     """How alike two fingerprints are, 0 to 1: an estimate of the share of spans in common.
 
-    Equal fingerprints: 1. Otherwise 2j / (1 + j), where j is the share of bins in which both
-    agree among the bins that either fills.
+    Equal fingerprints: 1. Otherwise the greater of 2j / (1 + j), where j is the share of bins in
+    which both agree among the bins that either fills, and the share of both texts that lies before
+    the last checkpoint up to which their prefixes are equal.
     """
     if a == b:
         return 1.0
-    parts = [(a[i : i + 4], b[i : i + 4]) for i in range(16, 16 + 4 * BINS, 4)]
+    end = 16 + 4 * BINS
+    parts = [(a[i : i + 4], b[i : i + 4]) for i in range(16, end, 4)]
     used = sum(x != "...." or y != "...." for x, y in parts)
     same = sum(x == y != "...." for x, y in parts)
     j = same / used if used else 0.0
-    return 2 * j / (1 + j)
-
-
-def _likenesses(a: tuple, b: tuple) -> np.ndarray:
-    """likeness() of the rows of two (whole, bits, filled)."""
-    used = (a[2] | b[2]).sum(axis=1)
-    same = ((a[1] == b[1]) & a[2] & b[2]).sum(axis=1)
-    j = same / np.maximum(used, 1)
-    equal = (a[0] == b[0]) & (a[2] == b[2]).all(axis=1) & ((a[1] == b[1]) | ~a[2]).all(axis=1)
-    return np.where(equal, 1.0, 2 * j / (1 + j))
-
-
-def _bits(sketch: tuple) -> tuple:
-    return sketch[0], ft.mix(sketch[1]) & U64(0xFFFF), sketch[2]
+    sizes = int(a[end : end + 8], 16), int(b[end : end + 8], 16)
+    checks = [[x[i : i + 4] for i in range(end + 8, len(x), 4)] for x in (a, b)]
+    steps = next((k for k, (x, y) in enumerate(zip(*checks, strict=False)) if x != y), min(map(len, checks)))
+    common = int(checkpoints(min(sizes))[steps - 1]) if steps else 0
+    return max(2 * j / (1 + j), 2 * common / max(sum(sizes), 1))
 
 
 _RESULT = pa.schema([("doc_id", pa.int64()), ("n_chars", pa.int64()), ("edited_sha256", pa.string()), ("fingerprint", pa.string()), ("edited_fingerprint", pa.string()), ("near_edited", pa.float64()), ("near_next", pa.float64()), ("common_prefix", pa.int64())])
@@ -163,20 +186,19 @@ def compare(rows: list[tuple[int | None, str]], following: str) -> dict:
         cut = len(text) // 4
         edited.append(text[: len(text) - cut] + nxt[:cut])
     n = len(texts)
-    whole, least, filled, prefix, off = sketches([*texts, following, *edited])
+    sketch = Sketches([*texts, following, *edited])
+    own, off = np.arange(n), sketch.off
     a, b = off[:n], off[n + 1 : 2 * n + 1]
-    shorter = np.minimum(off[1 : n + 1] - a, off[n + 2 :] - b)
-    marks, bits = fingerprints(whole, least, filled), _bits((whole, least, filled))
-    part = lambda x, y: tuple(v[x:y] for v in bits)
+    marks = sketch.fingerprints()
     return {
         "doc_id": [i for i, _ in rows],
         "n_chars": [len(t) for t in texts],
         "edited_sha256": [hashlib.sha256(t.encode("utf-8", "surrogatepass")).hexdigest() for t in edited],
         "fingerprint": marks[:n],
         "edited_fingerprint": marks[n + 1 :],
-        "near_edited": _likenesses(part(0, n), part(n + 1, 2 * n + 1)),
-        "near_next": _likenesses(part(0, n), part(1, n + 1)),
-        "common_prefix": prefix.common(a, b, shorter),
+        "near_edited": sketch.likenesses(own, own + n + 1),
+        "near_next": sketch.likenesses(own, own + 1),
+        "common_prefix": sketch.prefix.common(a, b, np.minimum(sketch.sizes[:n], sketch.sizes[n + 1 :])),
     }
 
 
