@@ -70,7 +70,11 @@ def passages(raw: np.ndarray, off: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
     pair = np.zeros((total, CLASSES * CLASSES))
     if len(raw) > 1:
         key = of_byte[1:] * (CLASSES * CLASSES) + kinds[:-1] * CLASSES + kinds[1:]
-        pair = np.bincount(key, minlength=total * CLASSES * CLASSES).reshape(total, -1).astype(np.float64)
+        # No pair over the border of two texts: a text's encoding does not depend on its neighbours.
+        inside = np.ones(len(key), bool)
+        border = off[1:-1]
+        inside[border[(border > 0) & (border < len(raw))] - 1] = False
+        pair = np.bincount(key[inside], minlength=total * CLASSES * CLASSES).reshape(total, -1).astype(np.float64)
     n_pairs = np.maximum(pair.sum(axis=1, keepdims=True), 1)
     x = np.zeros((total, FEATURES), np.float32)
     x[:, : CLASSES * CLASSES] = np.sqrt(pair / n_pairs) * 3

@@ -633,11 +633,81 @@ def test_fingerprints_of_neighbours(spark, data, edge, empty):
     assert all(len(v) == 1 for v in by_text.values()) and got["fingerprint"].nunique() == len(by_text)
 
 
+def test_fingerprints_of_edges_match_brute_force(spark, edge, monkeypatch):
+    """Nulls, ties by the hash of the text, very long texts and the wrap-around, whatever the ranges and names."""
+    docs = edge.withColumn("bucket", F.lit("x")).withColumn("tie", F.lit(1)).withColumn("fingerprint", F.lit(2))
+    order = edge.select("doc_id", F.coalesce("text", F.lit("")).alias("text")).orderBy(F.col("doc_id").asc_nulls_first(), F.xxhash64("text")).collect()
+    want = []
+    for at, r in enumerate(order):
+        nxt, cut = order[(at + 1) % len(order)]["text"], len(r["text"]) // 4
+        edited = r["text"][: len(r["text"]) - cut] + nxt[:cut]
+        want.append((str(r["doc_id"]), len(r["text"]), hashlib.sha256(edited.encode()).hexdigest()))
+    for size in (1, 5, 2000):
+        monkeypatch.setattr(fingerprint, "BUCKET_DOCS", size)
+        got = fingerprint.neighbour_fingerprints(docs).collect()
+        assert sorted((str(r["doc_id"]), r["n_chars"], r["edited_sha256"]) for r in got) == sorted(want)
+        assert all(abs(r["near_edited"] - fingerprint.likeness(r["fingerprint"], r["edited_fingerprint"])) < 1e-9 for r in got)
+
+
+def test_likeness_sees_common_prefixes():
+    """A long common beginning counts for certain, whatever the bins say; equal prefixes end where texts part."""
+    a = "".join(chr(97 + i * i % 23) + chr(97 + i % 17) for i in range(1000))
+    b = a[:1500] + "#" * 500
+    s = fingerprint.Sketches([a, b, a[:15], "", "z" * 40])
+    marks = s.fingerprints()
+    pairs = [(0, 1), (0, 2), (2, 3), (3, 3), (0, 4), (1, 1)]
+    got = s.likenesses(np.array([p[0] for p in pairs]), np.array([p[1] for p in pairs]))
+    assert np.allclose(got, [fingerprint.likeness(marks[i], marks[j]) for i, j in pairs])
+    at = [k for k in fingerprint.checkpoints(2000) if k <= 1500][-1]
+    assert got[0] >= 2 * at / 4000 > 0.6 and got[3] == got[5] == 1 and got[2] == 0 and got[4] < 0.2
+
+
 def test_one_document_follows_itself(spark):
     r = fingerprint.neighbour_fingerprints(spark.createDataFrame([(1, "abcdefgh")], "doc_id long, text string")).first()
     assert r["edited_sha256"] == hashlib.sha256(b"abcdefab").hexdigest() and r["near_next"] == 1.0
 
 
+# -- quality -------------------------------------------------------------------------------------
+def test_passages_match_a_plain_encoding():
+    """Every feature of every passage, also of texts that begin or end with blanks, have none, or are long."""
+    rng = random.Random(9)
+    texts = ["", " \t", "one", "  Two  words\n", "É!" * 100, " ".join(rng.choice(["ab", "Cd.", "12", "|", "é", "ab"]) for _ in range(101)), " ".join("w" for _ in range(48)), "\n".join(rng.choice(["x", "Yy", "z,z"]) for _ in range(2000))]
+    owner, x = quality.passages(*__import__("sparrowmill.llm.flattext", fromlist=["utf8"]).utf8(__import__("pyarrow").array(texts)))
+    at = 0
+    for row, text in enumerate(texts):
+        raw = text.encode()
+        spans, k = [], 0
+        while k < len(raw):  # words by bytes
+            if raw[k] in b" \t\n\v\f\r":
+                k += 1
+                continue
+            end = k
+            while end < len(raw) and raw[end] not in b" \t\n\v\f\r":
+                end += 1
+            spans.append((k, end))
+            k = end
+        parts = [spans[i : i + 48] for i in range(0, len(spans), 48)] or [[]]
+        for number, part in enumerate(parts):
+            assert owner[at] == row
+            low = 0 if number == 0 else part[0][0]
+            high = len(raw) if number + 1 == len(parts) else parts[number + 1][0][0]
+            pairs = np.zeros((12, 12))
+            for i in range(max(low, 1), high):
+                pairs[quality._CLASS[raw[i - 1]], quality._CLASS[raw[i]]] += 1
+            want = np.sqrt(pairs.ravel() / max(pairs.sum(), 1)) * 3
+            words = [raw[a:b].lower() for a, b in part]
+            got = x[at, :144]
+            assert np.allclose(got, want, atol=1e-4)
+            extra = x[at, 144:]
+            assert np.isclose(extra[0], np.log1p(len(words)) / 4, atol=1e-5) and np.isclose(extra[1], np.log1p(len(spans)) / 8, atol=1e-5)
+            if words:
+                assert np.isclose(extra[2], sum(map(len, words)) / len(words) / 8, atol=1e-5) and np.isclose(extra[4], len(set(words)) / len(words), atol=1e-5)
+                assert np.isclose(extra[3], sum(a == b for a, b in zip(words, words[1:], strict=False)) / len(words), atol=1e-5)
+            assert extra[5] == (number == 0)
+            at += 1
+    assert at == len(x)
+
+
 # -- URLs ----------------------------------------------------------------------------------------
 @pytest.mark.parametrize(
     ("url", "host", "path", "rule"),
