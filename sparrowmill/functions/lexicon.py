@@ -10,7 +10,7 @@ import pandas as pd
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from .text import HAN, LATIN_TOKEN, MIXED_TOKEN, UNKNOWN_SYLLABLE, ColumnLike, column
+from .text import HAN, LATIN_TOKEN, MIXED_TOKEN, UNKNOWN_SYLLABLE, ColumnLike, column, tokens
 
 # Spoken readings of letters, digits and loan words.
 LETTERS = {
@@ -56,10 +56,22 @@ def latin_reading(token: ColumnLike) -> Column:
     return F.struct(F.when(plain, spell(t)).otherwise(F.coalesce(word, spell(t))).alias("syllables"), (plain | word.isNotNull()).alias("hit"))
 
 
-def loan_coverage(tokens: DataFrame, token: str = "token", *keys: str) -> DataFrame:
-    """hit_rate and the sorted distinct unknown tokens, for each value of ``keys``."""
-    hit = latin_reading(token)["hit"]
-    return tokens.groupBy(*keys).agg(F.avg(hit.cast("double")).alias("hit_rate"), F.array_sort(F.collect_set(F.when(~hit, F.col(token)))).alias("unknown"))
+def loan_coverage(found: DataFrame, token: str = "token", *keys: str) -> DataFrame:
+    """(keys, hit_rate, unknown): the share of tokens that can be read, and how many distinct ones cannot.
+
+    Tokens are counted first, so each distinct token of a key is looked up once.
+    """
+    counts = found.groupBy(*keys, token).agg(F.count("*").alias("__n")).withColumn("__hit", latin_reading(token)["hit"])
+    rate = F.sum(F.when(F.col("__hit"), F.col("__n")).otherwise(0)) / F.sum("__n")
+    return counts.groupBy(*keys).agg(rate.alias("hit_rate"), F.count_if(~F.col("__hit")).alias("unknown"))
+
+
+def unknown_tokens(found: DataFrame, order: str, token: str = "token", k: int | None = None) -> DataFrame:
+    """(token, n, first): tokens that cannot be read, the most frequent ones first, then by first
+    place; with ``k``, the first k of them (a distributed top-k)."""
+    counts = found.groupBy(token).agg(F.count("*").alias("n"), F.min(order).alias("first"))
+    out = counts.where(~latin_reading(token)["hit"])
+    return out if k is None else out.orderBy(F.desc("n"), "first").limit(k)
 
 
 def syllable_parts(syllable: ColumnLike) -> Column:
@@ -119,39 +131,27 @@ def to_syllables(text: ColumnLike, lexicon: Lexicon) -> Column:
     return F.pandas_udf(run, "chars array<string>, syllables array<string>")(column(text))
 
 
-def read_latin(token: str) -> tuple[list[str], bool]:
-    """latin_reading() of one token in plain Python."""
-    spelt = [s for c in token.lower() for s in (LETTERS | DIGITS).get(c, "").split()]
-    letters = [c for c in token if c.isalpha()]
-    if token.isdigit() or len(letters) == 1 or (letters and len(letters) <= 5 and token.upper() == token):
-        return spelt, True
-    word = LOAN_WORDS.get(token.lower().strip("-'"))
-    return (word.split(), True) if word else (spelt, False)
-
-
 def to_mixed_syllables(text: ColumnLike, lexicon: Lexicon) -> Column:
     """struct(tokens, syllables, unknown): a Latin word is one token and one or more syllables.
 
-    Han characters are read as one run, so that phrases are seen across Latin words.
+    Han characters are read as one run, so that phrases are seen across Latin words. Only that run
+    goes to Python; Latin words are read by latin_reading().
     """
-
-    def one(text: str | None) -> tuple[list[str], list[str], list[str]]:
-        found = re.findall(MIXED_TOKEN, text or "")
-        han = iter(lexicon.read("".join(t for t in found if not re.match(LATIN_TOKEN, t))))
-        syllables, unknown = [], []
-        for t in found:
-            if re.match(LATIN_TOKEN, t):
-                reading, hit = read_latin(t)
-                syllables += reading or [UNKNOWN_SYLLABLE]
-                unknown += [] if hit else [t]
-            else:
-                syllables.append(next(han))
-        return found, syllables, unknown
-
-    def run(texts: pd.Series) -> pd.DataFrame:
-        return pd.DataFrame([one(t) for t in texts], columns=["tokens", "syllables", "unknown"])
-
-    return F.pandas_udf(run, "tokens array<string>, syllables array<string>, unknown array<string>")(column(text))
+    latin = lambda t: t.rlike(f"^(?:{LATIN_TOKEN})$")
+    found = tokens(F.coalesce(column(text), F.lit("")), MIXED_TOKEN)
+    run = F.array_join(F.filter(found, lambda t: ~latin(t)), "")
+    none = F.array().cast("array<string>")
+    start = F.struct(F.lit(0).alias("at"), to_syllables(run, lexicon)["syllables"].alias("han"), none.alias("syllables"), none.alias("unknown"))
+
+    def step(s: Column, t: Column) -> Column:
+        reading = latin_reading(t)
+        spoken = F.when(F.size(reading["syllables"]) > 0, reading["syllables"]).otherwise(F.array(F.lit(UNKNOWN_SYLLABLE)))
+        more = F.when(latin(t), spoken).otherwise(F.array(F.get(s["han"], s["at"])))
+        missed = F.when(latin(t) & ~reading["hit"], F.array(t)).otherwise(none)
+        return F.struct((s["at"] + F.when(latin(t), 0).otherwise(1)).alias("at"), s["han"].alias("han"), F.concat(s["syllables"], more).alias("syllables"), F.concat(s["unknown"], missed).alias("unknown"))
+
+    whole = F.aggregate(found, start, step)
+    return F.struct(found.alias("tokens"), whole["syllables"].alias("syllables"), whole["unknown"].alias("unknown"))
 
 
 def confusions(syllables: DataFrame, name: str = "syllable") -> DataFrame:

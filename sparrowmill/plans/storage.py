@@ -5,7 +5,7 @@ from __future__ import annotations
 import tempfile
 import uuid
 
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
 
 
@@ -46,6 +46,21 @@ def spread(frame: DataFrame) -> DataFrame:
     return frame.repartition(cores) if frame.rdd.getNumPartitions() < cores else frame
 
 
+def numbered(rows: DataFrame, name: str, *order: str) -> DataFrame:
+    """``rows`` numbered from 0 in ``order``, which should be unique, without one window over all.
+
+    Rows are dealt out by ranges and sorted; a row's place in its range and the sizes of the ranges
+    before, of which there are as many as partitions, make its number.
+    """
+    ranged = rows.repartitionByRange(*[F.col(c) for c in order]).sortWithinPartitions(*order)
+    place = F.monotonically_increasing_id()
+    ranged = materialize(ranged.withColumn("__range", F.shiftright(place, 33)).withColumn("__place", place.bitwiseAND((1 << 33) - 1)))
+    sizes = ranged.groupBy("__range").agg(F.count("*").alias("__n"))
+    before = Window.orderBy("__range").rowsBetween(Window.unboundedPreceding, -1)
+    starts = sizes.select("__range", F.coalesce(F.sum("__n").over(before), F.lit(0)).alias("__start"))
+    return ranged.join(F.broadcast(starts), "__range").withColumn(name, F.col("__start") + F.col("__place")).drop("__range", "__place", "__start")
+
+
 #: Groups that are met by a broadcast, at most; a size bound, whatever the input.
 HOT_GROUPS = 10_000
 LEAST_HOT = 200

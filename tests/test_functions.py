@@ -69,10 +69,13 @@ def test_mixed_tokens(spark):
     assert one(spark, lexicon.to_mixed_syllables(F.col("t"), lex), t="我们都写在paper里写了")["syllables"][5:7] == ["pei", "po"]
 
 
-@pytest.mark.parametrize("token", ["RL", "x", "paper", "2024", "unknownword", "GPT-4", "don't", "-the-"])
-def test_latin_readings_agree_in_columns_and_python(spark, token):
+@pytest.mark.parametrize(
+    ("token", "said", "hit"),
+    [("RL", "a er ai er", True), ("x", "ai ke si", True), ("paper", "pei po", True), ("2024", "er ling er si", True), ("ab-cd", "ei bi xi di", False), ("GPT-4", "ji pi ti si", True), ("don't", "di ou en ti", False), ("-the-", "ze", True)],
+)
+def test_latin_readings(spark, token, said, hit):
     got = one(spark, lexicon.latin_reading(F.col("t")), t=token)
-    assert (got["syllables"], got["hit"]) == lexicon.read_latin(token)
+    assert (" ".join(got["syllables"]), got["hit"]) == (said, hit)
 
 
 def test_repeats_and_collapse(spark):

@@ -1,5 +1,7 @@
+import math
 import random
 
+import numpy as np
 import pytest
 from pyspark.sql import functions as F
 
@@ -111,16 +113,78 @@ def test_repair_of_homophones(spark):
     assert ngram.repaired(rows, table, lex).first()["refined"] == "我的手机放在桌子上了"
 
 
-def test_noise_is_repeatable_and_never_empty():
+def test_noise_is_repeatable_and_never_empty(spark):
     noise = augment.Noise(clean=0, mild=0)
     near = {"wo": ["wu"], "de": ["da"]}
-    a = augment.corrupt("wo de shou ji fang zai zhuo zi shang".split(), noise, near, 5)
-    assert a == augment.corrupt("wo de shou ji fang zai zhuo zi shang".split(), noise, near, 5) and a[0] and a[1] == "severe" and a[2]
-    assert all(augment.corrupt(["wo"], noise, near, i)[0] for i in range(200))
+    said = "wo de shou ji fang zai zhuo zi shang".split()
+    rows = spark.createDataFrame([(i, said if i < 300 else ["wo"] if i < 500 else []) for i in range(501)] + [(501, None)], "id long, s array<string>")
+    made = rows.withColumn("x", augment.noisy("s", noise, near, 5, "id"))
+    got = {r["id"]: r["x"] for r in made.collect()}
+    assert got == {r["id"]: r["x"] for r in made.repartition(7).collect()}
+    assert all(x["syllables"] for i, x in got.items() if i < 500) and got[500]["severity"] == got[501]["severity"] == "empty" and got[501]["syllables"] == []
+    for i in range(300):
+        x = got[i]
+        ops = x["operations"]
+        assert x["severity"] == "severe" and x["edits"] == len(ops) and 2 <= len(ops) <= 4
+        assert len(x["syllables"]) == len(said) + ops.count("insert") - ops.count("delete") and x["syllables"].count("<mask>") <= ops.count("mask") + ops.count("insert")
+        assert set(x["syllables"]) <= {*said, "wu", "da", "<mask>"}
+    seen = [o for i in range(300) for o in got[i]["operations"]]
+    assert abs(seen.count("substitute") / len(seen) - 0.45) < 0.07 and set(seen) == set(augment.OPERATIONS)
+    assert all(x["operations"][0] in ("substitute", "insert", "mask") for i, x in got.items() if 300 <= i < 500)
+    kinds = [r["x"]["severity"] for r in rows.where("id < 300").withColumn("x", augment.noisy("s", augment.Noise(), near, 6, "id")).collect()]
+    assert abs(kinds.count("clean") / 300 - 0.25) < 0.1 and abs(kinds.count("mild") / 300 - 0.5) < 0.1
     with pytest.raises(ValueError):
         augment.Noise(clean=0.9, mild=0.5)
 
 
+def test_homophones_are_substituted_at_their_rate(spark):
+    rows = spark.createDataFrame([(i, "手机收集ab") for i in range(400)], "id long, t string")
+    got = [r["x"] for r in rows.select(augment.substitute_homophones("t", 0.3, {"shou": ["手", "收"], "ji": ["机", "集"]}, 3, "id").alias("x")).collect()]
+    changed = sum(a != b for t in got for a, b in zip(t, "手机收集ab", strict=True))
+    assert all(t[4:] == "ab" and t[0] in "手收" for t in got) and abs(changed / 1600 - 0.3) < 0.05
+
+
+def test_paths_and_scores_match_brute_force(spark):
+    from itertools import product
+
+    rng = random.Random(5)
+    lines = spark.createDataFrame([("".join(rng.choice("甲乙丙丁戊己") for _ in range(rng.randrange(1, 9))),) for _ in range(60)] + [("abc",), (None,)], "t string")
+    table = ngram.counts(lines, "t")
+    plain = {}
+    for t in (r["t"] for r in lines.collect()):
+        marks = ["<s>", *(c for c in t or "" if "一" <= c <= "龥"), "</s>"] if t is not None else []
+        for pair in zip(marks, marks[1:], strict=False):
+            plain[pair] = plain.get(pair, 0) + 1
+    assert {(r["prev"], r["cur"]): r["n"] for r in table.collect()} == plain
+    single, row = {}, {}
+    for (p, c), n in plain.items():
+        single[c], row[p] = single.get(c, 0) + n, row.get(p, 0) + n
+    total, v = sum(single.values()), len(set(single) - {"</s>"})
+
+    def logp(p, c):
+        uni = (single.get(c, 0) + 0.5) / (total + 0.5 * v)
+        bi = (plain.get((p, c), 0) + 0.5) / (row[p] + 0.5 * v) if p in row else uni
+        return math.log(0.8 * bi + 0.2 * uni)
+
+    value = lambda t: sum(logp(p, c) for p, c in zip(["<s>", *t], [*t, "</s>"], strict=True))
+    model = ngram.Model.from_frame(table)
+    for t in ("甲", "甲乙丙", "庚甲", "己己己己"):
+        assert abs(model.score(t) - value(t) / len(t)) < 1e-9
+    for _ in range(20):
+        columns = [rng.sample("甲乙丙丁戊己庚", rng.randrange(1, 4)) for _ in range(rng.randrange(1, 5))]
+        bonus = [[rng.choice([0.0, 1.0]) for _ in c] for c in columns]
+        got = model.path([np.array([ord(x) for x in c]) for c in columns], [np.array(b) for b in bonus])
+        worth = lambda pick: value([c[i] for c, i in zip(columns, pick, strict=True)]) + sum(b[i] for b, i in zip(bonus, pick, strict=True))
+        assert abs(worth(got) - max(worth(p) for p in product(*[range(len(c)) for c in columns]))) < 1e-9
+    rows = lines.where("t is not null").withColumn("id", F.monotonically_increasing_id())
+    near = sorted((r["id"], r["chars"], r["score"]) for r in ngram.scores(rows, "id", "t", table).collect())
+    joined = sorted((r["id"], r["chars"], r["score"]) for r in ngram.scores(rows, "id", "t", table, most=3).collect())
+    assert near == joined and len(near) == 61 and near[-1][2] == -1e9
+    readings = spark.createDataFrame([(c, "x") for c in "甲乙丙庚"] + [("辛", "y"), ("壬", "y")], "unit string, syllable string")
+    got = {r["syllable"]: r["units"] for r in ngram.choices(readings, table, 2).collect()}
+    assert got == {"x": sorted("甲乙丙", key=lambda c: (-single[c], c))[:2], "y": ["壬", "辛"]}
+
+
 def test_noisy_messages_expand(spark):
     rows = spark.createDataFrame([("1", "s", "我的手机", "wo de shou ji".split())], "id string, source string, text string, pinyin array<string>")
     got = augment.noisy_messages(rows, 3, augment.Noise(), {}, 1).collect()
