@@ -57,6 +57,38 @@ def trace(ref: Sequence, hyp: Sequence) -> list[tuple[int | None, int | None]]:
     return out[::-1]
 
 
+#: Cells of a whole table of costs; a longer pair is split in two, again and again.
+TABLE_CELLS = 4_000_000
+
+
+def _last_row(a: np.ndarray, b: np.ndarray) -> np.ndarray:
+    """Costs of turning all of a into each prefix of b, in one row of memory."""
+    ramp = np.arange(len(b) + 1)
+    row = ramp.copy()
+    for i, x in enumerate(a, 1):
+        best = np.empty_like(row)
+        best[0] = i
+        best[1:] = np.minimum(row[:-1] + (b != x), row[1:] + 1)
+        row = np.minimum.accumulate(best - ramp) + ramp
+    return row
+
+
+def long_trace(ref: Sequence, hyp: Sequence) -> list[tuple[int | None, int | None]]:
+    """As trace(), an alignment of least cost, in memory that grows with the length and not its square."""
+    codes = {x: i for i, x in enumerate(dict.fromkeys([*ref, *hyp]))}
+    a, b = (np.array([codes[x] for x in s], np.int64) for s in (ref, hyp))
+    out, todo = [], [(0, len(a), 0, len(b))]
+    while todo:
+        a0, a1, b0, b1 = todo.pop()
+        if (a1 - a0 + 1) * (b1 - b0 + 1) <= TABLE_CELLS or a1 - a0 < 2:
+            out += [(None if i is None else a0 + i, None if j is None else b0 + j) for i, j in trace(ref[a0:a1], hyp[b0:b1])]
+            continue
+        middle = (a0 + a1) // 2
+        split = b0 + int((_last_row(a[a0:middle], b[b0:b1]) + _last_row(a[middle:a1][::-1], b[b0:b1][::-1])[::-1]).argmin())
+        todo += [(middle, a1, split, b1), (a0, middle, b0, split)]
+    return out
+
+
 def operations(ref: Sequence, hyp: Sequence) -> tuple[int, int, int]:
     """(substitutions, deletions, insertions)."""
     pairs = trace(ref, hyp)

@@ -6,7 +6,7 @@ import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from ..functions.edits import increasing_chain, trace
+from ..functions.edits import increasing_chain, long_trace
 from ..functions.text import ColumnLike, column
 
 
@@ -41,11 +41,10 @@ def rising_chains(anchors: DataFrame, key: str) -> DataFrame:
     return anchors.select(key, "i", "j").groupBy(key).applyInPandas(run, f"{key} {kind}, i long, j long")
 
 
-def align_by_anchors(a: str, b: str, k: int = 8, largest_block: int = 1500) -> dict[int, int]:
+def align_by_anchors(a: str, b: str, k: int = 8) -> dict[int, int]:
     """Position in a -> position in b where characters stand beside each other.
 
-    Anchors split the texts into blocks, each aligned alone; a block of more than
-    ``largest_block`` squared cells is passed over.
+    Anchors split the texts into blocks, each aligned alone, a long one in linear memory.
     """
     def singles(t: str) -> dict[str, int]:
         seen: dict[str, int] = {}
@@ -62,38 +61,45 @@ def align_by_anchors(a: str, b: str, k: int = 8, largest_block: int = 1500) -> d
     edges = [(-1, -1), *fixed, (len(a), len(b))]
     for (i0, j0), (i1, j1) in zip(edges, edges[1:], strict=False):
         rows, cols = i1 - i0 - 1, j1 - j0 - 1
-        if rows > 0 and cols > 0 and rows * cols <= largest_block**2:
-            for i, j in trace(a[i0 + 1 : i1], b[j0 + 1 : j1]):
+        if rows > 0 and cols > 0:
+            for i, j in long_trace(a[i0 + 1 : i1], b[j0 + 1 : j1]):
                 if i is not None and j is not None and a[i0 + 1 + i] == b[j0 + 1 + j]:
                     out[i0 + 1 + i] = j0 + 1 + j
     return out
 
 
-def aligned_sentences(pairs: DataFrame, key: str, k: int = 8, least_match: float = 0.6) -> DataFrame:
-    """(key, sentence, text, start, end, match_rate, n_matched): times of transcript sentences.
+def sentence_matches(pairs: DataFrame, key: str, k: int = 8, least_match: float = 0.6) -> DataFrame:
+    """(key, sentence, text, start, end, match_rate, n_matched, reject_reason) of every transcript sentence.
 
     ``pairs`` holds for each recording (key) its sentences (array<string>) and the recognised
-    characters (array<struct<char, start, end>>). A sentence is kept where the share of its
-    characters that stand beside a recognised one is at least ``least_match``. Recordings are
-    independent; one is aligned by one task.
+    characters (array<struct<char, start, end>>). A sentence is rejected (low_match) where the share
+    of its characters that stand beside a recognised one is below ``least_match``; one without any
+    has no times. Recordings are independent; one is aligned by one task.
     """
     kind = dict(pairs.dtypes)[key]
+    names = ["sentence", "text", "start", "end", "match_rate", "n_matched", "reject_reason"]
 
     def run(frames):
         for frame in frames:
             out = []
             for name, sentences, chars in zip(frame[key], frame["sentences"], frame["chars"], strict=True):
-                sentences = list(sentences)
+                sentences, chars = (list(x) if x is not None else [] for x in (sentences, chars))
                 found = align_by_anchors("".join(sentences), "".join(c["char"] for c in chars), k)
                 at = 0
                 for number, text in enumerate(sentences):
                     hits = [found[i] for i in range(at, at + len(text)) if i in found]
                     at += len(text)
-                    if text and hits and len(hits) / len(text) >= least_match:
-                        out.append((name, number, text, float(chars[min(hits)]["start"]), float(chars[max(hits)]["end"]), len(hits) / len(text), len(hits)))
-            yield pd.DataFrame(out, columns=[key, "sentence", "text", "start", "end", "match_rate", "n_matched"])
+                    rate = len(hits) / max(len(text), 1)
+                    times = (float(chars[min(hits)]["start"]), float(chars[max(hits)]["end"])) if hits else (None, None)
+                    out.append((name, number, text, *times, rate, len(hits), None if hits and rate >= least_match else "low_match"))
+            yield pd.DataFrame(out, columns=[key, *names])
+
+    return pairs.select(key, "sentences", "chars").mapInPandas(run, f"{key} {kind}, sentence int, text string, start double, end double, match_rate double, n_matched int, reject_reason string")
 
-    return pairs.select(key, "sentences", "chars").mapInPandas(run, f"{key} {kind}, sentence int, text string, start double, end double, match_rate double, n_matched int")
+
+def aligned_sentences(pairs: DataFrame, key: str, k: int = 8, least_match: float = 0.6) -> DataFrame:
+    """The sentences that sentence_matches() does not reject."""
+    return sentence_matches(pairs, key, k, least_match).where("reject_reason is null").drop("reject_reason")
 
 
 def word_kgrams(rows: DataFrame, text: str, k: int, *keys: str) -> DataFrame:

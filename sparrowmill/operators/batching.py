@@ -7,6 +7,7 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from ..functions.hashing import uniform
+from ..plans.storage import numbered
 
 
 def sample(rows: DataFrame, k: int, seed: int, *keys: str) -> DataFrame:
@@ -32,7 +33,8 @@ def weighted_draws(rows: DataFrame, source: str, weights: dict[str, float], n: i
 
     A draw is a pair of hashes of its number: one falls into the weights' cumulative ranges, one
     picks a row number within the source. Sources without rows get none; a weight for a source
-    that is not there is an error.
+    that is not there is an error. Rows are numbered by ranges of source and keys, so no source is a
+    task of its own.
     """
     counts = rows.groupBy(source).agg(F.count("*").alias("__n"))
     have = {r[source]: r["__n"] for r in counts.where(F.col(source).isin(*weights)).collect()}
@@ -51,8 +53,11 @@ def weighted_draws(rows: DataFrame, source: str, weights: dict[str, float], n: i
     for name in weights:
         size = F.when(F.col(source) == name, F.lit(have[name])).otherwise(size)
     draws = draws.withColumn(source, choice).withColumn("__row", F.floor(F.col("__v") * size) + 1)
-    numbered = rows.withColumn("__row", F.row_number().over(Window.partitionBy(source).orderBy(*keys)).cast("long"))
-    return draws.drop("__u", "__v").join(numbered, [source, "__row"]).drop("__row")
+    placed = numbered(rows.where(F.col(source).isin(*weights)), "__at", source, *keys)
+    # One row for each weight.
+    starts = placed.groupBy(source).agg(F.min("__at").alias("__start"))
+    placed = placed.join(F.broadcast(starts), source).withColumn("__row", F.col("__at") - F.col("__start") + 1).drop("__at", "__start")
+    return draws.drop("__u", "__v").join(placed, [source, "__row"]).drop("__row")
 
 
 def shuffled(rows: DataFrame, seed: int, *keys: str, mega: int) -> DataFrame:

@@ -19,16 +19,22 @@ def descriptors(rows: DataFrame, key: str, vector: str) -> DataFrame:
     return vectors.select(key, F.transform(mean, lambda x: x / F.greatest(norm, F.lit(1e-12))).alias("descriptor"))
 
 
-def similar_pairs(rows: DataFrame, key: str, vector: str, threshold: float, blocks: int = 16, explicit: str | None = None) -> DataFrame:
+#: Rows of a block of vectors: a cell is a matrix of so many squared products at most, about.
+BLOCK_ROWS = 2048
+
+
+def similar_pairs(rows: DataFrame, key: str, vector: str, threshold: float, blocks: int | None = None, explicit: str | None = None) -> DataFrame:
     """(a, b, similarity) of rows with a dot product of at least ``threshold``; a < b.
 
-    Exact, for tables of sources: rows are hashed into blocks, and each pair of blocks is one cell
-    whose products are one matrix. Each pair of rows meets in one cell; a cell holds the rows of
-    two blocks, so ``blocks`` bounds its share. The work is quadratic in the number of sources, as
-    the question is; it is no operator for rows. With ``explicit`` (a name, or null), two named
+    Exact, for tables of sources: rows are hashed into blocks of about BLOCK_ROWS, and each pair of
+    blocks is one cell whose products are one matrix of that size, whatever the number of rows. Each
+    pair of rows meets in one cell. The work is quadratic in the number of sources, as the question
+    is; it is no operator for rows. With ``explicit`` (a name, or null), two named
     rows are linked where the names are equal, whatever the vectors. Keys are numbers or texts;
     rows without key or vector are left out.
     """
+    if blocks is None:
+        blocks = max(1, -(-rows.count() // BLOCK_ROWS))
     kind = dict(rows.dtypes)[key]
     name = F.col(explicit).cast("string") if explicit else F.lit(None).cast("string")
     own = rows.where(F.col(key).isNotNull() & F.col(vector).isNotNull()).select(F.col(key).alias("k"), F.col(vector).cast("array<double>").alias("v"), name.alias("name"), F.pmod(F.xxhash64(key), F.lit(blocks)).alias("block"))
@@ -74,17 +80,20 @@ def component_names(rows: DataFrame, order: str, explicit: str, prefix: str = "s
 
 
 def median_bits(vector: str) -> Column:
-    """A hash of an array: the bits that say which items are above the median, as hex digits."""
+    """A hash of an array: the bits that say which items are above the median, as hex digits.
 
-    def run(vectors: pd.Series) -> pd.Series:
-        out = []
-        for v in vectors:
-            x = np.asarray(v if v is not None else [], np.float64)
-            bits = (x > np.median(x)).astype(int) if len(x) else []
-            out.append(f"{int('0' + ''.join(map(str, bits)), 2):0{max(1, -(-len(x) // 4))}x}")
-        return pd.Series(out)
-
-    return F.pandas_udf(run, "string")(F.col(vector))
+    The first item is the highest bit; the digits are filled up with zero bits in front. An empty or
+    null array is ``0``.
+    """
+    items = F.coalesce(F.col(vector).cast("array<double>"), F.array().cast("array<double>"))
+    ordered = F.array_sort(items)
+    n = F.size(items)
+    median = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
+    bits = F.array_join(F.transform(items, lambda x: F.when(x > median, "1").otherwise("0")), "")
+    width = F.ceil(n / 4).cast("int") * 4
+    padded = F.lpad(bits, width, "0")
+    digit = lambda i: F.lower(F.conv(F.substring(padded, i * 4 + 1, F.lit(4)), 2, 16))
+    return F.when(n == 0, "0").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / 4).cast("int"), F.lit(1)) - 1), digit), ""))
 
 
 def kmeans(rows: DataFrame, vector: str, k: int, seed: int = 0, reduce_to: int | None = None) -> DataFrame:
@@ -102,7 +111,7 @@ def kmeans(rows: DataFrame, vector: str, k: int, seed: int = 0, reduce_to: int |
 def pitch_clusters(rows: DataFrame, f0: str, k: int, seed: int = 0) -> DataFrame:
     """Clusters of voiced pitches by their logarithm, numbered from the lowest mean up; unvoiced: -1."""
     voiced = kmeans(rows.where(F.col(f0) > 0).withColumn("__x", F.array(F.ln(f0))), "__x", k, seed)
-    means = voiced.groupBy("cluster").agg(F.avg("__x")[0] if False else F.avg(F.get("__x", F.lit(0))).alias("m"))
+    means = voiced.groupBy("cluster").agg(F.avg(F.get("__x", F.lit(0))).alias("m"))
     order = means.agg(F.sort_array(F.collect_list(F.struct("m", "cluster"))).alias("o")).select(F.posexplode("o").alias("number", "c")).select("number", F.col("c.cluster").alias("cluster"))
     named = voiced.join(F.broadcast(order.limit(k)), "cluster").drop("cluster", "__x").withColumnRenamed("number", "cluster")
     return named.unionByName(rows.where(~F.coalesce(F.col(f0) > 0, F.lit(False))).withColumn("cluster", F.lit(-1)))

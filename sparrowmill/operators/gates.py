@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Callable, Iterable
+from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
@@ -123,6 +124,50 @@ def metadata_reasons(min_seconds: float, max_seconds: float, min_height: int, mi
     ])
 
 
+def subtitle_reasons(least_cues: int = 50, least_in_range: float = 0.85, most_overlap: float = 0.05) -> Column:
+    """All reasons why subtitles do not do, from the columns that profile.timing_profile() gives."""
+    return all_failures([
+        ("few_cues", F.col("n") < least_cues),
+        ("rate_out_of_range", F.coalesce("in_range", F.lit(0.0)) < least_in_range),
+        ("overlap", F.coalesce("overlap", F.lit(0.0)) > most_overlap),
+    ])
+
+
+@dataclass(frozen=True)
+class TrackRules:
+    """What the faces of a video must be; a track below ``stable`` coverage does not count."""
+
+    stable: float = 0.02
+    most_tracks: int = 1
+    main_coverage: float = 0.90
+    face_coverage: float = 0.85
+    lip_width: float = 55.0
+    yaw: float = 0.12
+    jitter: float = 4.0
+
+
+def track_reasons(tracks: DataFrame, rules: TrackRules = TrackRules(), video: str = "video") -> DataFrame:
+    """(video, n_tracks, main, reasons) of tracks (video, track, coverage, lip_width, yaw_mean, jitter,
+    face_coverage): the main track is the one of greatest coverage, the first of equal ones.
+
+    face_coverage is the share of a video's frames with any face, the same in all its rows.
+    """
+    counts = F.col("coverage") >= rules.stable
+    main = F.min(F.when(counts, F.struct((-F.col("coverage")).alias("less"), F.col("track"), F.col("lip_width"), F.col("yaw_mean"), F.col("jitter"))))
+    told = tracks.groupBy(video).agg(F.count_if(counts).alias("n_tracks"), main.alias("m"), F.max("face_coverage").alias("face_coverage"))
+    some = F.col("n_tracks") > 0
+    reasons = all_failures([
+        ("no_stable_track", ~some),
+        ("tracks", F.col("n_tracks") > rules.most_tracks),
+        ("main_coverage", some & (-F.col("m.less") < rules.main_coverage)),
+        ("face_coverage", some & (F.col("face_coverage") < rules.face_coverage)),
+        ("lip_width", some & (F.col("m.lip_width") < rules.lip_width)),
+        ("yaw", some & (F.col("m.yaw_mean") > rules.yaw)),
+        ("jitter", some & (F.col("m.jitter") > rules.jitter)),
+    ])
+    return told.select(video, "n_tracks", F.col("m.track").alias("main"), reasons.alias("reasons"))
+
+
 def transcript_flags(text: ColumnLike, low: int, high: int, chars: str, rescue: bool = False) -> Column:
     """Why a transcript sentence cannot be used: latin, digit, short, long; null where it can.
 

@@ -79,7 +79,7 @@ def crop_box(points: str, keep: list[int], s: RegionSpec) -> Column:
     """struct(cx, cy, side): the crop around chosen landmarks, NaN ones aside."""
     axis = lambda k: F.filter(F.array(*[F.get(points, F.lit(i))[k] for i in keep]), lambda v: v.isNotNull() & ~F.isnan(v))
     x, y = axis(0), axis(1)
-    mean = lambda v: F.aggregate(v, F.lit(0.0), lambda a, b: a + b) / F.size(v)
+    mean = lambda v: F.try_divide(F.aggregate(v, F.lit(0.0), lambda a, b: a + b), F.size(v))
     middle = lambda v: (F.array_min(v) + F.array_max(v)) / 2
     centre = mean if s.anchor == "lips" else middle
     radius = F.greatest(F.array_max(x) - F.array_min(x), F.array_max(y) - F.array_min(y)) / 2
@@ -163,6 +163,135 @@ def source_spectra(clips: DataFrame, key: str, most: int = 12) -> DataFrame:
     return few.select(key, "path", "frames", "height", "width", "pixels").groupBy(key).applyInPandas(run, f"{key} {kind}, descriptor array<float>")
 
 
+def crop_place(size: int, height: ColumnLike, width: ColumnLike, train: bool = False, seed: int = 0, *keys: ColumnLike) -> Column:
+    """struct(top, left, flip): the middle of a picture, or in training a place and a flip drawn by keys."""
+    h, w = F.greatest(column(height) - size, F.lit(0)), F.greatest(column(width) - size, F.lit(0))
+    if not train:
+        return F.struct(F.floor(h / 2).cast("int").alias("top"), F.floor(w / 2).cast("int").alias("left"), F.lit(False).alias("flip"))
+    draw = lambda n: F.pmod(F.xxhash64(F.lit(seed), F.lit(n), *[column(k) for k in keys]), F.lit(1 << 30)) / float(1 << 30)
+    return F.struct(F.floor(draw(1) * (h + 1)).cast("int").alias("top"), F.floor(draw(2) * (w + 1)).cast("int").alias("left"), (draw(3) < 0.5).alias("flip"))
+
+
+def cropped(pixels: ColumnLike, width: ColumnLike, place: Column, size: int) -> Column:
+    """The pixels (row by row) of a square of ``size`` at a crop_place(), mirrored where it says so."""
+    p, w = column(pixels), column(width)
+    column_of = lambda i: F.when(place["flip"], size - 1 - i % size).otherwise(i % size)
+    return F.transform(F.sequence(F.lit(0), F.lit(size * size - 1)), lambda i: F.get(p, ((place["top"] + F.floor(i / size)) * w + place["left"] + column_of(i)).cast("int")))
+
+
+def normalised(pixels: ColumnLike, mean: float = 0.421, std: float = 0.165) -> Column:
+    """Pixel values of 0 to 255 as standardised numbers."""
+    return F.transform(column(pixels), lambda x: (x / 255.0 - mean) / std)
+
+
+def time_masked(clip: ColumnLike, most: int, seed: int, *keys: ColumnLike) -> Column:
+    """An array of frames with up to ``most`` in a row zeroed, drawn by keys; clips of 2 * most frames
+    or fewer stay."""
+    c = column(clip)
+    draw = lambda n: F.pmod(F.xxhash64(F.lit(seed), F.lit(n), *[column(k) for k in keys]), F.lit(1 << 30)) / float(1 << 30)
+    n = F.when(F.size(c) > 2 * most, F.floor(draw(1) * (most + 1))).otherwise(0)
+    first = F.floor(draw(2) * (F.size(c) - n + 1))
+    return F.transform(c, lambda f, i: F.when((i >= first) & (i < first + n), F.transform(f, lambda x: x * 0)).otherwise(f))
+
+
+# -- rendering -----------------------------------------------------------------------------------
+#: What lies outside a frame: the models' grey. Fixed value.
+OUTSIDE = 110
+
+
+def resample(picture: np.ndarray, x: np.ndarray, y: np.ndarray, outside: float | None = OUTSIDE) -> np.ndarray:
+    """Bilinear samples of (height, width[, 3]) at x, y; what lies outside is ``outside``, or with None
+    the nearest pixel."""
+    h, w = picture.shape[:2]
+    values = picture.astype(np.float64)
+    x0, y0 = np.floor(x).astype(int), np.floor(y).astype(int)
+
+    def at(yy, xx):
+        got = values[np.clip(yy, 0, h - 1), np.clip(xx, 0, w - 1)]
+        if outside is not None:
+            off = (yy < 0) | (yy >= h) | (xx < 0) | (xx >= w)
+            got = np.where(off[..., None] if got.ndim == 3 else off, outside, got)
+        return got
+
+    fx, fy = (x - x0), (y - y0)
+    if values.ndim == 3:
+        fx, fy = fx[..., None], fy[..., None]
+    return (at(y0, x0) * (1 - fx) + at(y0, x0 + 1) * fx) * (1 - fy) + (at(y0 + 1, x0) * (1 - fx) + at(y0 + 1, x0 + 1) * fx) * fy
+
+
+def window(picture: np.ndarray, cx: float, cy: float, side: float, size: int, outside: float | None = OUTSIDE) -> np.ndarray:
+    """The square of ``side`` around a point, as ``size`` x ``size`` pixels."""
+    half = max(int(side / 2), 4)
+    at = (np.arange(size) + 0.5) * 2 * half / size - 0.5 - half
+    x, y = np.meshgrid(int(cx) + at, int(cy) + at)
+    return np.clip(np.rint(resample(picture, x, y, outside)), 0, 255).astype(np.uint8)
+
+
+def similarity(source: np.ndarray, target: np.ndarray) -> np.ndarray:
+    """(2, 3): the rotation, scale and shift that bring points closest to others, by least squares."""
+    s, t = source - source.mean(axis=0), target - target.mean(axis=0)
+    norm = (s**2).sum()
+    if not np.isfinite(norm) or norm < 1e-9:
+        raise ValueError("no similarity of such points")
+    a, b = (s * t).sum() / norm, (s[:, 0] * t[:, 1] - s[:, 1] * t[:, 0]).sum() / norm
+    turn = np.array([[a, -b], [b, a]])
+    return np.column_stack([turn, target.mean(axis=0) - turn @ source.mean(axis=0)])
+
+
+def aligned(picture: np.ndarray, five: np.ndarray, size: int) -> np.ndarray:
+    """A picture turned so that its five points lie on those of the mean face."""
+    matrix = similarity(five, np.array(mean_face(size)))
+    back = np.linalg.inv(np.vstack([matrix, [0, 0, 1]]))
+    x, y = np.meshgrid(np.arange(size), np.arange(size))
+    return np.clip(np.rint(resample(picture, back[0, 0] * x + back[0, 1] * y + back[0, 2], back[1, 0] * x + back[1, 1] * y + back[1, 2])), 0, 255).astype(np.uint8)
+
+
+def in_color(picture: np.ndarray, color: str) -> np.ndarray:
+    """A blue-green-red picture as gray, rgb or as it is."""
+    if picture.ndim == 2 or color == "bgr":
+        return picture
+    if color == "rgb":
+        return picture[..., ::-1]
+    return np.rint(picture @ np.array([0.114, 0.587, 0.299])).astype(np.uint8)
+
+
+def rendered(frames: DataFrame, s: RegionSpec, keep: list[int], landmarks: int) -> DataFrame:
+    """(video, frame, size, pixels, error) of frames (video, frame, height, width, channels, pixels,
+    points): the region that a specification wants, a row for each frame; an error stays with its row."""
+    five = five_points("points", landmarks) if s.align == "similarity" else F.lit(None).cast("array<array<double>>")
+    box = crop_box("points", keep, s) if s.align != "similarity" else F.lit(None).cast("struct<cx: double, cy: double, side: double>")
+    placed_ = frames.select("video", "frame", "height", "width", "channels", "pixels", five.alias("five"), box.alias("box"))
+
+    def run(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for part in parts:
+            out = []
+            for r in part.itertuples():
+                picture = np.frombuffer(r.pixels, np.uint8).reshape((r.height, r.width) if r.channels == 1 else (r.height, r.width, r.channels))
+                try:
+                    if s.align == "similarity":
+                        if r.five is None:
+                            raise ValueError("missing alignment points")
+                        done = aligned(picture, np.array([list(p) for p in r.five]), s.size)
+                    elif r.box is None or r.box["cx"] is None:
+                        raise ValueError("missing landmarks")
+                    else:
+                        done = window(picture, r.box["cx"], r.box["cy"], r.box["side"], s.size)
+                    out.append((r.video, r.frame, s.size, in_color(done, s.color).tobytes(), None))
+                except ValueError as e:
+                    out.append((r.video, r.frame, s.size, None, str(e)))
+            yield pd.DataFrame(out, columns=["video", "frame", "size", "pixels", "error"])
+
+    kinds = dict(frames.dtypes)
+    return placed_.mapInPandas(run, f"video {kinds['video']}, frame {kinds['frame']}, size int, pixels binary, error string")
+
+
+def probe_crop(picture: np.ndarray, points: np.ndarray, size: int, scale: float = 1.6) -> np.ndarray:
+    """A quick look at the mouth: the square around the points' mean, with the border's pixels beyond it."""
+    cx, cy = points.mean(axis=0)
+    side = 2 * max(int((points.max(axis=0) - points.min(axis=0)).max() * scale / 2), 8)
+    return window(picture, cx, cy, side, size, None)
+
+
 # -- signals -------------------------------------------------------------------------------------
 def band(values: np.ndarray, low: float, high: float, rate: float) -> np.ndarray:
     """Only the frequencies between ``low`` and ``high``; the mean goes."""

@@ -7,6 +7,7 @@ from pyspark.sql import functions as F
 
 from ..functions.edits import char_error_rate
 from ..functions.text import ColumnLike, column
+from ..plans.storage import numbered
 
 PERCENTILES = {"p05": 0.05, "p50": 0.5, "p95": 0.95, "p99": 0.99}
 
@@ -39,10 +40,15 @@ def moments(rows: DataFrame, value: str, *keys: str, digits: int = 6) -> DataFra
 def timing_profile(cues: DataFrame, *keys: str) -> DataFrame:
     """Speech rate and gaps of cues (start, end, units; keys): counts, percentiles and shares.
 
-    Rates are of cues longer than 0.2 s with units; a gap under -10 ms is an overlap.
+    Rates are of cues longer than 0.2 s with units; a gap under -10 ms is an overlap. Without keys,
+    cues are numbered by ranges and each meets the next number, so no window is over all.
     """
-    w = Window.partitionBy(*keys).orderBy("start", "end") if keys else Window.orderBy("start", "end")
-    seen = cues.withColumn("gap", F.lead("start").over(w) - F.col("end"))
+    if keys:
+        seen = cues.withColumn("gap", F.lead("start").over(Window.partitionBy(*keys).orderBy("start", "end")) - F.col("end"))
+    else:
+        placed = numbered(cues, "__at", "start", "end")
+        after = placed.select((F.col("__at") - 1).alias("__at"), F.col("start").alias("__next"))
+        seen = placed.join(after, "__at", "left").withColumn("gap", F.col("__next") - F.col("end"))
     length = F.col("end") - F.col("start")
     seen = seen.withColumn("rate", F.when((length > 0.2) & (F.col("units") > 0), F.col("units") / length))
     return seen.groupBy(*keys).agg(
@@ -82,16 +88,10 @@ def best_epoch(log: DataFrame, run: str, metric: str, order: str) -> DataFrame:
 def vocabulary(tokens: DataFrame, token: str = "token", first_id: int = 3) -> DataFrame:
     """(unit, id): distinct tokens in order, numbered from ``first_id``; null and blank are no units.
 
-    Numbers come from counts of ranges of units, not from one window over all: units are ranged,
-    numbered within a range, and moved by the sizes of the ranges before.
+    Numbers come from sizes of ranges of units, not from one window over all.
     """
     units = tokens.select(F.col(token).alias("unit")).where("unit is not null and unit <> ''").distinct()
-    head = F.substring("unit", 1, 2)
-    numbered = units.withColumn("__head", head).withColumn("__rank", F.row_number().over(Window.partitionBy("__head").orderBy("unit")))
-    sizes = units.groupBy(head.alias("__head")).agg(F.count("*").alias("__n"))
-    # Heads are pairs of characters: far fewer rows than units.
-    before = sizes.select("__head", (F.sum("__n").over(Window.orderBy("__head").rowsBetween(Window.unboundedPreceding, -1))).alias("__before"))
-    return numbered.join(before, "__head").select("unit", (F.coalesce("__before", F.lit(0)) + F.col("__rank") + first_id - 1).cast("long").alias("id"))
+    return numbered(units, "id", "unit").select("unit", (F.col("id") + first_id).cast("long").alias("id"))
 
 
 def oov_rate(tokens: DataFrame, vocab: DataFrame, *keys: str, token: str = "token", unit: str = "unit") -> DataFrame:

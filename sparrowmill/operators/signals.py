@@ -28,12 +28,15 @@ def runs(rows: DataFrame, label: str, keys: list[str], order: str, name: str = "
 
 
 def fill_gaps(rows: DataFrame, label: str, keys: list[str], order: str, longest: int, name: str = "filled") -> DataFrame:
-    """Runs of -1 of at most ``longest`` rows take the label on both sides, where that is one and voiced."""
-    w = Window.partitionBy(*keys).orderBy(order)
+    """Runs of -1 of at most ``longest`` rows take the label on both sides, where that is one and voiced.
+
+    What comes after is the last of the opposite order, so each row is looked at once.
+    """
+    w, back = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys).orderBy(F.col(order).desc())
     told = F.when(F.col(label) >= 0, F.col(label))
     out = runs(rows, label, keys, order, "__run").withColumn("__size", F.count("*").over(Window.partitionBy(*keys, "__run")))
     left = F.last(told, True).over(w.rowsBetween(Window.unboundedPreceding, -1))
-    right = F.first(told, True).over(w.rowsBetween(1, Window.unboundedFollowing))
+    right = F.last(told, True).over(back.rowsBetween(Window.unboundedPreceding, -1))
     fits = (F.col(label) == -1) & (F.col("__size") <= longest) & (F.col("__left") == F.col("__right"))
     out = out.withColumn("__left", left).withColumn("__right", right)
     return out.withColumn(name, F.when(fits, F.col("__left")).otherwise(F.col(label))).drop("__run", "__size", "__left", "__right")
@@ -108,11 +111,11 @@ def bucket_energy(samples: DataFrame, keys: list[str], at: str, value: str, hop:
 
 
 def fill_linear(rows: DataFrame, keys: list[str], order: str, value: str, name: str = "filled") -> DataFrame:
-    """Missing values by linear interpolation; at the ends the nearest value."""
-    w = Window.partitionBy(*keys).orderBy(order)
+    """Missing values by linear interpolation; at the ends the nearest value. Each row is looked at once a way."""
+    w, back = Window.partitionBy(*keys).orderBy(order), Window.partitionBy(*keys).orderBy(F.col(order).desc())
     told = F.struct(F.col(order).cast("double").alias("t"), F.col(value).cast("double").alias("v"))
     told = F.when(F.col(value).isNotNull(), told)
-    out = rows.withColumn("__a", F.last(told, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__b", F.first(told, True).over(w.rowsBetween(0, Window.unboundedFollowing)))
+    out = rows.withColumn("__a", F.last(told, True).over(w.rowsBetween(Window.unboundedPreceding, 0))).withColumn("__b", F.last(told, True).over(back.rowsBetween(Window.unboundedPreceding, 0)))
     share = (F.col(order) - F.col("__a.t")) / (F.col("__b.t") - F.col("__a.t"))
     mixed = F.when(F.col("__a.t") == F.col("__b.t"), F.col("__a.v")).otherwise(F.col("__a.v") * (1 - share) + F.col("__b.v") * share)
     return out.withColumn(name, F.coalesce(mixed, F.col("__a.v"), F.col("__b.v"))).drop("__a", "__b")

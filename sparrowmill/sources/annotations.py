@@ -12,7 +12,8 @@ from dataclasses import dataclass, field
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from ..functions.text import blank_to_null, first_line, stem, strip_mark, without_suffix
+from ..functions.text import blank_to_null, first_line, strip_mark, without_suffix
+from ..plans.storage import numbered
 
 COLUMNS = {"id": "string", "text": "string", "media": "string", "speaker_id": "string", "split": "string", "confidence": "double", "path": "string", "ord": "string"}
 
@@ -54,9 +55,8 @@ def placed(rows: DataFrame) -> DataFrame:
 
 
 def line_numbers(lines: DataFrame) -> DataFrame:
-    """(value, line): numbers of the lines of one file, from per-partition counts."""
-    numbered = lines.rdd.zipWithIndex().map(lambda x: (x[0][0], x[1]))
-    return numbered.toDF("value string, line long")
+    """(value, line): numbers of lines in the order of their places, from sizes of ranges of places."""
+    return numbered(placed(lines), "line", "ord").select("value", "line")
 
 
 def jsonl(spark: SparkSession, s: Source) -> DataFrame:
@@ -132,18 +132,54 @@ def sidecar(spark: SparkSession, s: Source) -> DataFrame:
     return unified(texts.select(relative.alias("id"), text.alias("text"), without_suffix("path").alias("media"), "path", F.col("path").alias("ord"), F.lit(s.confidence).alias("confidence"), F.lit(s.split or None).alias("split")))
 
 
+#: What a release's landmarks are: 98 points in the face's own frame. Fixed value.
+RELEASE_LANDMARKS = "wflw98_normalized"
+
+
+def array_length(content: Column) -> Column:
+    """The first dimension of a .npy file, from its header; null where there is none."""
+    head = F.decode(F.substring(content, 1, 512), "ISO-8859-1")
+    return F.nullif(F.regexp_extract(head, r"'shape': \((\d+)", 1), F.lit("")).cast("int")
+
+
 def release_tree(spark: SparkSession, s: Source) -> DataFrame:
-    """part/speaker/{txt,video,landmark,roi,audio}/stem.*: texts left-joined with the other kinds by stem."""
-    whole = files(spark, s.path).select("path", F.split(below(F.col("path"), s.path), "/").alias("p")).where("size(p) = 4")
-    parts = whole.select("path", F.element_at("p", 1).alias("part"), F.element_at("p", 2).alias("speaker"), F.element_at("p", 3).alias("kind"), stem("path").alias("stem"))
-    texts = parts.where("kind = 'txt'")
-    content = files(spark, s.path, True).where(F.col("path").contains("/txt/")).select("path", first_line(strip_mark(F.decode("content", "UTF-8"))).alias("text"))
-    rows = texts.join(content, "path").drop("kind")
-    for kind in ("video", "landmark", "roi", "audio"):
-        rows = rows.join(parts.where(F.col("kind") == kind).select("part", "speaker", "stem", F.col("path").alias(kind)), ["part", "speaker", "stem"], "left")
-    name = F.concat(F.lit(s.name + ":"), F.concat_ws("/", "part", "speaker", "stem"))
-    rows = rows.select(name.alias("id"), "text", F.coalesce("roi", "video").alias("media"), F.concat(F.lit(s.name + ":"), "speaker").alias("speaker_id"), "path", F.col("path").alias("ord"), F.lit(s.confidence).alias("confidence"), F.lit(s.split or None).alias("split"), F.col("landmark").alias("landmark_path"), F.col("audio").alias("audio_path"))
-    return unified(rows, ["landmark_path", "audio_path"])
+    """.../speaker/{txt,video,landmark,roi,audio}/stem.*, at any depth: the texts with what lies beside them.
+
+    media is always the video's place. landmark_path is ``stem_landmark.npy``, or else ``stem.npy``,
+    with landmark_format and n_frames; face_box_path and audio_path are null where there is no such file.
+    """
+    listing = files(spark, s.path).select("path", below(F.col("path"), s.path).alias("rel"))
+    at = r"^(?:(.*)/)?([^/]+)/([^/]+)$"
+    parts = listing.select("path", *[F.regexp_extract("rel", at, i).alias(c) for i, c in enumerate(("root", "kind", "name"), 1)])
+    named = lambda kind, end: parts.where((F.col("kind") == kind) & F.col("name").endswith(end)).select("root", F.regexp_replace("name", re.escape(end) + "$", "").alias("stem"), "path")
+    texts = named("txt", ".txt")
+    content = files(spark, s.path, True).where(F.col("path").endswith(".txt")).select("path", first_line(strip_mark(F.decode("content", "UTF-8"))).alias("text"))
+    rows = texts.join(content, "path")
+    arrays = files(spark, s.path, True).where(F.col("path").endswith(".npy")).select("path", array_length(F.col("content")).alias("n_frames"))
+    points = named("landmark", ".npy").join(arrays, "path").select("root", F.col("stem").alias("__stem"), F.struct("path", "n_frames").alias("found"))
+    for n, suffix in enumerate(("_landmark", "")):
+        rows = rows.withColumn("__stem", F.concat("stem", F.lit(suffix))).join(points.withColumnRenamed("found", f"__l{n}"), ["root", "__stem"], "left").drop("__stem")
+    rows = rows.withColumn("landmark", F.coalesce("__l0", "__l1"))
+    for kind, end, name in (("roi", ".json", "face_box_path"), ("audio", ".wav", "audio_path")):
+        rows = rows.join(named(kind, end).withColumnRenamed("path", name), ["root", "stem"], "left")
+    speaker = F.when(F.col("root") == "", F.element_at(F.split(F.lit(s.path.rstrip("/")), "/"), -1)).otherwise(F.element_at(F.split("root", "/"), -1))
+    base = F.concat(F.lit(s.path.rstrip("/") + "/"), F.when(F.col("root") == "", "").otherwise(F.concat("root", F.lit("/"))))
+    rows = rows.select(
+        F.concat(F.lit(s.name + ":"), F.when(F.col("root") == "", F.col("stem")).otherwise(F.concat_ws("/", "root", "stem"))).alias("id"),
+        "text",
+        F.concat(base, F.lit("video/"), "stem", F.lit(".mp4")).alias("media"),
+        F.concat(F.lit(s.name + ":"), speaker).alias("speaker_id"),
+        "path",
+        F.col("path").alias("ord"),
+        F.lit(s.confidence).alias("confidence"),
+        F.lit(s.split or None).alias("split"),
+        F.col("landmark.path").alias("landmark_path"),
+        F.when(F.col("landmark").isNotNull(), RELEASE_LANDMARKS).alias("landmark_format"),
+        F.col("landmark.n_frames").alias("n_frames"),
+        "face_box_path",
+        "audio_path",
+    )
+    return unified(rows, ["landmark_path", "landmark_format", "n_frames", "face_box_path", "audio_path"])
 
 
 def mirrored_tree(spark: SparkSession, s: Source) -> DataFrame:

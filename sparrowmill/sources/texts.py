@@ -5,11 +5,14 @@ from __future__ import annotations
 import dataclasses
 import json
 import re
+from collections.abc import Callable
 
+import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from ..functions.text import strip_mark
+from ..plans.storage import numbered
 from .annotations import files, line_numbers, placed
 
 # Patterns of the formats.
@@ -113,7 +116,7 @@ def manifest(spark: SparkSession, path: str, schema: str) -> DataFrame:
 
 def numbered_manifest(spark: SparkSession, path: str) -> DataFrame:
     """(value, row): lines that are not blank with their ordinal, for access by position."""
-    return line_numbers(spark.read.text(path).where("trim(value) <> ''")).select("value", F.col("line").alias("row"))
+    return numbered(placed(spark.read.text(path)).where("trim(value) <> ''"), "row", "ord").select("value", "row")
 
 
 def row_at(rows: DataFrame, position: int) -> DataFrame:
@@ -170,6 +173,30 @@ def stale(wanted: DataFrame, done: DataFrame, key: str = "path") -> DataFrame:
     return wanted.join(done.select(key, "fingerprint", "version"), [key, "fingerprint", "version"], "left_anti")
 
 
+def read_config(spark: SparkSession, path: str, kind: type, overrides: list[str] = ()) -> object:
+    """As config(), from a YAML file wherever Spark reads it; JSON is YAML too."""
+    text = "\n".join(r["value"] for r in spark.read.text(path, wholetext=True).collect())
+    try:
+        import yaml
+    except ImportError:  # YAML that is JSON can be read without the package
+        return config(kind, json.loads(text) if text.strip() else {}, overrides)
+    return config(kind, yaml.safe_load(text) or {}, overrides)
+
+
+def expanded(entries: DataFrame, listed: Callable[[str, int], list[str]], most: int = 50) -> DataFrame:
+    """(url, ord) of entries (url, ord): single videos as they are, others as the URLs that ``listed``
+    (an adapter: entry, most -> URLs) gives for them, http ones only, in their order."""
+    single = F.contains("url", F.lit("/watch?")) | F.contains("url", F.lit("youtu.be/"))
+
+    def run(frames):
+        for frame in frames:
+            rows = [(u, f"{o}:{n:06d}") for e, o in zip(frame["url"], frame["ord"], strict=True) for n, u in enumerate(listed(e, most)[:most]) if u.startswith("http")]
+            yield pd.DataFrame(rows, columns=["url", "ord"])
+
+    rest = entries.where(~single).select("url", F.col("ord").cast("string").alias("ord")).mapInPandas(run, "url string, ord string")
+    return entries.where(single).select("url", F.col("ord").cast("string").alias("ord")).unionAll(rest)
+
+
 def config(kind: type, values: dict, overrides: list[str] = ()) -> object:
     """A dataclass from nested values and ``a.b=c`` overrides; unknown keys are errors."""
     for item in overrides:

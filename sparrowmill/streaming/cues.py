@@ -4,6 +4,7 @@ from __future__ import annotations
 
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
@@ -28,7 +29,7 @@ def closed_cues(frames: DataFrame, cues: DataFrame, key: str = "video", emit_inc
     ``frames`` is a table or a stream of (key, frame_no) in order; ``cues`` a table of (key, cue, f0,
     f1). A cue gathers the frames of [f0, f1] and closes with the first frame at or after f1; cues
     may overlap. Cues that are still open at the end are left out, or marked with
-    ``emit_incomplete`` (tables only).
+    ``emit_incomplete`` (tables only). A stream takes MOST_CUES cues at most, which go with the tasks.
     """
     if not frames.isStreaming:
         # Only frames inside a cue are met; that one comes at or after it is told by the key's last frame.
@@ -39,21 +40,46 @@ def closed_cues(frames: DataFrame, cues: DataFrame, key: str = "video", emit_inc
         out = cues.groupBy(*keys).agg(F.count("*").alias("__times")).join(last, key).where(F.col("__last") >= F.col("f0")).join(inside, keys, "left")
         out = out.select(*keys, (F.coalesce("n", F.lit(0)) * F.col("__times")).alias("n"), (F.col("__last") >= F.col("f1")).alias("complete"))
         return out if emit_incomplete else out.where("complete")
-    # A stream meets the table of cues by key; the state of a cue is two numbers.
-    met = frames.join(cues, key).where(F.col("frame_no") >= F.col("f0"))
-    schema = T.StructType([met.schema[key], *[met.schema[c] for c in ("cue", "f0", "f1")], T.StructField("n", T.LongType()), T.StructField("complete", T.BooleanType())])
+    few = cues.select(*[key, "cue", "f0", "f1"]).limit(MOST_CUES + 1).toPandas()
+    if len(few) > MOST_CUES:
+        raise ValueError(f"over {MOST_CUES} cues; give a stream the cues of its own videos")
+    return _streamed(frames, few, key, cues)
+
+
+#: Cues that go with the tasks of a stream, at most.
+MOST_CUES = 1_000_000
 
-    def run(names: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
-        n, done = state.get if state.exists else (0, False)
-        last = names[3]
-        for part in parts:
-            n += 0 if done else int((part["frame_no"] <= last).sum())
-            if not done and (part["frame_no"] >= last).any():
-                done = True
-                yield pd.DataFrame([(*names, n, True)], columns=schema.names)
-        state.update((n, done))
 
-    return met.groupBy(key, "cue", "f0", "f1").applyInPandasWithState(run, schema, "n long, done boolean", "append", GroupStateTimeout.NoTimeout)
+def _streamed(frames: DataFrame, few: pd.DataFrame, key: str, cues: DataFrame) -> DataFrame:
+    """Frames are grouped by key; the state of a key is the last frame seen and the counts of its open
+    cues, so it grows with the cues that are open and not with the frames or with what is closed."""
+    schema = T.StructType([frames.schema[key], *[cues.schema[c] for c in ("cue", "f0", "f1")], T.StructField("n", T.LongType()), T.StructField("complete", T.BooleanType())])
+    tables = {name: part.sort_values(["f0", "f1", "cue"], kind="stable").reset_index(drop=True) for name, part in few.groupby(key)}
+    shared = frames.sparkSession.sparkContext.broadcast(tables)
+
+    def run(names: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:
+        seen, places, counts = state.get if state.exists else (None, [], [])
+        arrived = np.sort(np.concatenate([p["frame_no"].to_numpy(np.int64) for p in parts]))
+        own = shared.value.get(names[0])
+        if own is None or not len(arrived):
+            return
+        last = int(arrived[-1]) if seen is None else max(seen, int(arrived[-1]))
+        f0, f1 = own["f0"].to_numpy(np.int64), own["f1"].to_numpy(np.int64)
+        held = dict(zip(places, counts, strict=True))
+        # Cues that began with the frames of this batch join those that are open.
+        started = range(int(np.searchsorted(f0, last, "right")))
+        closed_before = (lambda at: seen is not None and max(f0[at], f1[at]) <= seen)
+        out, still = [], {}
+        for at in [*held, *(i for i in started if i not in held and not closed_before(i))]:
+            n = held.get(at, 0) + int(np.searchsorted(arrived, f1[at], "right") - np.searchsorted(arrived, f0[at], "left"))
+            if max(f0[at], f1[at]) <= last:
+                out.append((names[0], *own.loc[at, ["cue", "f0", "f1"]], n, True))
+            else:
+                still[at] = n
+        state.update((last, list(still), list(still.values())))
+        yield pd.DataFrame(out, columns=schema.names)
+
+    return frames.groupBy(key).applyInPandasWithState(run, schema, "seen long, places array<int>, counts array<long>", "append", GroupStateTimeout.NoTimeout)
 
 
 def task_states(events: DataFrame) -> DataFrame:
@@ -74,7 +100,11 @@ def task_states(events: DataFrame) -> DataFrame:
             elif now in before:
                 attempts = attempts + 1 if event.verb == "claim" else 0 if event.verb == "retry" else attempts
                 now = after
-        state.update((now, attempts, most))
+        if now == "succeeded":
+            # Nothing applies to it any more, so nothing of it is kept.
+            state.remove()
+        else:
+            state.update((now, attempts, most))
         yield pd.DataFrame([(*names, now, attempts)], columns=["task_id", "state", "attempts"])
 
     kind = dict(events.dtypes)["task_id"]

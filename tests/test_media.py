@@ -108,3 +108,42 @@ def test_command_line(spark, data, tmp_path, capsys):
     (tmp_path / "hyps.jsonl").write_text(json.dumps({"id": "1", "ref": "我想去银行", "pinyin": ["wo"], "nbest": [{"text": "我想去银航"}]}) + "\n")
     main(["build-instructions", "--hyps", str(tmp_path / "hyps.jsonl"), "--out", str(tmp_path / "i")])
     assert spark.read.json(str(tmp_path / "i")).count() == 1 and F is not None
+
+
+def test_crops_flips_masks_and_norms(spark):
+    rows = spark.createDataFrame([(i, [float(v) for v in range(48)]) for i in range(60)], "id long, p array<double>")
+    middle = rows.select(media.cropped("p", F.lit(8), media.crop_place(4, F.lit(6), F.lit(8)), 4).alias("c")).first()["c"]
+    assert middle == [float((1 + r) * 8 + 2 + c) for r in range(4) for c in range(4)]
+    place = media.crop_place(4, F.lit(6), F.lit(8), True, 3, "id")
+    got = rows.select("id", place.alias("at"), media.cropped("p", F.lit(8), place, 4).alias("c")).collect()
+    assert {r["at"]["top"] for r in got} == {0, 1, 2} and {r["at"]["left"] for r in got} == {0, 1, 2, 3, 4} and {r["at"]["flip"] for r in got} == {True, False}
+    for r in got:
+        want = np.arange(48.0).reshape(6, 8)[r["at"]["top"] : r["at"]["top"] + 4, r["at"]["left"] : r["at"]["left"] + 4]
+        assert r["c"] == (want[:, ::-1] if r["at"]["flip"] else want).ravel().tolist()
+    assert np.allclose(rows.select(media.normalised("p").alias("n")).first()["n"], (np.arange(48) / 255 - 0.421) / 0.165)
+    clip = spark.createDataFrame([(i, [[1.0, 2.0]] * (20 if i else 8)) for i in range(50)], "id long, c array<array<double>>")
+    for r in clip.select("id", media.time_masked("c", 4, 1, "id").alias("m")).collect():
+        gone = [i for i, f in enumerate(r["m"]) if f == [0.0, 0.0]]
+        assert len(gone) <= (4 if r["id"] else 0) and gone == list(range(gone[0], gone[-1] + 1) if gone else [])
+
+
+def test_rendered_regions(spark):
+    picture = np.zeros((40, 60, 3), np.uint8)
+    picture[10:20, 20:30] = (10, 200, 30)
+    points = [[20.0, 10.0], [30.0, 20.0], [25.0, 15.0]]
+    frames = spark.createDataFrame([("v", 0, 40, 60, 3, bytearray(picture.tobytes()), points), ("v", 1, 40, 60, 3, bytearray(picture.tobytes()), [])], "video string, frame long, height int, width int, channels int, pixels binary, points array<array<double>>")
+    spec = media.spec("mouth", size=10, scale=1.0, color="rgb")
+    got = media.rendered(frames, spec, [0, 1, 2], 3).orderBy("frame").collect()
+    whole = np.frombuffer(got[0]["pixels"], np.uint8).reshape(10, 10, 3)
+    assert (whole == (30, 200, 10)).all() and got[1]["error"] == "missing landmarks"
+    gray = media.in_color(picture, "gray")
+    assert gray[12, 22] == round(0.114 * 10 + 0.587 * 200 + 0.299 * 30) and (media.window(gray, 0, 0, 20, 20)[:9, :9] == 110).all()
+    # A turned and scaled face comes back to the mean face.
+    five = np.array(media.mean_face(96))
+    turn = np.array([[0.6, -0.8], [0.8, 0.6]]) * 1.7
+    assert np.allclose(media.similarity(five @ turn.T + [5, 9], five) @ np.append(five[2] @ turn.T + [5, 9], 1), five[2])
+    ramp = np.tile(np.arange(200, dtype=np.uint8), (200, 1))
+    out = media.aligned(ramp, five + [60, 90], 96)
+    assert abs(int(out[50, 40]) - 100) <= 1 and media.probe_crop(ramp, np.array([[2.0, 100.0], [12.0, 104.0]]), 16).shape == (16, 16)
+    with pytest.raises(ValueError):
+        media.similarity(np.zeros((5, 2)), five)

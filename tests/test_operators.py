@@ -307,3 +307,53 @@ def test_similar_pairs_by_vector_and_by_name(spark):
     named = lambda a, b: rows[a][2] == rows[b][2] if rows[a][2] and rows[b][2] else value(a, b) >= 3
     assert sorted((r["a"], r["b"]) for r in cluster.similar_pairs(frame, "k", "v", 3.0).collect()) == [p for p in pairs if value(*p) >= 3]
     assert sorted((r["a"], r["b"]) for r in cluster.similar_pairs(frame, "k", "v", 3.0, explicit="name").collect()) == [p for p in pairs if named(*p)]
+
+
+def test_gates_on_subtitles_and_tracks(spark):
+    timing = spark.createDataFrame([("a", 60, 0.9, 0.01), ("b", 10, 0.5, 0.2), ("c", 60, None, None)], "v string, n long, in_range double, overlap double")
+    assert [r["x"] for r in timing.select(gates.subtitle_reasons().alias("x")).collect()] == [[], ["few_cues", "rate_out_of_range", "overlap"], ["rate_out_of_range"]]
+    tracks = spark.createDataFrame(
+        [("ok", 0, 0.95, 60.0, 0.05, 1.0, 0.96), ("ok", 1, 0.01, 9.0, 9.0, 9.0, 0.96), ("two", 0, 0.5, 40.0, 0.3, 9.0, 0.6), ("two", 1, 0.6, 60.0, 0.05, 1.0, 0.6), ("none", 0, 0.01, 1.0, 1.0, 1.0, 0.01)],
+        "video string, track int, coverage double, lip_width double, yaw_mean double, jitter double, face_coverage double",
+    )
+    got = {r["video"]: r for r in gates.track_reasons(tracks).collect()}
+    assert got["ok"]["reasons"] == [] and got["ok"]["main"] == 0 and got["two"]["main"] == 1
+    assert got["two"]["reasons"] == ["tracks", "main_coverage", "face_coverage"] and got["none"]["reasons"] == ["no_stable_track"]
+
+
+def test_long_alignments_cost_the_least(monkeypatch):
+    from sparrowmill.functions import edits
+
+    rng = random.Random(2)
+    a = [rng.choice("abcd") for _ in range(300)]
+    b = [x for x in a if rng.random() < 0.9] + [rng.choice("abcd") for _ in range(40)]
+    want = int(edits.distance_table(a, b)[-1, -1])
+    monkeypatch.setattr(edits, "TABLE_CELLS", 200)
+    pairs = edits.long_trace(a, b)
+    assert sum(i is None or j is None or a[i] != b[j] for i, j in pairs) == want
+    assert [i for i, _ in pairs if i is not None] == list(range(300)) and [j for _, j in pairs if j is not None] == list(range(len(b)))
+
+
+def test_rejected_sentences_are_told(spark):
+    frame = spark.createDataFrame([("v", ["abcdefghijkl", "xyzxyzxyz", ""], [(c, float(i), i + 1.0) for i, c in enumerate("abcdefghijkl")])], "video string, sentences array<string>, chars array<struct<char: string, start: double, end: double>>")
+    got = align.sentence_matches(frame, "video").orderBy("sentence").collect()
+    assert [(r["reject_reason"], round(r["match_rate"], 2), r["start"]) for r in got] == [(None, 1.0, 0.0), ("low_match", 0.0, None), ("low_match", 0.0, None)]
+
+
+def test_numbers_timing_and_bits_without_windows_over_all(spark):
+    from sparrowmill.operators import profile
+    from sparrowmill.plans.storage import numbered
+
+    rng = random.Random(3)
+    rows = spark.createDataFrame([(i,) for i in rng.sample(range(10_000), 500)], "n int").repartition(7)
+    got = [r["at"] for r in numbered(rows, "at", "n").orderBy("n").collect()]
+    assert got == list(range(500)) and numbered(rows.where("n < 0"), "at", "n").count() == 0
+    cues = spark.createDataFrame([(float(i), i + rng.random(), 5) for i in range(200)], "start double, end double, units int")
+    assert tuple(profile.timing_profile(cues).first()) == tuple(profile.timing_profile(cues.withColumn("k", F.lit(1)), "k").drop("k").first())
+    vectors = spark.createDataFrame([([1.0, 2.0, 3.0],), ([5.0],), ([],), (None,), ([float(i % 5) for i in range(9)],)], "v array<double>")
+
+    def plain(v):
+        bits = (np.asarray(v) > np.median(v)).astype(int) if v else []
+        return f"{int('0' + ''.join(map(str, bits)), 2):0{max(1, -(-len(v) // 4))}x}"
+
+    assert [r["b"] for r in vectors.select(cluster.median_bits("v").alias("b")).collect()] == [plain(v) for v in ([1.0, 2.0, 3.0], [5.0], [], [], [float(i % 5) for i in range(9)])]

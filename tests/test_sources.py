@@ -164,3 +164,126 @@ def test_upsert_and_changed_content(spark):
     done = spark.createDataFrame([(1, "download", "succeeded", "p")], "task_id int, kind string, status string, payload string")
     assert tasks.chained(done, {"download": "analyze"}).first()["kind"] == "analyze"
     assert F is not None
+
+
+def npy(*shape):
+    return shards.array_bytes(np.zeros(shape, np.float32))
+
+
+def test_release_tree_reads_what_lies_beside_a_text(spark, tmp_path):
+    """Names as the release has them, other depths, both names of landmarks, several files of one stem."""
+    for folder in ("a/b/c/n1", "n2"):
+        put(tmp_path / folder / "txt/x.txt", "\n\n hello \nrest")
+        put(tmp_path / folder / "video/x.mp4", b"v")
+        put(tmp_path / folder / "landmark/x_landmark.npy", npy(12, 98, 2))
+        put(tmp_path / folder / "roi/x.json", "{}")
+        put(tmp_path / folder / "roi/x.txt", "not a box")
+        put(tmp_path / folder / "audio/x.wav", b"a")
+        put(tmp_path / folder / "audio/x.flac", b"a")
+        put(tmp_path / folder / "txt/y.txt", "no media")
+        put(tmp_path / folder / "landmark/y.npy", npy(7, 98, 2))
+    got = {r["id"]: r for r in annotations.read(spark, Source("cv", "cn_cvs", str(tmp_path))).collect()}
+    assert sorted(got) == ["cv:a/b/c/n1/x", "cv:a/b/c/n1/y", "cv:n2/x", "cv:n2/y"]
+    x, y = got["cv:a/b/c/n1/x"], got["cv:n2/y"]
+    assert x["text"] == "hello" and x["speaker_id"] == "cv:n1" and x["media"].endswith("a/b/c/n1/video/x.mp4") and x["n_frames"] == 12 and x["landmark_format"] == "wflw98_normalized"
+    assert x["landmark_path"].endswith("x_landmark.npy") and x["face_box_path"].endswith("roi/x.json") and x["audio_path"].endswith("x.wav")
+    assert y["media"].endswith("n2/video/y.mp4") and y["n_frames"] == 7 and y["face_box_path"] is y["audio_path"] is None
+
+
+def test_track_caches_round_trip(spark, tmp_path):
+    points = np.arange(2 * 3 * 2, dtype=np.float32).reshape(2, 3, 2)
+    put(tmp_path / "a.npz", shards.track_bytes(np.array([4, 6]), points, 25.0, 640, 480, {"landmark_count": 9}, np.array([1, 3, 8])))
+    out = io.BytesIO()
+    np.savez_compressed(out, frames=np.array([1]), landmarks=points[:1].astype(np.float16), fps=30.0, width=2, height=3, meta=np.array(["{'landmark_count': __import__('os').getpid()}"]), point_indices=np.array([], np.int16))
+    put(tmp_path / "b.npz", out.getvalue())
+    got = {(r["path"].rpartition("/")[2], r["frame"]): r for r in shards.tracks(annotations.files(spark, str(tmp_path), True)).collect()}
+    a = got["a.npz", 6]
+    assert len(a["points"]) == 9 and a["points"][3] == points[1, 1].tolist() and all(np.isnan(v) for v in a["points"][0]) and (a["fps"], a["width"], a["height"]) == (25.0, 640, 480)
+    assert got["b.npz", 1]["points"] == points[0].tolist()
+
+
+def test_clips_of_folders_and_addresses(spark, tmp_path):
+    for i in range(3):
+        put(tmp_path / f"v/{i:03d}.pgm", b"P5 # a comment\n4 2\n255\n" + bytes(range(i, i + 8)))
+        put(tmp_path / f"w/{i:03d}.ppm", b"P6\n1 1\n255\n" + bytes([i, i + 3, i + 6]))
+    clips = shards.frame_folders(annotations.files(spark, str(tmp_path), True))
+    got = {r["path"].rpartition("/")[2]: r for r in clips.collect()}
+    assert (got["v"]["frames"], got["v"]["height"], got["v"]["width"]) == (3, 2, 4) and got["v"]["pixels"][8:16] == bytearray(range(1, 9)) and list(got["w"]["pixels"]) == [3, 4, 5]
+    members = spark.createDataFrame([("s.tar", "k", bytearray(shards.array_bytes(np.full((2, 1, 1), 7, np.uint8))))], "shard string, key string, array binary")
+    uris = spark.createDataFrame([(shards.address("s.tar", "k"),), (got["v"]["path"],)], "uri string")
+    assert sorted(r["frames"] for r in shards.load_any(clips, members, uris).collect()) == [2, 3]
+
+
+def test_configurations_are_read_from_yaml(spark, tmp_path):
+    from sparrowmill.plans.corpus import TextRules
+
+    pytest.importorskip("yaml")
+    path = put(tmp_path / "c.yaml", "# rules\nleast: 3\ndelimiters: '[.]'\n")
+    got = texts.read_config(spark, path, TextRules, ["most=9"])
+    assert (got.least, got.most, got.delimiters) == (3, 9, "[.]")
+    with pytest.raises(KeyError):
+        texts.read_config(spark, put(tmp_path / "d.yaml", "lest: 3"), TextRules)
+
+
+def test_playlists_are_expanded(spark):
+    entries = spark.createDataFrame([("http://x/watch?v=1", "1"), ("http://x/list", "2")], "url string, ord string")
+    got = texts.expanded(entries, lambda e, most: [f"{e}/{i}" for i in range(9)] + ["no"], 3).orderBy("ord").collect()
+    assert [r["url"] for r in got] == ["http://x/watch?v=1", "http://x/list/0", "http://x/list/1", "http://x/list/2"]
+
+
+def test_files_appear_whole_and_are_not_replaced(spark, tmp_path):
+    rows = spark.createDataFrame([(2, "b"), (1, None)], "n int, s string")
+    path = str(tmp_path / "m.jsonl")
+    for frame in (rows.where("n < 0"), rows.orderBy("n")):
+        sinks.publish_lines(frame, path)
+    assert (tmp_path / "m.jsonl").read_text() == '{"n":1}\n{"n":2,"s":"b"}\n' and {f.name for f in tmp_path.iterdir() if not f.name.endswith(".crc")} == {"m.jsonl"}
+    a, b = put(tmp_path / "a", b"x"), put(tmp_path / "b", b"y")
+    target = str(tmp_path / "t")
+    assert sinks.copy_immutable(spark, a, target) and not sinks.copy_immutable(spark, a, target)
+    with pytest.raises(FileExistsError):
+        sinks.copy_immutable(spark, b, target)
+    assert (tmp_path / "t").read_bytes() == b"x"
+
+
+def test_worker_claims_retries_and_fails(spark, tmp_path):
+    from sparrowmill.streaming.worker import Queue, Worker
+
+    queue = Queue(spark, str(tmp_path / "q"))
+    done = []
+
+    def work(payload):
+        done.append(payload)
+        if payload == "bad":
+            raise ValueError("no")
+
+    worker = Worker(queue, "n1", {"render": work})
+    assert worker.run(once=True) == 0
+    queue.submit("render", "low", now=1.0)
+    queue.submit("render", "bad", priority=5, max_attempts=2, now=2.0)
+    queue.submit("other", "never", priority=9, now=3.0)
+    assert [worker.step(now=10.0) for _ in range(4)] == [2, 2, 1, None] and done == ["bad", "bad", "low"]
+    got = {r["task_id"]: r for r in queue.tasks().collect()}
+    assert [got[i]["status"] for i in (1, 2, 3)] == ["succeeded", "failed", "queued"] and "ValueError: no" in got[2]["error"] and got[2]["attempts"] == 2
+    # A worker that dies leaves a lease that runs out.
+    queue.submit("render", "left", max_attempts=2, now=4.0)
+    queue.append([{"task_id": 4, "verb": "claim", "node": "dead", "lease_until": 20.0}])
+    assert worker.step(now=15.0) is None and worker.step(now=25.0) == 4 and done[-1] == "left"
+
+
+def test_streamed_cues_over_gaps_and_batches(spark, tmp_path):
+    """Frames with gaps, in several batches and videos: as the table says, and no state of what is closed."""
+    import random
+
+    rng = random.Random(1)
+    frames = [(v, f) for v in "ab" for f in sorted(rng.sample(range(400), 150))]
+    table = spark.createDataFrame([(v, i, f, f + rng.randrange(0, 60)) for v in "abc" for i, f in enumerate(rng.sample(range(400), 60))], "video string, cue int, f0 int, f1 int")
+    for part in range(4):
+        mine = [r for r in frames if part * 100 <= r[1] < part * 100 + 100]
+        spark.createDataFrame(mine, "video string, frame_no int").coalesce(1).write.mode("append").parquet(str(tmp_path / "in"))
+    stream = spark.readStream.schema("video string, frame_no int").option("maxFilesPerTrigger", 1).parquet(str(tmp_path / "in"))
+    q = cues.closed_cues(stream, table).writeStream.format("memory").queryName("closed_gaps").trigger(availableNow=True).option("checkpointLocation", str(tmp_path / "c")).start()
+    q.awaitTermination(180)
+    want = cues.closed_cues(spark.read.parquet(str(tmp_path / "in")), table)
+    names = ["video", "cue", "f0", "f1", "n", "complete"]
+    got = sorted(map(tuple, spark.table("closed_gaps").select(*names).collect()))
+    assert got == sorted(map(tuple, want.select(*names).collect())) and len(got) > 80
