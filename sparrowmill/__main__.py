@@ -31,7 +31,7 @@ def main(argv: list[str] | None = None) -> int:
             s.add_argument(name, **({"default": default} if default else {"required": True} if name.startswith("--") else {}))
     a = p.parse_args(argv)
 
-    from . import queries
+    from . import queries, queries_io  # noqa: F401
 
     if a.verb == "queries":
         print("\n".join(sorted(queries.QUERIES)))

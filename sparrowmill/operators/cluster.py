@@ -89,11 +89,13 @@ def median_bits(vector: str) -> Column:
     ordered = F.array_sort(items)
     n = F.size(items)
     median = (F.get(ordered, F.floor((n - 1) / 2).cast("int")) + F.get(ordered, F.floor(n / 2).cast("int"))) / 2
-    bits = F.array_join(F.transform(items, lambda x: F.when(x > median, "1").otherwise("0")), "")
-    width = F.ceil(n / 4).cast("int") * 4
-    padded = F.lpad(bits, width, "0")
-    digit = lambda i: F.lower(F.conv(F.substring(padded, i * 4 + 1, F.lit(4)), 2, 16))
-    return F.when(n == 0, "0").otherwise(F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(F.ceil(n / 4).cast("int"), F.lit(1)) - 1), digit), ""))
+    digits = F.ceil(n / 4).cast("int")
+    # An array of one item names a value, so that it is computed once and not for each item.
+    named = lambda value, then: F.get(F.transform(F.array(value), then), F.lit(0))
+    bits = named(median, lambda m: F.array_join(F.transform(items, lambda x: F.when(x > m, "1").otherwise("0")), ""))
+    digit = lambda p, i: F.lower(F.conv(F.substring(p, i * 4 + 1, F.lit(4)), 2, 16))
+    whole = named(F.lpad(bits, digits * 4, "0"), lambda p: F.array_join(F.transform(F.sequence(F.lit(0), F.greatest(digits, F.lit(1)) - 1), lambda i: digit(p, i)), ""))
+    return F.when(n == 0, "0").otherwise(whole)
 
 
 def kmeans(rows: DataFrame, vector: str, k: int, seed: int = 0, reduce_to: int | None = None) -> DataFrame:

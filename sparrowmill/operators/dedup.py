@@ -42,25 +42,24 @@ def greedy_two_keys(rows: DataFrame, order: str, first: str, second: str) -> Dat
     undecided rows that share a key with one that stays go. A round is two aggregates and joins;
     each ends in a written table, and rounds end when no row is undecided. Order must be unique.
     """
-    open_rows = materialize(rows.select(F.col(order).alias("o"), F.col(first).alias("a"), F.col(second).alias("b")))
-    kept, gone = [], []
+    # A null key is a value like others.
+    key = lambda c: F.coalesce(F.concat(F.lit("="), F.col(c).cast("string")), F.lit(""))
+    open_rows = materialize(rows.select(F.col(order).alias("o"), key(first).alias("a"), key(second).alias("b")))
+    kept = None
     while not open_rows.isEmpty():
         least_a = open_rows.groupBy("a").agg(F.min("o").alias("la"))
         least_b = open_rows.groupBy("b").agg(F.min("o").alias("lb"))
         stays = materialize(open_rows.join(least_a, "a").join(least_b, "b").where("o = la and o = lb").select("o", "a", "b"))
+        kept = stays if kept is None else kept.unionAll(stays)
         rest = open_rows.join(stays.select("o"), "o", "left_anti")
         rest = rest.join(stays.select("a", F.col("o").alias("by_a")), "a", "left").join(stays.select("b", F.col("o").alias("by_b")), "b", "left")
-        rest = materialize(rest)
-        kept.append(stays.select("o"))
         # A row may be hit by a later row through one key only; it goes if an earlier one stays.
-        hit = "coalesce(by_a < o, false) or coalesce(by_b < o, false)"
-        gone.append(rest.where(hit).select("o", "by_a", "by_b"))
-        open_rows = rest.where(f"not ({hit})").select("o", "a", "b")
-    reason = F.when(F.coalesce(F.col("by_a") < F.col("o"), F.lit(False)), f"duplicate_{first}").otherwise(f"duplicate_{second}")
-    decided = None
-    for part in gone:
-        part = part.select("o", reason.alias("reject_reason"))
-        decided = part if decided is None else decided.unionAll(part)
-    if decided is None:
+        open_rows = materialize(rest.where("not (coalesce(by_a < o, false) or coalesce(by_b < o, false))").select("o", "a", "b"))
+    if kept is None:
         return rows.withColumn("reject_reason", F.lit(None).cast("string"))
-    return rows.join(decided.withColumnRenamed("o", order), order, "left")
+    # Of a first key at most one row stays. The reason is told at the end, as a row may go by its second key
+    # before the one that has its first key is known to stay.
+    by_first = kept.select(F.col("a").alias("__key"), F.col("o").alias("__by"))
+    met = rows.withColumn("__key", key(first)).join(by_first, "__key", "left").join(kept.select(F.col("o").alias(order), F.lit(True).alias("__stays")), order, "left")
+    reason = F.when(F.col("__stays"), F.lit(None)).when(F.col("__by") < F.col(order), f"duplicate_{first}").otherwise(f"duplicate_{second}")
+    return met.withColumn("reject_reason", reason).select(*rows.columns, "reject_reason")

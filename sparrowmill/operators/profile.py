@@ -94,6 +94,20 @@ def vocabulary(tokens: DataFrame, token: str = "token", first_id: int = 3) -> Da
     return numbered(units, "id", "unit").select("unit", (F.col("id") + first_id).cast("long").alias("id"))
 
 
+def encoded(rows: DataFrame, tokens: str, vocab: DataFrame, *keys: str, unknown: int = 2) -> DataFrame:
+    """(keys, ids): arrays of tokens as ids of a vocabulary (unit, id) of any size, by an equi-join."""
+    each = rows.select(*keys, F.posexplode(tokens).alias("__pos", "__unit"))
+    met = each.join(vocab.select(F.col("unit").alias("__unit"), F.col("id").alias("__id")), "__unit", "left").withColumn("__id", F.coalesce("__id", F.lit(unknown).cast("long")))
+    return met.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("__pos", "__id"))), lambda x: x["__id"]).alias("ids"))
+
+
+def decoded(rows: DataFrame, ids: str, vocab: DataFrame, *keys: str) -> DataFrame:
+    """(keys, units): arrays of ids as units; ids that the vocabulary lacks, the special ones too, are dropped."""
+    each = rows.select(*keys, F.posexplode(ids).alias("__pos", "__id"))
+    met = each.join(vocab.select(F.col("id").alias("__id"), F.col("unit").alias("__unit")), "__id")
+    return met.groupBy(*keys).agg(F.transform(F.sort_array(F.collect_list(F.struct("__pos", "__unit"))), lambda x: x["__unit"]).alias("units"))
+
+
 def oov_rate(tokens: DataFrame, vocab: DataFrame, *keys: str, token: str = "token", unit: str = "unit") -> DataFrame:
     """Share of tokens that a vocabulary lacks; counts are joined, not tokens."""
     counts = tokens.groupBy(*keys, token).agg(F.count("*").alias("n"))

@@ -132,14 +132,23 @@ def speaker_fallback(t):
     return t.pages.select("page_id", gates.speaker({"path": "url"}, r"://www\.([a-z]+)\.", 3).alias("speaker"))
 
 
-@query(r"""WITH s AS (SELECT unnest(list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(text, '[（(][^）)]*[）)]', '', 'g'), '["''“”‘’《》「」『』]', '', 'g'), '[.!?;\n]'), lambda x: trim(x)), lambda x: x <> '')) AS s FROM conversations),
-    f AS (SELECT s, CASE WHEN regexp_matches(s, '[0-9]') THEN 'digit' WHEN len(regexp_extract_all(s, '[a-z]')) < 8 THEN 'short' WHEN len(regexp_extract_all(s, '[a-z]')) > 120 THEN 'long' END AS why FROM s)
-    SELECT coalesce(why, 'usable') AS why, count(*) AS n FROM f GROUP BY 1""")
+SPOKEN = r"""s AS (SELECT unnest(list_filter(list_transform(string_split_regex(regexp_replace(regexp_replace(text, '[（(][^）)]*[）)]', '', 'g'), '["''“”‘’《》「」『』]', '', 'g'), '[。！？!?；;]'), lambda x: trim(x)), lambda x: x <> '')) AS s FROM conversations)"""
+
+
+@query(rf"""WITH {SPOKEN}, n AS (SELECT s, len(regexp_extract_all(s, '[a-z]')) AS c, len(regexp_extract_all(s, '[A-Za-z][A-Za-z\-'']*|\d+')) AS w FROM s),
+    f AS (SELECT CASE WHEN regexp_matches(s, '[A-Za-z]') THEN 'latin' WHEN regexp_matches(s, '[0-9]') THEN 'digit' WHEN c < 8 THEN 'short' WHEN c > 120 THEN 'long' END AS strict,
+        CASE WHEN c + w < 8 THEN 'short' WHEN c + w > 120 THEN 'long' END AS rescued FROM n)
+    SELECT coalesce(strict, 'usable') AS strict, coalesce(rescued, 'usable') AS rescued, count(*) AS n FROM f GROUP BY 1, 2""")
 def transcript_filter(t):
-    s = t.conversations.select(F.explode(text.spoken_sentences("text", r"[.!?;\n]")).alias("s"))
-    units = F.regexp_count("s", F.lit("[a-z]"))
-    why = gates.first_failure([("digit", F.col("s").rlike("[0-9]")), ("short", units < 8), ("long", units > 120)])
-    return s.groupBy(F.coalesce(why, F.lit("usable")).alias("why")).agg(F.count("*").alias("n"))
+    s = t.conversations.select(F.explode(text.spoken_sentences("text")).alias("s"))
+    flags = {"strict": gates.transcript_flags("s", 8, 120, "a-z"), "rescued": gates.transcript_flags("s", 8, 120, "a-z", rescue=True)}
+    return s.groupBy(*[F.coalesce(c, F.lit("usable")).alias(n) for n, c in flags.items()]).agg(F.count("*").alias("n"))
+
+
+@query(rf"""WITH {SPOKEN} SELECT count(*) AS sentences, count(*) FILTER (WHERE regexp_matches(s, '[A-Za-z]')) AS with_latin, count(*) FILTER (WHERE regexp_matches(s, '[0-9]')) AS with_digit,
+    count(*) FILTER (WHERE NOT regexp_matches(s, '[A-Za-z0-9]') AND len(regexp_extract_all(s, '[^a-z]')) < 3) AS short FROM s""")
+def transcript_profile(t):
+    return gates.transcript_profile(t.conversations, 3, 10_000, "^a-z").select("sentences", "with_latin", "with_digit", "short")
 
 
 @query(r"SELECT value, min(ord) AS ord FROM (SELECT trim(unnest(string_split_regex(source || ',' || lang || chr(10) || source, '[,\n]'))) AS value, doc_id AS ord FROM documents) WHERE value <> '' GROUP BY 1")
@@ -182,13 +191,23 @@ def stable_distinct(t):
     return dedup.stable_distinct(t.documents, "source", "doc_id")
 
 
-@query()
+GREEDY = """list_reduce(list_transform({rows}, lambda x: [x]), lambda acc, x: CASE WHEN len(list_filter(acc, lambda y: y.a = x[1].a OR y.b = x[1].b)) > 0 THEN acc ELSE list_concat(acc, x) END)"""
+
+
+@query(f"""WITH l AS (SELECT list({{o: o_orderkey, a: o_custkey, b: o_orderdate::DATE}} ORDER BY o_orderkey) AS l FROM orders), k AS (SELECT unnest({GREEDY.format(rows="l")}) AS k FROM l)
+    SELECT o_orderkey, CASE WHEN o_orderkey IN (SELECT k.o FROM k) THEN NULL WHEN c.o < o_orderkey THEN 'duplicate_o_custkey' ELSE 'duplicate_o_date' END AS reject_reason
+    FROM orders LEFT JOIN (SELECT k.a AS a, min(k.o) AS o FROM k GROUP BY 1) c ON c.a = o_custkey""")
 def dedup_two_keys(t):
     rows = t.orders.select("o_orderkey", "o_custkey", F.to_date("o_orderdate").alias("o_date"))
     return dedup.greedy_two_keys(rows, "o_orderkey", "o_custkey", "o_date").select("o_orderkey", "reject_reason")
 
 
-@query()
+@query(f"""WITH r AS (SELECT doc_id AS ord, lang || '-' || (doc_id % 997) AS id, nullif(trim(text), '') AS text, md5(text) AS media, CASE WHEN lang <> 'es' THEN source END AS speaker, source FROM documents),
+    a AS (SELECT *, CASE WHEN text IS NULL THEN 'missing_id_or_text' WHEN media IS NULL THEN 'missing_media' WHEN length(text) < 300 OR length(text) > 20000 THEN 'text_length' WHEN speaker IS NULL THEN 'missing_speaker' END AS alone FROM r),
+    l AS (SELECT list({{o: ord, a: id, b: media}} ORDER BY ord) AS l FROM a WHERE alone IS NULL), k AS (SELECT unnest({GREEDY.format(rows="l")}) AS k FROM l),
+    i AS (SELECT k.a AS id, min(k.o) AS o FROM k GROUP BY 1), m AS (SELECT k.b AS media, min(k.o) AS o FROM k GROUP BY 1)
+    SELECT source, CASE WHEN text IS NULL THEN 'missing_id_or_text' WHEN i.o < ord THEN 'duplicate_id' WHEN a.media IS NULL THEN 'missing_media' WHEN m.o < ord THEN 'duplicate_media' ELSE coalesce(alone, 'accepted') END AS reason, count(*) AS n
+    FROM a LEFT JOIN i ON a.id = i.id LEFT JOIN m ON a.media = m.media GROUP BY 1, 2""")
 def manifest_gates(t):
     rows = t.documents.select(F.col("doc_id").alias("ord"), F.concat_ws("-", "lang", F.pmod("doc_id", F.lit(997))).alias("id"), text.blank_to_null("text").alias("text"), F.md5("text").alias("media"), F.when(F.col("lang") != "es", F.col("source")).alias("speaker_id"), "source", F.lit(None).cast("string").alias("split"), F.lit(1.0).alias("confidence"))
     return gates.reject_counts(corpus.manifest(rows, corpus.ManifestRules(least=300, most=20_000)), "source")
@@ -211,9 +230,9 @@ def split_leakage(t):
     return joins.leaks(rows, "source").select("source", F.array_join("splits", ",").alias("splits"))
 
 
-@query(r"SELECT page_id, substr(sha1(url), 1, 12) AS digest, regexp_replace(url, '[^A-Za-z0-9_-]', '_', 'g') AS safe, sha256(html) AS content FROM pages")
+@query(r"SELECT page_id, substr(sha1(url), 1, 12) AS digest, regexp_replace(url, '[^A-Za-z0-9_-]', '_', 'g') AS safe, regexp_replace(url, '[^A-Za-z0-9_-]', '_', 'g') || '_' || substr(sha1(url), 1, 12) AS name, sha256(html) AS content FROM pages")
 def digests_and_names(t):
-    return t.pages.select("page_id", F.substring(F.sha1(F.col("url").cast("binary")), 1, 12).alias("digest"), text.safe_name("url").alias("safe"), hashing.content_digest(F.col("html").cast("binary")).alias("content"))
+    return t.pages.select("page_id", F.substring(F.sha1(F.col("url").cast("binary")), 1, 12).alias("digest"), text.safe_name("url").alias("safe"), hashing.key_with_digest("url").alias("name"), hashing.content_digest(F.col("html").cast("binary")).alias("content"))
 
 
 # -- profiles ------------------------------------------------------------------------------------
@@ -381,18 +400,21 @@ def oov_rate(t):
     return profile.oov_rate(_words(t.documents, "lang"), vocab, "lang")
 
 
-@query("SELECT conv_id, turn, array_to_string(list_transform(regexp_extract_all(lower(text), '[a-z]+'), lambda x: CASE x WHEN 'the' THEN 3 WHEN 'of' THEN 4 WHEN 'and' THEN 5 ELSE 2 END), ' ') AS ids FROM conversations")
+KNOWN = "v AS (SELECT token, row_number() OVER (ORDER BY token) + 2 AS id FROM (SELECT DISTINCT unnest(regexp_extract_all(lower(text), '[a-z]+')) AS token FROM benchmark)), c AS (SELECT conv_id, turn, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM (SELECT conv_id, turn, regexp_extract_all(lower(text), '[a-z]+') AS w FROM conversations))"
+
+
+@query(f"WITH {KNOWN} SELECT conv_id, turn, string_agg(coalesce(id, 2)::VARCHAR, ' ' ORDER BY pos) AS ids FROM c LEFT JOIN v ON c.token = v.token GROUP BY 1, 2")
 def encoded_ids(t):
-    table = F.create_map(*[F.lit(x) for i, w in enumerate(["the", "of", "and"], 3) for x in (w, i)])
-    return t.conversations.select("conv_id", "turn", F.array_join(text.encode_ids(text.tokens(F.lower("text"), "[a-z]+"), table), " ").alias("ids"))
+    rows = t.conversations.select("conv_id", "turn", text.tokens(F.lower("text"), "[a-z]+").alias("w"))
+    return profile.encoded(rows, "w", profile.vocabulary(_words(t.benchmark)), "conv_id", "turn").select("conv_id", "turn", F.array_join("ids", " ").alias("ids"))
 
 
-@query("SELECT conv_id, turn, array_to_string(list_filter(list_transform(regexp_extract_all(lower(text), '[a-z]+'), lambda x: CASE x WHEN 'the' THEN 'the' WHEN 'of' THEN 'of' WHEN 'and' THEN 'and' END), lambda x: x IS NOT NULL), ' ') AS units FROM conversations")
+@query(f"WITH {KNOWN} SELECT conv_id, turn, string_agg(c.token, ' ' ORDER BY pos) AS units FROM c JOIN v ON c.token = v.token GROUP BY 1, 2")
 def decoded_ids(t):
-    table = F.create_map(*[F.lit(x) for i, w in enumerate(["the", "of", "and"], 3) for x in (w, i)])
-    ids = text.encode_ids(text.tokens(F.lower("text"), "[a-z]+"), table, unknown=0)
-    units = F.array(*map(F.lit, ["<blank>", "<sos/eos>", "<unk>", "the", "of", "and"]))
-    return t.conversations.select("conv_id", "turn", F.array_join(text.decode_ids(ids, units), " ").alias("units"))
+    vocab = profile.vocabulary(_words(t.benchmark))
+    rows = t.conversations.select("conv_id", "turn", text.tokens(F.lower("text"), "[a-z]+").alias("w"))
+    ids = profile.encoded(rows, "w", vocab, "conv_id", "turn", unknown=0)
+    return profile.decoded(ids, "ids", vocab, "conv_id", "turn").select("conv_id", "turn", F.array_join("units", " ").alias("units"))
 
 
 @query(r"""SELECT doc_id, len(regexp_extract_all(text, '[A-Za-z][A-Za-z\-'']*|\d+')) AS tokens, len(regexp_extract_all(text, '[A-Za-z]+')) AS units, lower(regexp_replace(text, '[^A-Za-z0-9]', '', 'g')) AS normal FROM documents""")
@@ -400,10 +422,25 @@ def text_functions(t):
     return t.documents.select("doc_id", F.size(text.latin_tokens("text")).cast("bigint").alias("tokens"), text.count_units("text").cast("bigint").alias("units"), text.normal_form("text", LATIN).alias("normal"))
 
 
-@query()
+LOANS = ", ".join(f"'{w}'" for w in lexicon.LOAN_WORDS)
+TOKENS_READ = rf"""t AS (SELECT doc_id, lang, unnest(w) AS token, generate_subscripts(w, 1) AS pos FROM (SELECT doc_id, lang, regexp_extract_all(text, '[A-Za-z][A-Za-z\-'']*|\d+') AS w FROM documents)),
+    l AS (SELECT *, regexp_replace(token, '[^A-Za-z]', '', 'g') AS letters FROM t),
+    h AS (SELECT *, regexp_full_match(token, '\d+') OR length(letters) = 1 OR (length(letters) BETWEEN 2 AND 5 AND letters = upper(letters)) OR lower(trim(token, '-' || chr(39))) IN ({LOANS}) AS hit FROM l)"""
+
+
+def _latin(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", "lang", F.posexplode(text.latin_tokens("text")).alias("pos", "token"))
+
+
+@query(f"WITH {TOKENS_READ} SELECT lang, round(avg(hit::INT), 6) AS hit_rate, count(DISTINCT token) FILTER (WHERE NOT hit) AS unknown FROM h GROUP BY 1")
 def loan_coverage(t):
-    tokens = t.documents.select("lang", F.explode(text.latin_tokens("text")).alias("token"))
-    return lexicon.loan_coverage(tokens, "token", "lang").select("lang", F.round("hit_rate", 6).alias("hit_rate"), F.size("unknown").alias("unknown"))
+    return lexicon.loan_coverage(_latin(t), "token", "lang").select("lang", F.round("hit_rate", 6).alias("hit_rate"), "unknown")
+
+
+@query(f"WITH {TOKENS_READ} SELECT token, count(*) AS n, min(doc_id * 1000000 + pos - 1) AS first FROM h WHERE NOT hit GROUP BY 1 ORDER BY n DESC, first LIMIT 12")
+def unknown_words(t):
+    rows = _latin(t).withColumn("at", F.col("doc_id") * 1_000_000 + F.col("pos"))
+    return lexicon.unknown_tokens(rows, "at", k=12)
 
 
 @query("""WITH s AS (SELECT DISTINCT lower(source) AS syllable FROM documents UNION SELECT DISTINCT lang FROM documents), p AS (SELECT syllable, regexp_extract(syllable, '^(zh|ch|sh|[bpmfdtnlgkhjqxrzcsyw])?(.*)$', 1) AS i, regexp_extract(syllable, '^(zh|ch|sh|[bpmfdtnlgkhjqxrzcsyw])?(.*)$', 2) AS f FROM s)
@@ -486,9 +523,12 @@ def similarity_components(t):
     return cluster.with_component(t.embeddings.select("vec_id"), "vec_id", pairs)
 
 
-@query("""SELECT vec_id % 50 AS component, CASE WHEN max(vec_id) % 3 = 0 THEN 'name' || max(vec_id) ELSE printf('spk_%05d', vec_id % 50) END AS name FROM embeddings GROUP BY vec_id % 50""")
+@query(f"""WITH RECURSIVE e AS ({EDGES}), u AS (SELECT a, b FROM e UNION ALL SELECT b, a FROM e), r AS (SELECT vec_id AS a, vec_id AS b FROM embeddings UNION SELECT r.a, u.b FROM r JOIN u ON r.b = u.a),
+    c AS (SELECT a AS vec_id, min(b) AS component FROM r GROUP BY 1)
+    SELECT component, CASE WHEN max(vec_id) % 3 = 0 THEN 'name' || max(vec_id) ELSE printf('spk_%05d', component) END AS name FROM c GROUP BY 1""")
 def component_names(t):
-    rows = t.embeddings.select("vec_id", (F.col("vec_id") % 50).alias("component"), F.when(F.col("vec_id") % 3 == 0, F.concat(F.lit("name"), "vec_id")).alias("given"))
+    pairs = cluster.similar_pairs(t.embeddings, "vec_id", "embedding", 0.4)
+    rows = cluster.with_component(t.embeddings.select("vec_id", F.when(F.col("vec_id") % 3 == 0, F.concat(F.lit("name"), "vec_id")).alias("given")), "vec_id", pairs)
     return cluster.component_names(rows, "vec_id", "given")
 
 
@@ -499,30 +539,30 @@ def source_descriptors(t):
     return d.select("label", F.col("pos").cast("bigint").alias("pos"), F.round("x", 5).alias("x"))
 
 
-@query()
+@query("""WITH m AS (SELECT vec_id, embedding, list_aggregate(embedding::DOUBLE[], 'median') AS m FROM embeddings), b AS (SELECT vec_id, list_transform(embedding, lambda x: CASE WHEN x::DOUBLE > m THEN 1 ELSE 0 END) AS b FROM m)
+    SELECT vec_id, array_to_string(list_transform(range(0, 16), lambda i: substr('0123456789abcdef', (1 + 8 * b[4 * i + 1] + 4 * b[4 * i + 2] + 2 * b[4 * i + 3] + b[4 * i + 4])::BIGINT, 1)), '') AS bits FROM b""")
 def median_hashes(t):
     return t.embeddings.select("vec_id", cluster.median_bits("embedding").alias("bits"))
 
 
-@query("SELECT event_type AS a, user_id % 5 AS b, count(*) AS n FROM events GROUP BY 1, 2")
-def co_occurrence(t):
-    kinds = t.events.select(F.lit(0).alias("z"), "event_type", (F.col("user_id") % 5).alias("b"))
-    return kinds.groupBy(F.col("event_type").alias("a"), "b").agg(F.count("*").alias("n"))
-
-
 @query("SELECT a, b, count(*) AS n FROM (SELECT user_id % 5 - 1 AS a, event_id % 3 - 1 AS b FROM events) WHERE a >= 0 AND b >= 0 GROUP BY 1, 2")
-def co_occurrence_voiced(t):
+def co_occurrence(t):
     return cluster.co_occurrence(t.events.select((F.col("user_id") % 5 - 1).alias("a"), (F.col("event_id") % 3 - 1).alias("b")), "a", "b")
 
 
 # -- language model ------------------------------------------------------------------------------
-BIGRAMS = "(SELECT doc_id, unnest(list_zip(list_prepend('<s>', c), list_append(c, '</s>'))) AS g FROM (SELECT doc_id, regexp_extract_all(text, '[a-z]') AS c FROM documents))"
+LETTERS = "a-zß-öø-ÿ"
+BIGRAMS = f"(SELECT doc_id, unnest(list_zip(list_prepend('<s>', c), list_append(c, '</s>'))) AS g FROM (SELECT doc_id, regexp_extract_all(lower(text), '[{LETTERS}]') AS c FROM documents))"
 COUNTED = f"c AS (SELECT g[1] AS prev, g[2] AS cur, count(*) AS n FROM {BIGRAMS} GROUP BY 1, 2)"
 
 
+def _lower(t: Tables) -> DataFrame:
+    return t.documents.select("doc_id", F.lower("text").alias("text"))
+
+
 @query(f"WITH {COUNTED} SELECT * FROM c")
 def ngram_counts(t):
-    return ngram.counts(t.documents, "text", "a-z")
+    return ngram.counts(_lower(t), "text", LETTERS)
 
 
 @query(f"""WITH {COUNTED}, u AS (SELECT cur, sum(n) AS n FROM c GROUP BY 1), k AS (SELECT sum(n) AS total, count(*) FILTER (WHERE cur <> '</s>') AS v FROM u), r AS (SELECT prev, sum(n) AS n FROM c GROUP BY 1),
@@ -530,38 +570,41 @@ def ngram_counts(t):
     SELECT doc_id, (sum(m) - 1)::BIGINT AS chars, CASE WHEN sum(m) > 1 THEN round(sum(m * ln(0.8 * (c.n + 0.5) / (r.n + 0.5 * v) + 0.2 * (u.n + 0.5) / (total + 0.5 * v))) / (sum(m) - 1), 6) ELSE -1e9 END AS score
     FROM m JOIN c ON m.prev = c.prev AND m.cur = c.cur JOIN r ON m.prev = r.prev JOIN u ON m.cur = u.cur, k GROUP BY 1""")
 def lm_score(t):
-    return ngram.scores(t.documents, "doc_id", "text", ngram.counts(t.documents, "text", "a-z"), "a-z")
+    return ngram.scores(_lower(t), "doc_id", "text", ngram.counts(_lower(t), "text", LETTERS), LETTERS)
+
+
+@query(f"""WITH {COUNTED}, u AS (SELECT cur AS unit, sum(n) AS n FROM c WHERE cur <> '</s>' GROUP BY 1), s AS (SELECT DISTINCT unnest(string_split(lower(text), '')) AS unit FROM benchmark),
+    j AS (SELECT s.unit, CASE WHEN s.unit IN ('a', 'e', 'i', 'o', 'u') THEN 'vowel' WHEN regexp_matches(s.unit, '[{LETTERS}]') THEN 'letter' ELSE 'other' END AS syllable, n FROM s LEFT JOIN u ON s.unit = u.unit),
+    a AS (SELECT *, max(n) OVER (PARTITION BY syllable) AS most FROM j), r AS (SELECT *, row_number() OVER (PARTITION BY syllable ORDER BY n DESC NULLS LAST, unit) AS k FROM a WHERE n IS NOT NULL OR most IS NULL)
+    SELECT syllable, string_agg(unit, '' ORDER BY k) AS units FROM r WHERE k <= 8 GROUP BY 1""")
+def syllable_choices(t):
+    letters = t.benchmark.select(F.explode(F.regexp_extract_all(F.lower("text"), F.lit("(?s)."), F.lit(0))).alias("unit")).distinct()
+    kind = F.when(F.col("unit").isin("a", "e", "i", "o", "u"), "vowel").when(F.col("unit").rlike(f"[{LETTERS}]"), "letter").otherwise("other")
+    return ngram.choices(letters.withColumn("syllable", kind), ngram.counts(_lower(t), "text", LETTERS), 8).select("syllable", F.array_join("units", "").alias("units"))
 
 
 # -- metrics -------------------------------------------------------------------------------------
-PAIRS = "p AS (SELECT a.conv_id, a.text AS ref, b.text AS hyp FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1 WHERE a.role = 'user' AND NOT regexp_matches(a.text || b.text, '[^\\x00-\\x7f]'))".replace("\\\\", "\\")
+# DuckDB measures edits of bytes, so each character of the table becomes one byte there first.
+PAIRS = """ch AS (SELECT c, row_number() OVER (ORDER BY c) AS k FROM (SELECT DISTINCT unnest(string_split(text, '') || string_split(lower(text), '')) AS c FROM conversations)),
+    m AS (SELECT string_agg(c, '' ORDER BY k) AS src, string_agg(chr(k::INT), '' ORDER BY k) AS dst FROM ch),
+    p AS (SELECT a.conv_id, translate(a.text, src, dst) AS ref, translate(lower(a.text), src, dst) AS low, translate(b.text, src, dst) AS hyp FROM conversations a JOIN conversations b ON a.conv_id = b.conv_id AND b.turn = a.turn + 1, m WHERE a.role = 'user')"""
 
 
-def _all_pairs(t: Tables) -> DataFrame:
+def _pairs(t: Tables) -> DataFrame:
     a = t.conversations.where("role = 'user'").select("conv_id", (F.col("turn") + 1).alias("turn"), F.col("text").alias("ref"))
     b = t.conversations.select("conv_id", "turn", F.col("text").alias("hyp"))
     return a.join(b, ["conv_id", "turn"]).select("conv_id", "ref", "hyp")
 
 
-def _pairs(t: Tables) -> DataFrame:
-    """The pairs that DuckDB, which counts bytes, measures alike; the queries of all pairs have no SQL."""
-    return _all_pairs(t).where(~F.concat("ref", "hyp").rlike(r"[^\x00-\x7f]"))
-
-
 @query(f"WITH {PAIRS} SELECT sum(levenshtein(ref, hyp))::BIGINT AS edits, sum(length(ref))::BIGINT AS length, round(sum(levenshtein(ref, hyp)) / greatest(sum(length(ref)), 1), 6) AS rate FROM p")
 def edit_rate_micro(t):
     return profile.micro_rate(_pairs(t), F.levenshtein("ref", "hyp"), F.length("ref"))
 
 
-@query()
-def edit_rate_micro_all(t):
-    return profile.micro_rate(_all_pairs(t), F.levenshtein("ref", "hyp"), F.length("ref"))
-
-
 @query()
 def edit_operations(t):
     words = lambda c: F.split(F.lower(c), r"\s+")
-    return _all_pairs(t).select("conv_id", edits.edit_operations(words("ref"), words("hyp")).alias("o")).groupBy("conv_id").agg(F.sum("o.sub").alias("sub"), F.sum("o.dele").alias("dele"), F.sum("o.ins").alias("ins"))
+    return _pairs(t).select("conv_id", edits.edit_operations(words("ref"), words("hyp")).alias("o")).groupBy("conv_id").agg(F.sum("o.sub").alias("sub"), F.sum("o.dele").alias("dele"), F.sum("o.ins").alias("ins"))
 
 
 @query("""WITH t AS (SELECT lang, list(DISTINCT source ORDER BY source) AS c FROM documents GROUP BY 1), e AS (SELECT lang, unnest(c) AS s, generate_subscripts(c, 1) - 1 AS rank FROM t), r AS (SELECT *, levenshtein('src12', s) / 5.0 AS rate FROM e)
@@ -611,7 +654,10 @@ def length_buckets(t):
     return batching.length_batches(t.documents.select("doc_id", "n_chars"), "n_chars", 16, 3, "doc_id", mega=300).select("doc_id", "mega", "batch")
 
 
-@query()
+@query(f"""WITH m AS (SELECT mega, list({{d: doc_id, n: n_chars, batch: 0::BIGINT, size: 1}} ORDER BY n_chars, doc_id) AS l FROM ({MEGA}) GROUP BY 1),
+    r AS (SELECT mega, unnest(list_reduce(list_transform(l, lambda x: [x]), lambda acc, x: list_append(acc, CASE WHEN acc[-1].size = 16 OR x[1].n * (acc[-1].size + 1) > 60000
+        THEN {{d: x[1].d, n: x[1].n, batch: acc[-1].batch + 1, size: 1}} ELSE {{d: x[1].d, n: x[1].n, batch: acc[-1].batch, size: acc[-1].size + 1}} END))) AS b FROM m)
+    SELECT b.d AS doc_id, b.n AS n_chars, mega, b.batch AS batch FROM r""")
 def budget_batches(t):
     return batching.budget_batches(t.documents.select("doc_id", "n_chars"), "n_chars", 16, 60_000, 3, "doc_id", mega=300)
 
@@ -626,7 +672,10 @@ def spaced_rows(t):
     return batching.keep_spaced(t.documents.select("source").distinct(), "source", 5)
 
 
-@query()
+@query(f"""WITH n AS (SELECT doc_id, lang, row_number() OVER (PARTITION BY lang ORDER BY doc_id) AS k, count(*) OVER (PARTITION BY lang) AS size FROM documents),
+    d AS (SELECT draw, {U.format(4, "draw")} AS u, {U.format(5, "draw")} AS v FROM (SELECT unnest(range(500)) AS draw)),
+    c AS (SELECT draw, v, CASE WHEN u >= 0.3 + 0.5 THEN 'fr' WHEN u >= 0.3 THEN 'en' ELSE 'de' END AS lang FROM d)
+    SELECT draw, c.lang, doc_id FROM c JOIN n ON c.lang = n.lang AND n.k = floor(c.v * n.size) + 1""")
 def weighted_draws(t):
     return batching.weighted_draws(t.documents.select("doc_id", "lang"), "lang", {"en": 0.5, "de": 0.3, "fr": 0.2}, 500, 4, "doc_id")
 
@@ -670,7 +719,15 @@ def latest_state(t):
     return tasks.latest(t.events.select("user_id", "event_type", "event_id", "value"), ["user_id", "event_type"], "event_id")
 
 
-@query()
+NEXT = "CASE WHEN y.v = 'submit' THEN 'queued' WHEN y.v = 'claim' AND x.s = 'queued' THEN 'running' WHEN y.v = 'fail' AND x.s = 'running' AND x.o = 'n1' THEN CASE WHEN x.a < x.m THEN 'queued' ELSE 'failed' END WHEN y.v = 'complete' AND x.s = 'running' AND x.o = 'n1' THEN 'succeeded' WHEN y.v = 'retry' AND x.s IN ('failed', 'cancelled') THEN 'queued' ELSE x.s END"
+
+
+@query(f"""WITH e AS (SELECT user_id AS task_id, event_id AS seq, CASE event_type WHEN 'signup' THEN 'submit' WHEN 'view' THEN 'claim' WHEN 'click' THEN 'fail' WHEN 'purchase' THEN 'complete' WHEN 'error' THEN 'retry' END AS v, props AS e FROM events),
+    l AS (SELECT task_id, list({{v: v, e: e, s: 'new', a: 0, o: NULL::VARCHAR, r: NULL::VARCHAR, m: 1}} ORDER BY seq) AS l FROM e GROUP BY 1),
+    f AS (SELECT task_id, list_reduce(list_prepend({{v: NULL::VARCHAR, e: NULL::VARCHAR, s: 'new', a: 0, o: NULL::VARCHAR, r: NULL::VARCHAR, m: 1}}, l), lambda x, y: {{v: y.v, e: y.e, s: {NEXT},
+        a: CASE WHEN y.v = 'claim' AND x.s = 'queued' THEN x.a + 1 WHEN y.v = 'retry' THEN 0 ELSE x.a END, o: CASE WHEN y.v = 'claim' AND x.s = 'queued' THEN 'n1' WHEN ({NEXT}) = 'running' THEN x.o END,
+        r: CASE WHEN y.v = 'fail' AND x.o = 'n1' THEN right(y.e, 8000) ELSE x.r END, m: CASE WHEN y.v = 'submit' THEN 3 ELSE x.m END}}) AS x FROM l)
+    SELECT task_id, x.s AS state, x.a AS attempts, x.o AS owner, x.r AS error FROM f""")
 def replayed_tasks(t):
     verb = F.element_at(F.create_map(*[F.lit(x) for k, v in {"signup": "submit", "view": "claim", "click": "fail", "purchase": "complete", "error": "retry"}.items() for x in (k, v)]), F.col("event_type"))
     events = t.events.select(F.col("user_id").alias("task_id"), F.col("event_id").alias("seq"), verb.alias("verb"), F.lit("n1").alias("node"), F.col("props").alias("error"), F.lit(3).alias("max_attempts"))
@@ -691,10 +748,22 @@ def prompts(t):
     return t.conversations.select("conv_id", "turn", augment.user_prompt(text.tokens(F.lower("text"), "[a-z]+")).alias("prompt"))
 
 
-@query("""SELECT conv_id, turn, 3 AS messages, 'assistant' AS last_role, text AS answer FROM conversations""")
+@query(f"""WITH w AS (SELECT conv_id, turn, text, regexp_extract_all(lower(text), '[a-z]+') AS w FROM conversations)
+    SELECT conv_id, turn, 'system,user,assistant' AS roles, md5('{augment.READING_TASK}') AS task, '拼音序列（' || len(w) || ' 个音节）：' || CASE WHEN len(w) > 0 THEN array_to_string(w, ' ') ELSE '(空)' END || chr(10) || '请输出对应的中文句子：' AS question, text AS answer FROM w""")
 def messages_build(t):
     rows = t.conversations.withColumn("m", augment.messages(text.tokens(F.lower("text"), "[a-z]+"), "text"))
-    return rows.select("conv_id", "turn", F.size("m").alias("messages"), F.element_at("m", -1)["role"].alias("last_role"), F.element_at("m", -1)["content"].alias("answer"))
+    content = lambda i: F.col("m")[i]["content"]
+    return rows.select("conv_id", "turn", F.array_join(F.transform("m", lambda m: m["role"]), ",").alias("roles"), F.md5(content(0)).alias("task"), content(1).alias("question"), content(2).alias("answer"))
+
+
+@query(f"""WITH h AS (SELECT doc_id::VARCHAR AS id, source AS ref, lang AS spoken, 'src' || (doc_id % 20) AS top FROM documents), c AS (SELECT *, levenshtein(ref, top) / length(ref)::DOUBLE AS cer FROM h),
+    k AS (SELECT *, row_number() OVER (PARTITION BY spoken, ref, top ORDER BY id) AS rn FROM c WHERE cer <= 0.3 AND (cer <> 0 OR {U.format(5, "id")} < 0.5))
+    SELECT id, round(cer, 6) AS cer, ref AS answer, '拼音序列（1 个音节）：' || spoken || chr(10) || '候选转写：' || chr(10) || '1. ' || top || chr(10) || '2. ' || ref || chr(10) || '请输出修正后的中文句子：' AS question FROM k WHERE rn = 1""")
+def instruction_rows(t):
+    nbest = F.array(*[F.struct(c.alias("text")) for c in (F.concat(F.lit("src"), F.col("doc_id") % 20), F.col("source"), F.lit("beyond the second"))])
+    hyps = t.documents.select(F.col("doc_id").cast("string").alias("id"), F.col("source").alias("ref"), F.array("lang").alias("pinyin"), nbest.alias("nbest"))
+    m = F.col("messages")
+    return augment.instruction_rows(hyps, 0.3, 0.5, 2, 5).select("meta.id", F.col("meta.stage1_cer").alias("cer"), m[2]["content"].alias("answer"), m[1]["content"].alias("question"))
 
 
 @query("SELECT doc_id, v::BIGINT AS variant, 4 AS epoch FROM documents, (SELECT unnest(range(3)) AS v)")
@@ -716,21 +785,21 @@ def bucket_counts(t):
     return out.select(F.date_format("start", "yyyy-MM-dd").alias("day"), "event_type", "n", "value")
 
 
-@query("""WITH f AS (SELECT event_type AS video, event_id AS frame_no FROM events), c AS (SELECT event_type AS video, event_id AS cue, event_id AS f0, event_id + 40 AS f1 FROM events WHERE event_id % 97 = 0)
-    SELECT c.video, cue, f0, f1, count(*) FILTER (WHERE frame_no <= f1) AS n FROM f JOIN c ON f.video = c.video AND frame_no >= f0 GROUP BY 1, 2, 3, 4 HAVING max(frame_no) >= f1""")
+@query("""SELECT event_type AS video, event_id AS cue, event_id AS f0, event_id + 40 AS f1, n FROM (SELECT *, count(*) OVER (PARTITION BY event_type ORDER BY event_id RANGE BETWEEN CURRENT ROW AND 40 FOLLOWING) AS n, max(event_id) OVER (PARTITION BY event_type) AS last FROM events) WHERE last >= event_id + 40""")
 def closed_cues(t):
-    return _closed(t, t.events.where("event_id % 97 = 0"))
+    return streams.closed_cues(*_cues(t)).drop("complete")
 
 
-@query()
-def closed_cues_all(t):
-    return _closed(t, t.events)
+def _cues(t: Tables) -> tuple[DataFrame, DataFrame]:
+    """(frames, cues): every event is a frame, and begins a cue of 41 frames."""
+    frames = t.events.select(F.col("event_type").alias("video"), F.col("event_id").alias("frame_no"))
+    return frames, frames.select("video", F.col("frame_no").alias("cue"), F.col("frame_no").alias("f0"), (F.col("frame_no") + 40).alias("f1"))
 
 
-def _closed(t: Tables, chosen: DataFrame) -> DataFrame:
-    frames = t.events.select(F.col("event_type").alias("video"), F.col("event_id").alias("frame_no"))
-    cues = chosen.select(F.col("event_type").alias("video"), F.col("event_id").alias("cue"), F.col("event_id").alias("f0"), (F.col("event_id") + 40).alias("f1"))
-    return streams.closed_cues(frames, cues).drop("complete")
+@query("""SELECT event_type AS video, count(*) FILTER (WHERE last < event_id + 40) AS open, count(*) AS cues FROM (SELECT *, max(event_id) OVER (PARTITION BY event_type) AS last FROM events) GROUP BY 1""")
+def incomplete_cues(t):
+    out = streams.closed_cues(*_cues(t), emit_incomplete=True)
+    return out.groupBy("video").agg(F.count_if(~F.col("complete")).alias("open"), F.count("*").alias("cues"))
 
 
 @query("SELECT event_id, greatest(round_even((event_id / 8.0 + 0.25 - 0.1) * 25, 0), 0)::BIGINT AS f0, least(round_even((event_id / 8.0 + value + 0.25 + 0.1) * 25, 0)::BIGINT, 100000) AS f1 FROM events")
@@ -882,35 +951,21 @@ def chat_labels(t):
     return rows.select("conv_id", "turn", F.size(ids).cast("bigint").alias("ids"), F.size(F.filter(labels, lambda x: x != -100)).cast("bigint").alias("labelled"))
 
 
-@query(f"""WITH f AS (SELECT event_type AS video, event_id AS frame, value > 20 AS face, value > 40 AS talk FROM events), c AS (SELECT event_type AS video, event_id AS cue, event_id::DOUBLE AS s, event_id + 60.0 AS e, user_id % 9 AS units FROM events WHERE event_id % 41 = 0),
-    p AS (SELECT *, greatest(round_even(s, 0), 0)::BIGINT AS f0, least(round_even(e, 0)::BIGINT, 100000) AS f1 FROM c), r AS (SELECT *, CASE WHEN f1 <= f0 OR f0 > 100000 THEN 'out_of_range' WHEN f1 - f0 + 1 < 10 THEN 'min_frames' WHEN units NOT BETWEEN 1 AND 7 THEN 'units' END AS why FROM p),
-    m AS (SELECT r.cue, sum(f.face::INT) AS face, sum(f.talk::INT) AS talk FROM r JOIN f ON r.video = f.video AND f.frame BETWEEN f0 AND f1 WHERE why IS NULL GROUP BY 1)
-    SELECT r.cue, coalesce(why, CASE WHEN coalesce(face, 0) / (f1 - f0 + 1) < 0.08 THEN 'face_coverage' WHEN coalesce(talk, 0) / (f1 - f0 + 1) < 0.05 THEN 'speaker_coverage' END) AS reject_reason FROM r LEFT JOIN m ON r.cue = m.cue""")
+@query("""WITH c AS (SELECT event_id AS cue, user_id % 9 AS units, greatest(event_id, 0) AS f0, least(event_id + 60, 100000) AS f1,
+        sum((value > 20)::INT) OVER w AS face, sum((value > 40)::INT) OVER w AS talk FROM events WINDOW w AS (PARTITION BY event_type ORDER BY event_id RANGE BETWEEN CURRENT ROW AND 60 FOLLOWING))
+    SELECT cue, CASE WHEN f1 <= f0 OR f0 > 100000 THEN 'out_of_range' WHEN f1 - f0 + 1 < 10 THEN 'min_frames' WHEN units NOT BETWEEN 1 AND 7 THEN 'units'
+        WHEN coalesce(face, 0) / (f1 - f0 + 1) < 0.08 THEN 'face_coverage' WHEN coalesce(talk, 0) / (f1 - f0 + 1) < 0.05 THEN 'speaker_coverage' END AS reject_reason FROM c""")
 def cue_coverage(t):
-    return _coverage(t, t.events.where("event_id % 41 = 0"))
-
-
-@query()
-def cue_coverage_all(t):
-    return _coverage(t, t.events)
-
-
-def _coverage(t: Tables, chosen: DataFrame) -> DataFrame:
     frames = t.events.select(F.col("event_type").alias("video"), F.col("event_id").alias("frame"), (F.col("value") > 20).alias("has_face"), (F.col("value") > 40).alias("speaking"))
-    cues = chosen.select(F.col("event_type").alias("video"), F.col("event_id").alias("cue"), F.col("event_id").cast("double").alias("start"), (F.col("event_id") + 60.0).alias("end"), F.lit("t").alias("text"), (F.col("user_id") % 9).alias("units"))
+    cues = t.events.select(F.col("event_type").alias("video"), F.col("event_id").alias("cue"), F.col("event_id").cast("double").alias("start"), (F.col("event_id") + 60.0).alias("end"), F.lit("t").alias("text"), (F.col("user_id") % 9).alias("units"))
     return corpus.cue_samples(cues, frames, 1.0, 0.0, 0.0, 100_000, 10, 0.08, 0.05, (1, 7)).select("cue", "reject_reason")
 
 
-@query(f"WITH {PAIRS} SELECT round(sum(CASE WHEN hyp <> '' THEN levenshtein(ref, hyp) ELSE 0 END) / greatest(sum(CASE WHEN hyp <> '' THEN length(ref) ELSE 0 END), 1), 6) AS before, round(sum(levenshtein(ref, lower(ref))) / greatest(sum(length(ref)), 1), 6) AS after FROM p")
+@query(f"WITH {PAIRS} SELECT round(sum(CASE WHEN hyp <> '' THEN levenshtein(ref, hyp) ELSE 0 END) / greatest(sum(CASE WHEN hyp <> '' THEN length(ref) ELSE 0 END), 1), 6) AS before, round(sum(levenshtein(ref, low)) / greatest(sum(length(ref)), 1), 6) AS after FROM p")
 def before_after(t):
     return ngram.before_after(_pairs(t).withColumn("refined", F.lower("ref")), "ref", "hyp", "refined")
 
 
-@query()
-def before_after_all(t):
-    return ngram.before_after(_all_pairs(t).withColumn("refined", F.lower("ref")), "ref", "hyp", "refined")
-
-
 @query("SELECT CASE WHEN s.lang IS NULL THEN 'kept' ELSE 'sampled' END AS part, count(*) AS n FROM documents d LEFT JOIN (SELECT 'en' AS lang) s ON d.lang = s.lang AND " + U.format(2, "d.doc_id") + " >= 0.25 GROUP BY 1")
 def probabilistic_keep(t):
     kept = t.documents.withColumn("part", F.when(batching.keep_some(F.col("lang") == "en", 0.25, 2, "doc_id"), "kept").otherwise("sampled"))
@@ -923,3 +978,36 @@ def metadata_gate(t):
     formats = F.array(F.struct(F.when(size < 2500, 480).otherwise(1080).alias("height"), F.lit(30).alias("fps")))
     rows = t.pages.select("page_id", (size / 10).alias("duration"), formats.alias("formats"), F.array(F.lit("zh")).alias("subtitles"))
     return rows.select("page_id", F.array_join(gates.metadata_reasons(250, 400, 720, 25, ["zh"]), "|").alias("reasons"))
+
+
+PROFILED = """WITH c AS (SELECT user_id, floor(epoch(ts)) AS s, floor(epoch(ts)) + value * 100 AS e, value * 600 AS u FROM events),
+    g AS (SELECT *, lead(s) OVER (PARTITION BY user_id ORDER BY s, e) - e AS gap, CASE WHEN e - s > 0.2 AND u > 0 THEN u / (e - s) END AS rate FROM c),
+    p AS (SELECT user_id, count(*) AS n, round(avg((rate BETWEEN 3 AND 7)::INT), 6) AS in_range, round(avg((gap < -0.01)::INT), 6) AS overlap FROM g GROUP BY 1)"""
+
+
+@query(f"{PROFILED} SELECT user_id, array_to_string(list_filter([CASE WHEN n < 10 THEN 'few_cues' END, CASE WHEN coalesce(in_range, 0) < 0.85 THEN 'rate_out_of_range' END, CASE WHEN coalesce(overlap, 0) > 0.005 THEN 'overlap' END], lambda x: x IS NOT NULL), '|') AS reasons FROM p")
+def subtitle_gate(t):
+    s = _seconds().cast("double")
+    rows = t.events.select("user_id", s.alias("start"), (s + F.col("value") * 100).alias("end"), (F.col("value") * 600).alias("units"))
+    return profile.timing_profile(rows, "user_id").select("user_id", F.array_join(gates.subtitle_reasons(10, 0.85, 0.005), "|").alias("reasons"))
+
+
+@query("""WITH r AS (SELECT user_id AS video, event_type AS track, count(*) / (sum(count(*)) OVER (PARTITION BY user_id))::DOUBLE AS coverage, round(avg(value), 4) AS width, round(stddev_pop(value) / 1000, 6) AS yaw, round(max(value) / 100, 4) AS jitter FROM events GROUP BY 1, 2),
+    s AS (SELECT video, count(*) FILTER (WHERE coverage >= 0.1) AS n_tracks, min({c: -coverage, t: track, w: width, y: yaw, j: jitter}) FILTER (WHERE coverage >= 0.1) AS m, 0.6 AS face FROM r GROUP BY 1)
+    SELECT video, n_tracks, m.t AS main, array_to_string(list_filter([CASE WHEN n_tracks = 0 THEN 'no_stable_track' END, CASE WHEN n_tracks > 3 THEN 'tracks' END, CASE WHEN -m.c < 0.4 THEN 'main_coverage' END,
+        CASE WHEN n_tracks > 0 AND face < 0.5 THEN 'face_coverage' END, CASE WHEN m.w < 55 THEN 'lip_width' END, CASE WHEN m.y > 0.04 THEN 'yaw' END, CASE WHEN m.j > 1.5 THEN 'jitter' END], lambda x: x IS NOT NULL), '|') AS reasons FROM s""")
+def track_gate(t):
+    own = t.events.groupBy(F.col("user_id").alias("video"), F.col("event_type").alias("track")).agg(F.count("*").alias("n"), F.round(F.avg("value"), 4).alias("lip_width"), F.round(F.stddev_pop("value") / 1000, 6).alias("yaw_mean"), F.round(F.max("value") / 100, 4).alias("jitter"))
+    whole = own.groupBy("video").agg(F.sum("n").alias("all"))
+    tracks = own.join(whole, "video").withColumn("coverage", F.col("n") / F.col("all")).withColumn("face_coverage", F.lit(0.6))
+    rules = gates.TrackRules(stable=0.1, most_tracks=3, main_coverage=0.4, face_coverage=0.5, yaw=0.04, jitter=1.5)
+    return gates.track_reasons(tracks, rules).select("video", "n_tracks", "main", F.array_join("reasons", "|").alias("reasons"))
+
+
+@query("""SELECT vec_id, i AS pos, round((embedding[(1 + i // 6) * 8 + 1 + i % 6 + 1]::DOUBLE * 100 / 255 - 0.421) / 0.165, 5) AS x FROM embeddings, (SELECT unnest(range(36)) AS i)""")
+def cropped_pixels(t):
+    from .operators import media
+
+    pixels = F.transform("embedding", lambda x: x.cast("double") * 100)
+    crop = media.normalised(media.cropped(pixels, F.lit(8), media.crop_place(6, F.lit(8), F.lit(8)), 6))
+    return t.embeddings.select("vec_id", F.posexplode(crop).alias("pos", "x")).select("vec_id", F.col("pos").cast("bigint").alias("pos"), F.round("x", 5).alias("x"))
