@@ -151,3 +151,13 @@ def distinct_in_order(items: ColumnLike, *more: ColumnLike) -> Column:
 def half_even(c: ColumnLike, scale: int = 0) -> Column:
     """Round half to even."""
     return F.bround(column(c), scale)
+
+
+def command_line(program: str, **options: ColumnLike) -> Column:
+    """A shell command of a program and its options (``--name value``); values are quoted, null ones left out."""
+    def quoted(c: ColumnLike) -> Column:
+        value = column(c).cast("string")
+        plain = value.rlike("^[A-Za-z0-9_./:=@%+,-]+$")
+        return F.when(plain, value).otherwise(F.concat(F.lit("'"), F.replace(value, F.lit("'"), F.lit("'\"'\"'")), F.lit("'")))
+
+    return F.concat_ws(" ", F.lit(program), *[F.concat(F.lit(f"--{name} "), quoted(c)) for name, c in options.items()])

@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import subprocess
 import traceback
 from collections.abc import Callable, Iterator
 from dataclasses import asdict, dataclass, replace
@@ -430,6 +431,37 @@ def attempted(rows: DataFrame, work: Callable[[dict], dict], schema: str, key: s
     return rows.mapInPandas(run, f"{key} {kind}, {schema}, error string")
 
 
+def commanded(rows: DataFrame, key: str, argv: ColumnLike, seconds: float = 600.0) -> DataFrame:
+    """(key, status, out, error): a program run for every row, by an array of its name and arguments.
+
+    The seam for probes, decoders, downloads and recognisers that are programs. No shell is involved;
+    a program that is not there, fails or takes too long is an error of its row.
+    """
+    kind = dict(rows.dtypes)[key]
+
+    def run(frames: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for frame in frames:
+            out = []
+            for name, args in zip(frame[key], frame["__argv"], strict=True):
+                try:
+                    done = subprocess.run(list(args), capture_output=True, timeout=seconds, check=False)
+                    out.append((name, done.returncode, done.stdout, done.stderr.decode("utf-8", "replace") if done.returncode else None))
+                except (OSError, subprocess.TimeoutExpired, TypeError) as e:
+                    out.append((name, None, None, str(e)))
+            yield pd.DataFrame(out, columns=[key, "status", "out", "error"]).astype({"status": "Int32"})
+
+    return rows.select(key, column(argv).alias("__argv")).mapInPandas(run, f"{key} {kind}, status int, out binary, error string")
+
+
+def samples(pcm: ColumnLike) -> Column:
+    """Signed 16-bit little-endian samples as numbers of -1 to 1."""
+
+    def run(part: pd.Series) -> pd.Series:
+        return part.map(lambda b: (np.frombuffer(b[: len(b) // 2 * 2], "<i2") / 32768.0).tolist() if b is not None else [])
+
+    return F.pandas_udf(run, "array<double>")(column(pcm))
+
+
 # -- schedules -----------------------------------------------------------------------------------
 def inverse_root_rate(step: ColumnLike, rate: float, warmup: int) -> Column:
     """Linear warm-up, then falling with the root of the step."""

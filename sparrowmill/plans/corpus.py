@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+from collections.abc import Callable
 from dataclasses import dataclass
 
 from pyspark.sql import Column, DataFrame
@@ -147,6 +148,14 @@ def cue_samples(cues: DataFrame, frames: DataFrame, fps: float, offset: float, p
     return out.withColumn("reject_reason", reason).drop("__face", "__speaking")
 
 
+def built_survivors(verdicts: DataFrame, work: Callable[[dict], dict], schema: str, key: str = "url") -> DataFrame:
+    """(key, schema, error): ``work`` (fetch, register, build) on what a funnel passed, one row each;
+    an error stays with its row."""
+    from ..operators.media import attempted
+
+    return attempted(verdicts.where("passed"), work, schema, key)
+
+
 #: Pairs of a face and a voice that are brought to the driver, at most.
 MOST_MEETINGS = 10_000
 

@@ -93,3 +93,18 @@ def event_log(rows: DataFrame, path: str, *data: str) -> None:
     """Append (task_id, level, message, data, created_at): the columns ``data`` become one JSON text."""
     told = rows.withColumn("data", F.to_json(F.struct(*data)) if data else F.lit("{}"))
     told.select("task_id", "level", "message", "data", "created_at").write.mode("append").json(path)
+
+
+class Tracker:
+    """Metrics of a run, appended as JSON lines; without a path nothing is kept."""
+
+    def __init__(self, spark: SparkSession, path: str | None = None, **run: object):
+        self.spark, self.path = spark, path
+        self.log(0, **run)
+
+    def log(self, step: int, **values: object) -> None:
+        """Values that are none are left out; what is left, if anything, is one line."""
+        told = {k: v for k, v in values.items() if v is not None}
+        if self.path and told:
+            rows = [(step, k, float(v) if isinstance(v, int | float) else None, str(v)) for k, v in told.items()]
+            json_lines(self.spark.createDataFrame(rows, "step long, name string, value double, text string"), self.path, append=True)

@@ -147,3 +147,47 @@ def test_rendered_regions(spark):
     assert abs(int(out[50, 40]) - 100) <= 1 and media.probe_crop(ramp, np.array([[2.0, 100.0], [12.0, 104.0]]), 16).shape == (16, 16)
     with pytest.raises(ValueError):
         media.similarity(np.zeros((5, 2)), five)
+
+
+def test_programs_are_run_for_rows(spark):
+    import sys
+
+    code = "import sys; sys.stdout.buffer.write(bytes([0, 64, 0, 192])) if sys.argv[1] == 'a' else sys.exit('bad ' + sys.argv[1])"
+    rows = spark.createDataFrame([("a", [sys.executable, "-c", code, "a"]), ("b; rm", [sys.executable, "-c", code, "b; rm"]), ("c", ["/no/such/program"]), ("d", None)], "k string, argv array<string>")
+    got = {r["k"]: r for r in media.commanded(rows, "k", "argv").withColumn("wave", media.samples("out")).collect()}
+    assert got["a"]["status"] == 0 and got["a"]["wave"] == [0.5, -0.5] and got["a"]["error"] is None
+    assert got["b; rm"]["status"] == 1 and "bad b; rm" in got["b; rm"]["error"] and got["c"]["status"] is None and "no/such" in got["c"]["error"] and got["d"]["error"]
+
+
+def test_models_answers_are_guarded(spark):
+    from sparrowmill.operators import ngram
+
+    rows = spark.createDataFrame([("a", ["wo", "hao"], ["我号"]), ("b", ["wo"], ["我"])], "id string, pinyin array<string>, nbest array<string>")
+    got = {r["id"]: r["refined"] for r in ngram.refined_by_model(rows, lambda: lambda prompts: ["修正：我好" if "我号" in p else "这一句太长了" for p in prompts]).collect()}
+    assert got == {"a": "我好", "b": "我"}
+
+
+def test_command_lines_are_quoted(spark):
+    import shlex
+
+    from sparrowmill.functions import text
+
+    row = spark.createDataFrame([("it's $x; y", 8, None)], "a string, b int, c string")
+    line = row.select(text.command_line("train", data="a", rank="b", out="c").alias("l")).first()["l"]
+    assert shlex.split(line) == ["train", "--data", "it's $x; y", "--rank", "8"]
+
+
+def test_command_line_builds_decodes_and_refines(spark, tmp_path, capsys):
+    from sparrowmill.__main__ import main
+
+    (tmp_path / "s.txt").write_text("今天天气很好\n我的手机\n")
+    main(["synth", "--sentences", str(tmp_path / "s.txt"), "--out", str(tmp_path / "synth"), "--speakers", "3"])
+    assert spark.read.json(str(tmp_path / "synth")).count() == 6
+    (tmp_path / "v.json").write_text(json.dumps(["<blank>", "<sos/eos>", "<unk>", "我", "好"]))
+    (tmp_path / "l.jsonl").write_text(json.dumps({"id": "1", "logits": [[0, 0, 0, 9, 0], [9, 0, 0, 0, 0], [0, 0, 0, 0, 9]]}) + "\n")
+    main(["decode", "--logits", str(tmp_path / "l.jsonl"), "--vocabulary", str(tmp_path / "v.json"), "--out", str(tmp_path / "d")])
+    assert spark.read.json(str(tmp_path / "d")).first()["nbest"][0]["text"] == "我好"
+    (tmp_path / "h.jsonl").write_text(json.dumps({"id": "1", "ref": "我的手机", "pinyin": ["wo", "de", "shou", "ji"], "nbest": [{"text": "我的收集"}]}) + "\n")
+    (tmp_path / "r.jsonl").write_text("\n".join(json.dumps({"unit": u, "syllables": s}) for u, s in {"我": "wo", "的": "de", "手": "shou", "机": "ji", "收": "shou", "集": "ji"}.items()))
+    main(["refine", "--hyps", str(tmp_path / "h.jsonl"), "--lm-texts", str(tmp_path / "s.txt"), "--readings", str(tmp_path / "r.jsonl"), "--out", str(tmp_path / "o")])
+    assert spark.read.json(str(tmp_path / "o/rows")).first()["refined"] == "我的手机" and "| 0.5 | 0 |" in capsys.readouterr().out

@@ -357,3 +357,29 @@ def test_numbers_timing_and_bits_without_windows_over_all(spark):
         return f"{int('0' + ''.join(map(str, bits)), 2):0{max(1, -(-len(v) // 4))}x}"
 
     assert [r["b"] for r in vectors.select(cluster.median_bits("v").alias("b")).collect()] == [plain(v) for v in ([1.0, 2.0, 3.0], [5.0], [], [], [float(i % 5) for i in range(9)])]
+
+
+def test_tracks_match_a_plain_greedy_reading(spark):
+    """Frame by frame, the cheapest pairs first; as written down for one video at a time."""
+    rng = random.Random(11)
+    rows = [(v, f, i, 100.0 * i + rng.uniform(-60, 60), rng.uniform(0, 80), rng.uniform(20, 60)) for v in range(3) for f in range(40) if f % 9 for i in range(rng.randrange(0, 4))]
+    got = {(r["video"], r["frame"], r["face"]): r["track"] for r in faces.associate(spark.createDataFrame(rows, "video int, frame long, face int, x double, y double, extent double")).collect()}
+    for v in range(3):
+        last, count = {}, 0
+        for f in range(40):
+            new = sorted(r for r in rows if r[:2] == (v, f))
+            prices = []
+            for t, o in last.items():
+                for n, r in enumerate(new):
+                    if f - o[1] <= 5:
+                        size = max((o[5] + r[5]) / 2, 1.0)
+                        prices.append((math.dist(o[3:5], r[3:5]) / size + 0.4 * abs(math.log(r[5] / o[5])) + 0.03 * (f - o[1] - 1), t, n))
+            pairs = {}
+            for price, t, n in sorted(prices):
+                if price <= 2 and n not in pairs and t not in pairs.values():
+                    pairs[n] = t
+            for n, r in enumerate(new):
+                if n not in pairs:
+                    pairs[n], count = count, count + 1
+                last[pairs[n]] = r
+                assert got[r[:3]] == pairs[n]

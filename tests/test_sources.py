@@ -287,3 +287,43 @@ def test_streamed_cues_over_gaps_and_batches(spark, tmp_path):
     names = ["video", "cue", "f0", "f1", "n", "complete"]
     got = sorted(map(tuple, spark.table("closed_gaps").select(*names).collect()))
     assert got == sorted(map(tuple, want.select(*names).collect())) and len(got) > 80
+
+
+def test_service_answers_and_guards_workers(spark, tmp_path):
+    import threading
+    import urllib.error
+    import urllib.request
+
+    from sparrowmill.streaming.service import Service, serve
+    from sparrowmill.streaming.worker import Queue
+
+    service = Service(Queue(spark, str(tmp_path / "q")), "secret")
+    assert service.answer("POST", "/api/tasks", {"kind": "render", "payload": "p", "max_attempts": 1}) == (201, {"id": 1})
+    assert service.answer("POST", "/api/worker/claim", {"kinds": ["render"], "node": "n"}, "wrong")[0] == 401
+    assert service.answer("POST", "/api/worker/claim", {"kinds": ["render"], "node": "n"}, "secret")[1]["task"]["payload"] == "p"
+    assert service.answer("POST", "/api/worker/complete", {"task_id": 1, "node": "other"}, "secret")[0] == 200
+    assert service.answer("GET", "/api/tasks/1", {})[1]["task"]["status"] == "running"
+    assert service.answer("POST", "/api/worker/fail", {"task_id": 1, "node": "n", "error": "e"}, "secret")[0] == 200
+    assert [r["error"] for r in service.answer("GET", "/api/tasks?status=failed", {})[1]] == ["e"]
+    assert service.answer("POST", "/api/tasks/1/retry", {})[0] == 200 and service.answer("GET", "/api/tasks/9", {})[0] == service.answer("POST", "/api/tasks/1/explode", {})[0] == 404
+    assert service.answer("POST", "/api/tasks", {})[0] == 400
+    server = serve(service, port=0)
+    threading.Thread(target=server.serve_forever, daemon=True).start()
+    url = f"http://127.0.0.1:{server.server_address[1]}"
+    assert {"what": "status", "value": "queued", "n": 1} in json.loads(urllib.request.urlopen(f"{url}/api/summary").read())
+    with pytest.raises(urllib.error.HTTPError):
+        urllib.request.urlopen(urllib.request.Request(f"{url}/api/tasks", b"not json"))
+    server.shutdown()
+
+
+def test_tracker_and_survivors(spark, tmp_path):
+    from sparrowmill.plans.corpus import built_survivors
+
+    tracker = sinks.Tracker(spark, str(tmp_path / "m"), model="x")
+    tracker.log(1, loss=0.5, skipped=None)
+    sinks.Tracker(spark).log(1, loss=2.0)
+    got = sorted((r["step"], r["name"], r["value"], r["text"]) for r in spark.read.schema("step long, name string, value double, text string").json(str(tmp_path / "m")).collect())
+    assert got == [(0, "model", None, "x"), (1, "loss", 0.5, "0.5")]
+    verdicts = spark.createDataFrame([("a", True), ("b", False), ("c", True)], "url string, passed boolean")
+    built = {r["url"]: r for r in built_survivors(verdicts, lambda r: {"size": {"a": 3}[r["url"]]}, "size int").collect()}
+    assert sorted(built) == ["a", "c"] and built["a"]["size"] == 3 and "KeyError" in built["c"]["error"]
