@@ -22,7 +22,7 @@ from .common import rebatch, short_batches, slices, text_list
 
 NONE = np.int32(2**31 - 1)
 #: Longest row of a matrix; a longer piece is merged alone, all equal pairs of a round together.
-WIDEST = 512
+WIDEST = 2048
 CACHE_CHUNKS = 300_000
 
 
