@@ -10,7 +10,9 @@ from __future__ import annotations
 
 import os
 import re
+import sys
 import zlib
+from array import array
 from collections.abc import Iterator
 
 import numpy as np
@@ -57,7 +59,10 @@ class _Pieces(dict):
 
     def __missing__(self, piece: str) -> bytes:
         written = piece if piece.isascii() else "".join(map(self.letters.__getitem__, piece.encode()))
-        self[piece] = ids = np.array([t.id for t in self.model.tokenize(written)], "<u4").tobytes()
+        ids = array("I", [t.id for t in self.model.tokenize(written)])
+        if sys.byteorder == "big":
+            ids.byteswap()
+        self[piece] = ids = ids.tobytes()
         return ids
 
 
