@@ -19,6 +19,10 @@ from pyspark.sql import SparkSession
 from pyspark.sql import functions as F
 
 
+#: Sentences that made-up rows are drawn from, at most.
+MOST_SENTENCES = 100_000
+
+
 def main(argv: list[str] | None = None) -> int:
     p = argparse.ArgumentParser("sparrowmill")
     sub = p.add_subparsers(dest="verb", required=True)
@@ -65,7 +69,9 @@ def main(argv: list[str] | None = None) -> int:
     elif a.verb == "synth":
         from .sources import sinks, texts
 
-        sentences = [r["value"] for r in spark.read.text(a.sentences).limit(100_000).collect() if r["value"].strip()]
+        sentences = [r["value"] for r in spark.read.text(a.sentences).limit(MOST_SENTENCES + 1).collect() if r["value"].strip()]
+        if len(sentences) > MOST_SENTENCES:
+            raise ValueError(f"over {MOST_SENTENCES} sentences")
         sinks.json_lines(texts.synthetic(spark, sentences, int(a.speakers), int(a.seed)), a.out)
     elif a.verb == "decode":
         from .functions.text import decode_ids

@@ -34,8 +34,8 @@ def _lines(rows: DataFrame, *parts) -> DataFrame:
 
 
 def _nations(t: Tables) -> list:
-    """The rows of the small table of nations, for formats that are a file for each row."""
-    return t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).orderBy("n_nationkey").limit(100).collect()
+    """The rows of the table of nations, of fixed size, for formats that are a file for each row."""
+    return t.nation.join(t.region, F.col("n_regionkey") == F.col("r_regionkey")).orderBy("n_nationkey").collect()
 
 
 # -- annotations ---------------------------------------------------------------------------------
@@ -399,7 +399,7 @@ def sink_published(t):
 @query("SELECT n_name AS name, n_nationkey % 2 = 0 AS copied, n_nationkey % 4 = 3 AS refused FROM nation")
 def sink_immutable(t):
     path, out = _place(t), []
-    for r in _nations(t)[:100]:
+    for r in _nations(t):
         k = r["n_nationkey"]
         sinks.put_file(t.spark, f"{path}/in{k}", r["n_name"].encode())
         if k % 2:
