@@ -291,6 +291,63 @@ def test_kneser_ney_sums_to_one():
     assert 0.7 < np.exp(-model.word_scores(words)[:, 0]).sum() < 1
 
 
+def plain_loss(grams, word, order, floor):
+    """Minus log probability of a word by the recursion of interpolated Kneser-Ney, gram by gram."""
+    import math
+
+    mark = langid.MARK
+    left = defaultdict(set)
+    for g in grams:
+        if len(g) > 1:
+            left[g[1:]].add(g)
+    value = {g: (len(left[g]) or n) if g == mark else n if len(g) == order or g[0] == mark else len(left[g]) for g, n in grams.items()}
+    follow = defaultdict(dict)
+    for g, n in value.items():
+        if n:
+            follow[g[:-1]][g] = n
+
+    def probability(gram):
+        if not gram:
+            return floor
+        seen = follow.get(gram[:-1])
+        if not seen:
+            return probability(gram[1:])
+        total = sum(seen.values())
+        return max(seen.get(gram, 0) - langid.DISCOUNT, 0) / total + langid.DISCOUNT * len(seen) / total * probability(gram[1:])
+
+    marked = mark + word + mark
+    return -sum(math.log(probability(marked[max(0, i + 1 - order) : i + 1])) for i in range(1, len(marked)))
+
+
+def test_scores_match_the_plain_recursion(spark, data):
+    """Words, then the query's predictions on whole documents, by dictionaries and recursion alone."""
+    from collections import Counter
+
+    docs = pd.read_parquet(f"{data}/documents.parquet")
+    learned = {}
+    for lang, rows in docs[[zlib.crc32(str(i).encode()) % 4 != 2 for i in docs["doc_id"]]].groupby("lang"):
+        grams = Counter()
+        for word in " ".join(rows["text"].head(6)).split():
+            if word := langid.letters(word):
+                m = langid.MARK + word + langid.MARK
+                grams.update(m[i : i + n] for n in range(1, 5) for i in range(len(m) - n + 1))
+        learned[lang] = grams
+    model = langid.fit(learned)
+    model.limit = np.full(len(model.languages), np.inf)
+    words = ["the", "und", "que", "zz", "é", "thon"]
+    want = [[plain_loss(learned[lang], w, 4, model.floor) for lang in model.languages] for w in words]
+    assert np.allclose(model.word_scores(words)[:, :-1], want, rtol=1e-3)
+    known = {}
+    short = docs[docs["text"].str.len() < 900].head(25)
+    got = {r["doc_id"]: r for r in langid.identify(spark.createDataFrame(short[["doc_id", "text"]]), model).collect()}
+    for i, text in zip(short["doc_id"], short["text"], strict=True):
+        found = [w for w in map(langid.letters, text.split()) if w]
+        for w in found:
+            known[w] = known.get(w) or [plain_loss(learned[lang], w, 4, model.floor) for lang in model.languages]
+        mean = np.sum([known[w] for w in found], axis=0) / sum(len(w) + 1 for w in found)
+        assert got[i]["lang_pred"] == model.languages[int(mean.argmin())] and abs(got[i]["cross_entropy"] - mean.min()) < 2e-3
+
+
 def test_languages_of_edges(spark, edge, empty):
     docs = spark.createDataFrame([(i, ("the house of the man " if i % 2 else "la maison des hommes ") * 20, "en" if i % 2 else "fr", "") for i in range(200)], DOCS)
     model = langid.train(docs)
@@ -708,6 +765,25 @@ def test_passages_match_a_plain_encoding():
     assert at == len(x)
 
 
+def test_document_scores_match_a_plain_attention(spark, data):
+    """Every document alone, passage by passage; also one of very many passages."""
+    from sparrowmill.llm import flattext as ft
+
+    docs = spark.read.parquet(f"{data}/documents.parquet").select("doc_id", "text")
+    docs = docs.unionAll(spark.createDataFrame([(10**6, "long words and more of them " * 30_000), (10**6 + 1, ""), (10**6 + 2, None)], docs.schema))
+    net = quality.train(docs, spark.read.parquet(f"{data}/labels.parquet"))
+    got = {r["doc_id"]: (r["score"], r["predicted"]) for r in quality.score(docs, net).collect()}
+    pa = __import__("pyarrow")
+    for r in docs.collect():
+        _, x = quality.passages(*ft.utf8(pa.array([r["text"]], pa.string())))
+        h = [np.tanh(np.clip((row - net.mean) / net.scale, -6, 6) @ net.w + net.b) for row in x]
+        logits = np.array([((np.tanh(v @ net.v) / (1 + np.exp(-(v @ net.u)))) @ net.a)[0] for v in h], np.float64)
+        weight = np.exp(logits - logits.max())
+        z = sum(w * v for w, v in zip(weight / weight.sum(), h, strict=True))
+        want = 1 / (1 + np.exp(-((z @ net.c)[0] + net.d[0])))
+        assert abs(got[r["doc_id"]][0] - want) < 1e-3 and got[r["doc_id"]][1] == (got[r["doc_id"]][0] >= 0.3)
+
+
 # -- URLs ----------------------------------------------------------------------------------------
 @pytest.mark.parametrize(
     ("url", "host", "path", "rule"),
