@@ -78,7 +78,9 @@ class _Words(dict):
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def __missing__(self, word: str) -> bytes:
-        if len(word) < 200 and PLAIN.fullmatch(word) and not ("<" in word and any(x in word for x in self.special)):
+        if len(word) < 200 and word.isascii() and word.isalpha():
+            ids = self.pieces[word.lower()]  # one piece, whatever its letters
+        elif len(word) < 200 and PLAIN.fullmatch(word) and not ("<" in word and any(x in word for x in self.special)):
             ids = b"".join(map(self.pieces.__getitem__, PIECES.findall(word.lower())))
         else:
             ids = self.whole(word)
