@@ -383,3 +383,21 @@ def test_tracks_match_a_plain_greedy_reading(spark):
                     pairs[n], count = count, count + 1
                 last[pairs[n]] = r
                 assert got[r[:3]] == pairs[n]
+
+
+@pytest.mark.parametrize("finish", [0, 20, 20_000])
+def test_two_keys_match_a_plain_reading(spark, monkeypatch, finish):
+    """Random rows, an alternating chain and null keys, by rounds alone, by both and by one task alone."""
+    rng = random.Random(9)
+    rows = [(i, rng.choice([None, *range(25)]), rng.choice([None, *range(30)])) for i in range(300)]
+    rows += [(1000 + i, 100 + i // 2, 200 + (i + 1) // 2) for i in range(12)]
+    rng.shuffle(rows)
+    seen, want = (set(), set()), {}
+    for o, a, b in sorted(rows):
+        want[o] = "duplicate_a" if a in seen[0] else "duplicate_b" if b in seen[1] else None
+        if want[o] is None:
+            seen[0].add(a)
+            seen[1].add(b)
+    monkeypatch.setattr(dedup, "FINISH", finish)
+    got = dedup.greedy_two_keys(spark.createDataFrame(rows, "o int, a int, b int"), "o", "a", "b").collect()
+    assert {r["o"]: r["reject_reason"] for r in got} == want and len(got) == len(rows)
