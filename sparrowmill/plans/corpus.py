@@ -12,6 +12,7 @@ from ..functions.hashing import fixed_or_split, row_id, split_label
 from ..functions.text import HAN_EXTENDED, SENTENCE_END, adjacent_repeats, sentences
 from ..operators import gates
 from ..operators.dedup import greedy_two_keys
+from .storage import materialize, maybe_among, with_group
 
 
 @dataclass(frozen=True)
@@ -37,18 +38,25 @@ def gated_sentences(docs: DataFrame, held_out: DataFrame, rules: TextRules, read
 
     Held-out texts are cut by the same rules. A sentence is a duplicate of the first equal one
     that passes the gates before. Equal sentences pass or fail together there, so the first place
-    is an aggregate by text, and one join with it finds both the held out and the first.
+    is an aggregate by text. Only texts that occur again or are held out are kept of it; sentences
+    that are surely none of these pass straight through, and the others meet it, very common ones by a
+    broadcast.
     """
     s = exploded(docs, rules)
     blocked = held_out.select(F.explode(sentences("text", rules.delimiters, rules.chars)).alias("text")).distinct().withColumn("blocked", F.lit(True))
-    first = s.groupBy("text").agg(F.min(F.struct("ord", "pos")).alias("first")).join(blocked, "text", "left")
-    joined = s.join(first, "text")
+    places = s.groupBy("text").agg(F.min(F.struct("ord", "pos")).alias("first"), F.count("*").alias("n")).join(blocked, "text", "left")
+    told = materialize(places.where("n > 1 or blocked"))
+    total = told.agg(F.sum("n")).first()[0] or 0
+    marked = maybe_among(s, told, "text", name="__hit")
+    none = [F.lit(None).cast(told.schema[c].dataType).alias(c) for c in ("first", "n", "blocked")]
+    met = with_group(marked.where("__hit").drop("__hit"), told, "text", "n", total, "document_id", "pos")
+    joined = marked.where("not __hit").drop("__hit").select("*", *none).unionByName(met)
     size = F.length("text")
     checks = [("length", (size < rules.least) | (size > rules.most)), ("heldout_contamination", F.col("blocked").isNotNull())]
     if readable is not None:
         checks.append(("pinyin_unknown", ~readable))
     checks.append(("duplicate", F.struct("ord", "pos") != F.col("first")))
-    return gates.flag(joined, checks).drop("first", "blocked")
+    return gates.flag(joined, checks).drop("first", "n", "blocked")
 
 
 def text_corpus(docs: DataFrame, held_out: DataFrame, rules: TextRules, readable: Column | None = None) -> DataFrame:
