@@ -121,7 +121,12 @@ def fill_linear(rows: DataFrame, keys: list[str], order: str, value: str, name:
     return out.withColumn(name, F.coalesce(mixed, F.col("__a.v"), F.col("__b.v"))).drop("__a", "__b")
 
 
+def cue_span(start: Column, end: Column, fps: float, offset: float, pad: float) -> tuple[Column, Column]:
+    """First and last frame of a cue, moved by an offset and padded, halves to even."""
+    return F.bround((start + offset - pad) * fps).cast("long"), F.bround((end + offset + pad) * fps).cast("long")
+
+
 def cue_frames(start: Column, end: Column, fps: float, offset: float, pad: float, last: Column) -> tuple[Column, Column]:
-    """First and last frame of a cue, moved by an offset and padded, halves to even, within the video."""
-    first = F.greatest(F.bround((start + offset - pad) * fps), F.lit(0)).cast("long")
-    return first, F.least(F.bround((end + offset + pad) * fps).cast("long"), last)
+    """The span of a cue within the video."""
+    first, end = cue_span(start, end, fps, offset, pad)
+    return F.greatest(first, F.lit(0).cast("long")), F.least(end, last)
