@@ -1,9 +1,10 @@
 """Main-text extraction from HTML by wrappers inferred for each host.
 
 Pages of a host are token streams of tags and texts. A wrapper is a union-free regular expression
-over such tokens, inferred from a bounded sample: adjacent repeats fold into repeated groups, then
+over such tokens, inferred from all pages of the host: adjacent repeats fold into repeated groups, then
 the streams are aligned one by one; texts become slots, and stretches that one stream has and another
-lacks become optional groups. Slots decide what is main text: one that varies from page to page is
+lacks become optional groups. Everything that is counted is counted on all pages, by aggregates with
+partial results; copies of an article share one page's weight. Slots decide what is main text: one that varies from page to page is
 content, one that holds the same text on many pages is template, and a repeated group of links is a
 menu. Content lies in the stretch of the expression between an open and a close tag that holds the
 bulk of the varying text; pages are aligned with the expression to find that stretch in them. Where articles hold a good share of it, they are the stretch; where most of it lies in
@@ -14,16 +15,18 @@ decide where a host has too few pages to tell.
 
 from __future__ import annotations
 
+import hashlib
 import html as entities
 import json
 import re
 from collections import Counter
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 from difflib import SequenceMatcher
 
 import numpy as np
 import pandas as pd
 import pyarrow as pa
+from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
@@ -31,8 +34,6 @@ from ..functions.edits import increasing_chain
 from . import flattext as ft
 from .common import materialize, rebatch, short_batches, slices, spread, table, text_list
 
-#: Pages of a host that its wrapper is inferred from, at most.
-SAMPLE_PAGES = 12
 #: Longest group of tokens that may repeat.
 LONGEST_GROUP = 40
 #: Wrappers are broadcast if all together have at most so many characters, joined by host otherwise.
@@ -71,7 +72,15 @@ LAYOUT = frozenset(
 HEADERS = frozenset("header head masthead".split())
 #: Pages of their own that a host needs for its slots to decide.
 LEAST_PAGES = 3
-#: Articles decide on a host where they hold this share of its varying text.
+#: The weight of a page that is no copy; integers, so that sums do not depend on their order.
+UNIT = 1 << 32
+#: What sums of rounded weights may lack.
+SLACK = UNIT >> 6
+#: Classes that the structures of a host are dealt into; each makes an expression, and these are aligned.
+CLASSES = 64
+#: Paths that a task counts before it passes the counts on, and structures that it tells apart.
+HELD = 50_000
+#: Articles decide on where they hold this share of its varying text.
 ARTICLE_SHARE = 0.2
 #: The stretch of content holds this share of the varying text.
 BULK = 0.7
@@ -336,16 +345,76 @@ def telling(page: list[Block]) -> list[Block]:
     return [b for b in plain if b.main] or plain
 
 
-def different(pages: list[list[Block]]) -> list[list[Block]]:
-    """The pages without those that share over half of their telling blocks with one before: copies of
-    an article, whose text must not be taken for the host's own."""
-    out: list[list[Block]] = []
-    seen: list[set[str]] = []
-    for page in pages:
-        own = {b.place for b in telling(page)}
-        if own and not any(2 * len(own & other) > len(own) for other in seen):
-            seen.append(own)
-            out.append(page)
+def page_weight(counts: list[int]) -> int:
+    """A page's weight, from how many pages have each of its telling blocks: a share of UNIT.
+
+    Pages with over half of their telling blocks alike are copies of an article, whose text must not
+    be taken for the host's own: the lower median of the counts is at least their number, and they
+    weigh as much as one page together. A page that nothing tells from others weighs nothing.
+    """
+    return UNIT // sorted(counts)[(len(counts) + 1) // 2 - 1] if counts else 0
+
+
+def digest(host: str, place: str) -> int:
+    """64 bits that stand for a text at a path of a host."""
+    return int.from_bytes(hashlib.blake2b(f"{host}\n{place}".encode("utf-8", "surrogatepass"), digest_size=8).digest(), "little", signed=True)
+
+
+def slot_paths(items: list[Item]) -> dict[str, bool]:
+    """Paths of a page's slots outside articles and what markup sets apart: whether in a menu."""
+    out = {k[1:].removesuffix("@"): False for i in items for k in i.slots()}
+    out.update((k[1:-1], True) for i in items if i.menu() for k in i.slots())
+    return {p: menu for p, menu in out.items() if "*" not in p and "!" not in p}
+
+
+def varies(b: Block, template: set, links: set[str], place) -> bool:
+    return not b.apart and place not in template and (b.main or b.path not in links)
+
+
+def decisions(marked: int, main: int, opened: int) -> tuple[bool, bool]:
+    """(articles decide, marked regions hold the content) from the varying text in code points that
+    lies in marked regions, in articles and elsewhere."""
+    articles = main > 0 and main >= ARTICLE_SHARE * (main + opened)
+    return articles, marked > main + (0 if articles else opened)
+
+
+def within(keys: tuple[str, ...], more: tuple[str, ...]) -> bool:
+    rest = iter(more)
+    return all(k in rest for k in keys)
+
+
+def grown(keys: tuple[str, ...], more: tuple[str, ...]) -> tuple[str, ...]:
+    """An expression's tokens after those of a page, or of another expression, are aligned with them."""
+    if within(more, keys):
+        return keys
+    if within(keys, more):
+        return more
+    out: list[str] = []
+    i = j = 0
+    for a, b in [*matches(list(keys), list(more)), (len(keys), len(more))]:
+        out += [*keys[i:a], *more[j:b], *keys[a : a + 1]]
+        i, j = a + 1, b + 1
+    return tuple(out)
+
+
+def structure_class(keys: tuple[str, ...]) -> tuple[int, int, int]:
+    """(class, minus length, digest): structures are aligned in this order, the longest of a class first."""
+    own = digest("", "\n".join(keys))
+    return own % CLASSES, -len(keys), own
+
+
+def expression(structures: set[tuple[str, ...]]) -> tuple[str, ...]:
+    """The tokens of the expression of all structures, aligned by classes."""
+    parts: dict[int, tuple[str, ...]] = {}
+    for (k, _, _), keys in sorted((structure_class(keys), keys) for keys in structures):
+        parts[k] = grown(parts.get(k, ()), keys)
+    return joined(parts)
+
+
+def joined(parts: dict[int, tuple[str, ...]]) -> tuple[str, ...]:
+    out: tuple[str, ...] = ()
+    for k in sorted(parts):
+        out = grown(out, parts[k])
     return out
 
 
@@ -368,50 +437,70 @@ def stretch(keys: list[str], mass: list[int]) -> tuple[int, int]:
 
 
 def infer(pages: list[str]) -> dict:
-    """The wrapper of a host's pages and what its slots say.
-
-    pattern: the expression. template: path and text of what at least LEAST_PAGES different pages,
-    and half of them, have alike. links: paths of slots outside articles in repeated groups whose
-    slots are all links. main: whether articles hold their share of the varying text, so that only
-    they count. content: paths of the slots that hold main text; these may be in a marked region,
-    where such regions hold most of the varying text. keys and stretch, where articles do not decide:
-    the expression's tokens, and where in them the content lies. enough: whether the pages are enough
-    to tell.
+    """The wrapper of a host's pages and what its slots say; ``wrappers`` says the same of tables.
+
+    pattern: the expression. template: path and text of what pages that weigh as LEAST_PAGES, and
+    half of all, have alike. links: paths of slots outside articles that are in repeated groups, whose
+    slots are all links, on half of the pages that have them. main: whether articles hold their share
+    of the varying text, so that only they count. rescue: whether regions that a class name marks hold
+    most of it. content: paths of the slots that hold main text; these may be in a marked region in
+    that case. keys and stretch, where articles do not decide: the expression's tokens, and where in
+    them the content lies. enough: whether the pages are enough to tell.
     """
     whole = [folded(page) for page in pages]
     wrapper: list[Item] = []
     for number, items in enumerate(whole):
         # A wrapper has tokens of its own: what becomes optional there stays as it is on the page.
         wrapper = align(wrapper, [Item(i.key, [], i.group) for i in items]) if number else [Item(i.key, [], i.group) for i in items]
-    links = {k[1:-1] for i in wrapper if i.menu() for k in i.slots()}
-    slots = {k[1:].removesuffix("@") for i in wrapper for k in i.slots()}
-    own = different([[b for i in items for b in i.blocks] for items in whole])
-    counts = Counter(place for page in own for place in {b.place for b in page})
-    template = {place for place, n in counts.items() if n >= LEAST_PAGES and 2 * n >= len(own)}
-    varies = lambda b: not b.apart and b.place not in template and (b.main or b.path not in links)
-    # Varying text by where it lies, in code points.
+    found = [[b for i in items for b in i.blocks] for items in whole]
+    counts = Counter(place for page in found if telling(page) for place in {b.place for b in page})
+    weights = [page_weight([counts[place] for place in {b.place for b in telling(page)}]) for page in found]
+    total, weighed, slots, menus = sum(weights), Counter(), Counter(), Counter()
+    for page, weight, items in zip(found, weights, whole, strict=True):
+        for place in {b.place for b in page}:
+            weighed[place] += weight
+        paths = slot_paths(items)
+        slots.update(paths.keys())
+        menus.update(p for p, menu in paths.items() if menu)
+    template = {place for place, n in weighed.items() if n >= LEAST_PAGES * UNIT - SLACK and 2 * n + SLACK >= total}
+    links = {p for p, n in menus.items() if 2 * n >= slots[p]}
     mass: Counter = Counter()
-    for b in (b for page in own for b in page if varies(b)):
+    for b in (b for page in found for b in page if varies(b, template, links, b.place)):
         mass["marked" if b.marked else "main" if b.main else "open"] += len(b.text)
-    main = mass["main"] > 0 and mass["main"] >= ARTICLE_SHARE * (mass["main"] + mass["open"])
-    rescue = mass["marked"] > mass["main"] + (0 if main else mass["open"])
-    fits = lambda p: "!" not in p and (rescue or "^" not in p) and ("*" in p or p not in links)
-    out = {"pattern": " ".join(i.pattern() for i in wrapper), "enough": len(own) >= LEAST_PAGES, "main": main, "template": sorted(template), "links": sorted(links)}
-    out["content"] = sorted(p for p in slots if fits(p) and (not main or "*" in p or "^" in p))
+    main, rescue = decisions(mass["marked"], mass["main"], mass["open"])
+    fits = lambda p: "!" not in p and (rescue or "^" not in p) and ("*" in p or p not in links) and (not main or "*" in p or "^" in p)
+    out = {"pattern": " ".join(i.pattern() for i in wrapper), "enough": total >= LEAST_PAGES * UNIT - SLACK, "main": main, "rescue": rescue, "template": sorted(template), "links": sorted(links)}
+    out["content"] = sorted(p for p in {k[1:].removesuffix("@") for i in wrapper for k in i.slots()} if fits(p))
     if out["enough"] and not main:
-        keys, held = [i.key for i in wrapper], [0] * len(wrapper)
+        keys = expression({tuple(i.key for i in items) for items in whole})
+        held = np.zeros(len(keys), dtype=np.int64)
         for items in whole:
-            for i, j in matches(keys, [i.key for i in items]):
-                held[i] += sum(len(b.text) for b in items[j].blocks if varies(b) and (rescue or not b.marked))
-        out["keys"], out["stretch"] = keys, stretch(keys, held)
+            _hold(held, keys, items, lambda b: varies(b, template, links, b.place) and (rescue or not b.marked))
+        out["keys"], out["stretch"] = list(keys), stretch(list(keys), held.tolist())
     return out
 
 
+def _hold(held: np.ndarray, keys, items: list[Item], counts: Callable[[Block], bool], places: dict | None = None) -> None:
+    """Add a page's varying text to the tokens of the expression that hold it."""
+    own = tuple(i.key for i in items)
+    if places is None:
+        places = {}
+    if own not in places:
+        places[own] = matches(list(keys), list(own))
+    for i, j in places[own]:
+        held[i] += sum(len(b.text) for b in items[j].blocks if counts(b))
+
+
 def _in_stretch(items: list[Item], wrapper: dict) -> list[Item]:
     """The tokens of a page that lie in the wrapper's stretch: an unmatched one lies where the
     matched one before it does."""
     begin, end = wrapper["stretch"]
-    place, at, out = dict((j, i) for i, j in matches(wrapper["keys"], [i.key for i in items])), -1, []
+    own, known = tuple(i.key for i in items), wrapper.setdefault("known", {})
+    if own not in known:
+        if len(known) > 500:
+            known.clear()
+        known[own] = dict((j, i) for i, j in matches(wrapper["keys"], list(own)))
+    place, at, out = known[own], -1, []
     for j, item in enumerate(items):
         at = place.get(j, at)
         if begin <= at < end:
@@ -419,28 +508,37 @@ def _in_stretch(items: list[Item], wrapper: dict) -> list[Item]:
     return out
 
 
+def _in_template(wrapper: dict) -> Callable[[Block], bool]:
+    """Whether a block's text is template, told by texts or by their digests."""
+    if "digests" in wrapper:
+        return lambda b: bool(wrapper["digests"]) and digest(wrapper["host"], b.place) in wrapper["digests"]
+    template = set(wrapper["template"])
+    return lambda b: b.place in template
+
+
 def main_text(page: str, wrapper: dict | None = None) -> str:
     """The main text of a page, read with its host's wrapper; blocks joined by an empty line.
 
     Where articles decide on the host, blocks of the page's articles are kept; else the page is
     aligned with the expression, and what lies in its stretch of content and in no menu is kept. Left
     out are blocks whose text is template there, and those in regions that markup sets apart, or that
-    a class name marks, unless the slot is content. A page of such a host without an article, without
+    a class name marks, unless such regions hold the host's content. A page of such a host without an article, without
     a wrapper, with one from too few pages, or of which nothing is kept so, is read by tags and classes.
     """
     if wrapper and wrapper["enough"]:
-        content, template = set(wrapper["content"]), set(wrapper["template"])
-        keeps = lambda b: not b.apart and (not b.marked or b.path in content) and b.place not in template
+        repeated, links, rescue = _in_template(wrapper), wrapper["links"], wrapper["rescue"]
+        content = lambda b: rescue and (b.main or b.path not in links)
+        keeps = lambda b: not b.apart and (not b.marked or content(b)) and not repeated(b)
         if wrapper["main"]:
             found = blocks(page)
-            kept = [b for b in found if keeps(b) and (b.main or (b.marked and b.path in content))]
+            kept = [b for b in found if (b.main or (b.marked and content(b))) and keeps(b)]
         else:
             items = folded(page)
             found = [b for i in items for b in i.blocks]
             kept = [b for i in _in_stretch(items, wrapper) if not i.menu() for b in i.blocks if keeps(b)]
         if not kept:
             # A page of another structure than the sample's.
-            kept = [b for b in found if keeps(b) and not any(x.main for x in found) and b.path not in wrapper["links"]]
+            kept = [b for b in found if keeps(b) and not any(x.main for x in found) and b.path not in links]
         if kept:
             return "\n\n".join(b.text for b in kept)
     else:
@@ -454,68 +552,228 @@ def host_of(url: str = "url"):
     return F.lower(F.regexp_extract(F.coalesce(F.col(url), F.lit("")), r"^[^/?#]*?://(?:[^/?#@]*@)?([^/?#:]*)", 1))
 
 
-def wrappers(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
-    """(host, wrapper as JSON) from at most ``sample`` pages (page_id, url, html) of each host.
-
-    The sample has, for each of ``sample`` hash classes, the page whose hash is least: an aggregate
-    with partial results over ids and hosts, so a host of any size gives each task a few rows.
-    Pages without id or html are not sampled.
+def _places(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """For each page (host, html) its id and its places as digests, telling ones first; then, for the
+    paths of all pages of a task, on how many pages they are, and are in menus."""
+    page_id, paths = TaskContext.get().partitionId() << 40, {}
+
+    def counted():
+        rows = [(host, path, n, menus) for (host, path), (n, menus) in paths.items()]
+        paths.clear()
+        empty = [None] * len(rows)
+        return rebatch({"id": empty, "telling": empty, "places": empty} | {k: [r[i] for r in rows] for i, k in enumerate(("host", "path", "n", "menus"))}, _PLACES)
+
+    for batch in batches:
+        for a, b in slices(np.diff(ft.utf8(batch.column("html"))[1])):
+            part = batch.slice(a, b - a)
+            ids, telling_, places = [], [], []
+            for host, page in zip(part.column("host").to_pylist(), text_list(part.column("html")), strict=True):
+                items = folded(page)
+                found = [x for i in items for x in i.blocks]
+                own = {x.place for x in telling(found)}
+                ids.append(page_id)
+                telling_.append(len(own))
+                places.append([digest(host, x) for x in [*own, *({x.place for x in found} - own)]])
+                page_id += 1
+                for path, menu in slot_paths(items).items():
+                    n = paths.setdefault((host, path), [0, 0])
+                    n[0] += 1
+                    n[1] += menu
+            empty = [None] * len(ids)
+            yield rebatch({"host": part.column("host"), "id": ids, "telling": telling_, "places": places, "path": empty, "n": empty, "menus": empty}, _PLACES)
+            if len(paths) > HELD:
+                yield counted()
+    yield counted()
+
+
+_PLACES = pa.schema([("host", pa.string()), ("id", pa.int64()), ("telling", pa.int64()), ("places", pa.list_(pa.int64())), ("path", pa.string()), ("n", pa.int64()), ("menus", pa.int64())])
+
+
+def _repeats(pages: DataFrame) -> DataFrame:
+    """(host, digests, links) of the hosts whose pages (host, html) are enough to tell."""
+    told = materialize(pages.mapInArrow(_places, "host string, id long, telling long, places array<long>, path string, n long, menus long"))
+    # Pages that nothing tells from others weigh nothing.
+    own = told.where("telling > 0").withColumn("h", F.xxhash64("host"))
+    each = own.select("id", "h", "telling", F.posexplode("places").alias("pos", "place"))
+    # A place that one page alone has says nothing more; the others meet their counts.
+    common = each.groupBy("place").agg(F.count("*").alias("n")).where("n > 1")
+    met = materialize(each.join(common, "place").select("id", "h", "place", "n", (F.col("pos") < F.col("telling")).alias("own"), "telling"))
+    counts = met.where("own").groupBy("id").agg(F.sort_array(F.collect_list("n")).alias("c"), F.first("telling").alias("telling"))
+    at = F.floor((F.col("telling") + 1) / 2) - 1 - (F.col("telling") - F.size("c"))
+    copies = materialize(counts.where(at >= 0).select("id", F.expr(f"{UNIT}L div c[int(floor((telling + 1) / 2) - 1 - (telling - size(c)))]").alias("weight")))
+    weight = F.coalesce("weight", F.lit(UNIT))
+    total = own.select("id", "h", "host").join(copies, "id", "left").groupBy("h", "host").agg(F.sum(weight).alias("total")).where(F.col("total") >= LEAST_PAGES * UNIT - SLACK)
+    total = materialize(total)
+    weighed = met.where(F.col("n") >= LEAST_PAGES).join(copies, "id", "left").groupBy("h", "place").agg(F.sum(weight).alias("w")).where(F.col("w") >= LEAST_PAGES * UNIT - SLACK)
+    template = weighed.join(total, "h").where(2 * F.col("w") + SLACK >= F.col("total")).groupBy("host").agg(F.collect_list("place").alias("digests"))
+    paths = told.where("path is not null").groupBy("host", "path").agg(F.sum("n").alias("n"), F.sum("menus").alias("menus"))
+    links = paths.where("menus > 0 and 2 * menus >= n").groupBy("host").agg(F.collect_list("path").alias("links"))
+    none = lambda c, kind: F.coalesce(c, F.array().cast(f"array<{kind}>")).alias(c)
+    return total.select("host").join(template, "host", "left").join(links, "host", "left").select("host", none("digests", "long"), none("links", "string"))
+
+
+def _read(pages: DataFrame, learned: DataFrame, each: Callable, schema: str) -> DataFrame:
+    """``each`` on pairs of a batch of ``pages`` (host, html, ...) and its rows' wrappers, or None.
+
+    ``learned`` is (host, wrapper as JSON). Wrappers are broadcast behind a check of their size;
+    beyond it pages are joined with them by host, and Spark may split the hosts with most pages.
     """
-    draw = F.xxhash64("page_id", F.lit(3))
-    ids = pages.where("page_id is not null and html is not null").select("page_id", host_of().alias("host"), draw.alias("draw"))
-    chosen = ids.groupBy("host", F.pmod("draw", F.lit(sample)).alias("k")).agg(F.min(F.struct("draw", "page_id")).alias("c"))
-    chosen = materialize(chosen.select(F.col("c.page_id").alias("page_id")).distinct())
-    picked = pages.join(chosen, "page_id", "left_semi").select("page_id", host_of().alias("host"), "html")
-
-    def run(frame: pd.DataFrame) -> pd.DataFrame:
-        frame = frame.sort_values(["page_id", "html"]).drop_duplicates("page_id")
-        learned = infer(list(frame["html"]))
-        del learned["pattern"]
-        return pd.DataFrame({"host": [frame["host"].iloc[0]], "wrapper": [json.dumps(learned, ensure_ascii=False)]})
-
-    return picked.groupBy("host").applyInPandas(run, "host string, wrapper string")
-
-
-_RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
-
-
-def extract(pages: DataFrame, sample: int = SAMPLE_PAGES) -> DataFrame:
-    """page_id, url, text, n_chars: the main text of every whole page of ``pages``.
-
-    Null or empty html: empty text. A page of a host without a wrapper (null url, or no page with
-    an id) is read by tags and classes alone. Repeated rows are read each. No rows: no rows. Other
-    columns of ``pages`` are ignored. Wrappers are broadcast behind a check of their size; beyond
-    it pages are joined with them by host, and Spark may split the hosts with most pages.
-    """
-    spark = pages.sparkSession
-    short_batches(spark)
-    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html"))
-    learned = materialize(wrappers(pages, sample))
     size = learned.agg(F.sum(F.length("wrapper") + F.length("host") + 64)).first()[0] or 0
-    placed = pages.withColumn("host", host_of())
     shared = None
     if size <= BROADCAST_CHARS:
-        shared = spark.sparkContext.broadcast({r["host"]: r["wrapper"] for r in learned.collect()})
+        shared = pages.sparkSession.sparkContext.broadcast({r["host"]: r["wrapper"] for r in learned.collect()})
     else:
-        placed = placed.join(learned, "host", "left")
+        pages = pages.join(learned, "host", "left")
 
-    def run(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    def pairs(batches: Iterator[pa.RecordBatch]) -> Iterator[tuple[pa.RecordBatch, list[dict | None]]]:
         known: dict[str, dict] = {}
         for batch in batches:
-            column = batch.column("html")
-            for a, b in slices(np.diff(ft.utf8(column)[1])):
+            for a, b in slices(np.diff(ft.utf8(batch.column("html"))[1])):
                 part = batch.slice(a, b - a)
-                given = part.column("wrapper").to_pylist() if shared is None else map(shared.value.get, part.column("host").to_pylist())
-                texts = []
-                for page, wrapper in zip(text_list(part.column("html")), given, strict=True):
+                given = part.column("wrapper").to_pylist() if shared is None else [shared.value.get(h) for h in part.column("host").to_pylist()]
+                out = []
+                for wrapper in given:
                     if wrapper is not None and wrapper not in known:
                         if len(known) > 2000:
                             known.clear()
                         known[wrapper] = json.loads(wrapper)
-                    texts.append(main_text(page, known.get(wrapper)))
-                yield rebatch({"page_id": part.column("page_id"), "url": part.column("url"), "text": texts, "n_chars": [len(t) for t in texts]}, _RESULT)
+                        for k in ("digests", "links"):
+                            known[wrapper][k] = frozenset(known[wrapper][k])
+                    out.append(known.get(wrapper))
+                yield part, out
+
+    return pages.mapInArrow(lambda batches: each(pairs(batches)), schema)
+
+
+def _masses(pairs) -> Iterator[pa.RecordBatch]:
+    """The varying text of a task's pages by host, in marked regions, in articles and elsewhere."""
+    mass: dict[str, list[int]] = {}
+    for part, wrappers_ in pairs:
+        for page, wrapper in zip(text_list(part.column("html")), wrappers_, strict=True):
+            if wrapper:
+                own, repeated = mass.setdefault(wrapper["host"], [0, 0, 0]), _in_template(wrapper)
+                for b in blocks(page):
+                    if not b.apart and (b.main or b.path not in wrapper["links"]) and not repeated(b):
+                        own[0 if b.marked else 1 if b.main else 2] += len(b.text)
+    names = ("marked", "main", "open")
+    yield rebatch({"host": list(mass)} | {k: [m[i] for m in mass.values()] for i, k in enumerate(names)}, pa.schema([("host", pa.string()), *((k, pa.int64()) for k in names)]))
+
+
+_KEYS = pa.schema([("host", pa.string()), ("k", pa.int64()), ("len", pa.int64()), ("digest", pa.int64()), ("keys", pa.list_(pa.string()))])
+
+
+def _structures(pairs) -> Iterator[pa.RecordBatch]:
+    """The different structures of a task's pages."""
+    seen: set[tuple[str, int]] = set()
+    for part, wrappers_ in pairs:
+        rows = []
+        for page, wrapper in zip(text_list(part.column("html")), wrappers_, strict=True):
+            if wrapper:
+                keys = tuple(i.key for i in folded(page))
+                order = structure_class(keys)
+                if (wrapper["host"], order[2]) not in seen:
+                    if len(seen) > HELD:
+                        seen.clear()
+                    seen.add((wrapper["host"], order[2]))
+                    rows.append((wrapper["host"], *order, list(keys)))
+        yield rebatch({f.name: [r[i] for r in rows] for i, f in enumerate(_KEYS)}, _KEYS)
+
+
+def _by_class(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+    """One expression for each class of a host, from rows sorted by host, class and order."""
+    now, keys = None, ()
+    done = lambda: rebatch({"host": [now[0]], "k": [now[1]], "len": [0], "digest": [0], "keys": [list(keys)]}, _KEYS)
+    for batch in batches:
+        for host, k, more in zip(*(batch.column(c).to_pylist() for c in ("host", "k", "keys")), strict=True):
+            if (host, k) != now:
+                if now:
+                    yield done()
+                now, keys = (host, k), ()
+            keys = grown(keys, tuple(more))
+    if now:
+        yield done()
+
+
+def _held(pairs) -> Iterator[pa.RecordBatch]:
+    """The varying text of a task's pages by host and token of its expression."""
+    held: dict[str, np.ndarray] = {}
+    places: dict[str, dict] = {}
+    for part, wrappers_ in pairs:
+        for page, wrapper in zip(text_list(part.column("html")), wrappers_, strict=True):
+            if wrapper:
+                host, repeated = wrapper["host"], _in_template(wrapper)
+                own = held.setdefault(host, np.zeros(len(wrapper["keys"]), dtype=np.int64))
+                known = places.setdefault(host, {})
+                if len(known) > 500:
+                    known.clear()
+                _hold(own, wrapper["keys"], folded(page), lambda b: not b.apart and (wrapper["rescue"] or not b.marked) and (b.main or b.path not in wrapper["links"]) and not repeated(b), known)  # noqa: B023
+    for host, own in held.items():
+        yield rebatch({"host": [host] * len(own), "at": range(len(own)), "mass": own}, pa.schema([("host", pa.string()), ("at", pa.int64()), ("mass", pa.int64())]))
+
+
+def _stretches(pages: DataFrame, learned: DataFrame) -> DataFrame:
+    """(host, keys, stretch) of hosts where articles do not decide: the expression of all structures of
+    all pages, aligned by classes, and the stretch of it that holds the bulk of all varying text."""
+    as_json = lambda rows: rows.select("host", F.to_json(F.struct(*rows.columns)).alias("wrapper"))
+    kinds = "host string, k long, len long, digest long, keys array<string>"
+    met = pages.join(learned.select("host"), "host", "left_semi")
+    found = materialize(_read(met, as_json(learned), _structures, kinds)).dropDuplicates(["host", "digest"])
+    dealt = found.repartition("host", "k").sortWithinPartitions("host", "k", "len", "digest")
+    parts = dealt.mapInArrow(_by_class, kinds)
+
+    def whole(frame: pd.DataFrame) -> pd.DataFrame:
+        keys = joined({int(k): tuple(keys) for k, keys in zip(frame["k"], frame["keys"], strict=True)})
+        return pd.DataFrame({"host": [frame["host"].iloc[0]], "keys": [list(keys)]})
+
+    keyed = materialize(parts.groupBy("host").applyInPandas(whole, "host string, keys array<string>"))
+    held = _read(met, as_json(learned.join(keyed, "host")), _held, "host string, at long, mass long").groupBy("host", "at").agg(F.sum("mass").alias("mass"))
+    lists = held.groupBy("host").agg(F.sort_array(F.collect_list(F.struct("at", "mass"))).alias("m")).select("host", F.col("m.mass").alias("mass"))
+
+    def placed(frame: pd.DataFrame) -> pd.DataFrame:
+        ends = [list(stretch(list(keys), [int(m) for m in mass])) for keys, mass in zip(frame["keys"], frame["mass"], strict=True)]
+        return pd.DataFrame({"host": frame["host"], "keys": frame["keys"], "stretch": ends})
+
+    return keyed.join(lists, "host").mapInPandas(lambda frames: map(placed, frames), "host string, keys array<string>, stretch array<long>")
+
+
+def wrappers(pages: DataFrame) -> DataFrame:
+    """(host, wrapper as JSON) from all pages (host, html) with html, of hosts that have enough.
+
+    What ``infer`` says of a list, with digests for the template's texts. Three readings: what pages
+    have alike, by aggregates over digests; where the varying text lies; and only for hosts where
+    articles do not decide, the expression and its stretch.
+    """
+    pages = pages.where("html is not null").select("host", "html")
+    as_json = lambda rows: rows.select("host", F.to_json(F.struct(*rows.columns)).alias("wrapper"))
+    alike = materialize(_repeats(pages))
+    mass = _read(pages, as_json(alike), _masses, "host string, marked long, main long, open long").groupBy("host").agg(*[F.sum(c).alias(c) for c in ("marked", "main", "open")])
+    decide = F.udf(lambda a, b, c: decisions(a or 0, b or 0, c or 0), "struct<main: boolean, rescue: boolean>")
+    learned = alike.join(mass, "host", "left").withColumn("d", decide("marked", "main", "open"))
+    learned = materialize(learned.select("host", F.lit(True).alias("enough"), "digests", "links", "d.main", "d.rescue"))
+    if not learned.where("not main").isEmpty():
+        learned = learned.join(_stretches(pages, learned.where("not main")), "host", "left")
+    return as_json(learned)
+
 
-    return placed.mapInArrow(run, "page_id long, url string, text string, n_chars long")
+def _texts(pairs) -> Iterator[pa.RecordBatch]:
+    for part, wrappers_ in pairs:
+        texts = [main_text(page, wrapper) for page, wrapper in zip(text_list(part.column("html")), wrappers_, strict=True)]
+        yield rebatch({"page_id": part.column("page_id"), "url": part.column("url"), "text": texts, "n_chars": [len(t) for t in texts]}, _RESULT)
+
+
+_RESULT = pa.schema([("page_id", pa.int64()), ("url", pa.string()), ("text", pa.string()), ("n_chars", pa.int64())])
+
+
+def extract(pages: DataFrame) -> DataFrame:
+    """page_id, url, text, n_chars: the main text of every whole page of ``pages``.
+
+    Null or empty html: empty text. A page of a host without a wrapper (too few different pages) is
+    read by tags and classes alone. Repeated rows are read each. No rows: no rows. Other columns of
+    ``pages`` are ignored.
+    """
+    short_batches(pages.sparkSession)
+    pages = pages.select(F.col("page_id").cast("long").alias("page_id"), F.col("url").cast("string").alias("url"), F.col("html").cast("string").alias("html")).withColumn("host", host_of())
+    return _read(pages, materialize(wrappers(pages)), _texts, "page_id long, url string, text string, n_chars long")
 
 
 def op3_html_extraction(spark, sf_dir):

@@ -557,6 +557,29 @@ def test_wrappers_that_are_joined_give_the_same(spark, data, monkeypatch):
     assert sorted(map(tuple, html_wrapper.extract(pages).collect())) == want
 
 
+def test_wrappers_count_all_pages(spark, monkeypatch):
+    """Lines on two and on three of five pages, copies of an article, a host without articles: as one reading of all pages says."""
+    rng, rows, want = random.Random(5), [], []
+    for k in range(300):
+        lines = [f"Line {j} of the house" for j in range(10) if rng.random() < (0.4 if j % 2 else 0.6)]
+        own = [f"Page {k} says {j}" for j in range(11)]
+        rows.append(("http://lines/", "<article>" + "".join(f"<p>{t}</p>" for t in [*lines, *own]) + "</article>"))
+        want.append("\n\n".join([t for t in lines if int(t.split()[1]) % 2] + own))
+    copied = ["<article><p>We may earn</p><p>News</p><p>of the day</p><p>and more</p></article>"] * 40
+    rows += [("http://copies/", p.replace("News", f"News {k}")) for k, p in enumerate([*copied, *(f"<article><p>We may earn</p><p>a{k}</p><p>b{k}</p></article>" for k in range(4))])]
+    body = lambda k: "".join(f"<p>Sentence {k} {j} tells something new.</p>" + f"<h2>Part {k} {j}</h2>" * (k >> j & 1) for j in range(3 + k % 5))
+    rows += [("http://plain/", f"<div>{'<li><a>m' + str(k) + '</a></li>' * 3}</div>" + f"<div>Offer {k}</div>" * (k % 2) + f"<div><p>Read our terms</p>{body(k)}</div><div>Seen by {k}</div>") for k in range(90)]
+    pages = spark.createDataFrame([(k, u + str(k), p) for k, (u, p) in enumerate(rows)], "page_id long, url string, html string").repartition(7)
+    hosts = {u for u, _ in rows}
+    learned = {u: html_wrapper.infer([p for v, p in rows if v == u]) for u in hosts}
+    assert learned["http://lines/"]["main"] and not learned["http://plain/"]["main"]
+    for chars in (html_wrapper.BROADCAST_CHARS, -1):
+        monkeypatch.setattr(html_wrapper, "BROADCAST_CHARS", chars)
+        got = [r["text"] for r in html_wrapper.extract(pages).orderBy("page_id").collect()]
+        assert got[:300] == want and got == [html_wrapper.main_text(p, learned[u]) for u, p in rows]
+    assert got[340] == "a0\n\nb0" and "of the day" in got[300] and "Seen" not in got[-1] and "Read" not in got[-1] and got[-1].count("Sentence") == 7
+
+
 def test_extraction_matches_a_plain_reading(spark, data):
     import re
 
