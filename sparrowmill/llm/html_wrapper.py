@@ -299,6 +299,20 @@ def folded(page: str) -> list[Item]:
     return fold([Item(key, [block] if block else []) for key, block in stream(page)])
 
 
+def squeezed(keys: list[str], begin: int, end: int, shared: set, gap: int) -> tuple[list[int], list]:
+    """(places, keys) of a stretch where each run of keys that are not shared is one ``gap``: they match
+    nothing, and part what they stand between however many they are."""
+    at, out = [], []
+    for i in range(begin, end):
+        if keys[i] in shared:
+            at.append(i)
+            out.append(keys[i])
+        elif not out or out[-1] is not gap:
+            at.append(i)
+            out.append(gap)
+    return at, out
+
+
 def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
     """Rising pairs of equal places in two lists. Short lists are matched stretch by stretch; long
     ones are parted at the keys that both have once, and what cannot be parted so is left unmatched."""
@@ -314,8 +328,10 @@ def matches(a: list[str], b: list[str]) -> list[tuple[int, int]]:
         if a0 == a1 or b0 == b1:
             continue
         if (a1 - a0) * (b1 - b0) <= CELLS:
-            for i, j, n in SequenceMatcher(None, a[a0:a1], b[b0:b1], autojunk=False).get_matching_blocks():
-                out += [(a0 + i + k, b0 + j + k) for k in range(n)]
+            at, own = squeezed(a, a0, a1, set(b[b0:b1]), 0)
+            to, other = squeezed(b, b0, b1, set(own), 1)
+            for i, j, n in SequenceMatcher(None, own, other, autojunk=False).get_matching_blocks():
+                out += [(at[i + k], to[j + k]) for k in range(n)]
             continue
         once = [{k: at for k, at in zip(x, range(lo, hi), strict=True) if n[k] == 1} for x, lo, hi in ((a[a0:a1], a0, a1), (b[b0:b1], b0, b1)) for n in (Counter(x),)]
         chain = increasing_chain([(i, once[1][k]) for k, i in once[0].items() if k in once[1]])

@@ -550,6 +550,23 @@ def test_long_streams_are_aligned_in_bounded_time():
     assert html_wrapper.infer([varied, varied[50_000:], "<p>x"])["pattern"] and time.perf_counter() - began < 90
 
 
+def test_long_expressions_are_matched_as_stretches_are():
+    import time
+    from difflib import SequenceMatcher
+
+    rng = random.Random(8)
+    for size in (3, 8, 30, 60):
+        for _ in range(50):
+            a, b = ([rng.choice("pqrst") if rng.random() < 0.5 else f"{side}{i}" for i in range(size)] for side in "ab")
+            a[0], b[0], a[-1], b[-1] = "a", "b", "A", "B"
+            assert html_wrapper.matches(a, b) == [(i + k, j + k) for i, j, n in SequenceMatcher(None, a, b, autojunk=False).get_matching_blocks() for k in range(n)]
+    a = [f"k{i // 2}" if i % 2 else "p" * (i % 500 == 0) + f"n{i}" for i in range(26_000)]
+    b, began = ["x", *a[1:26_000:1300], "y"], time.perf_counter()
+    for _ in range(20):
+        assert len(html_wrapper.matches(a, b)) == len(b) - 2
+    assert time.perf_counter() - began < 1.5
+
+
 def test_wrappers_that_are_joined_give_the_same(spark, data, monkeypatch):
     pages = spark.read.parquet(f"{data}/pages.parquet").withColumn("extra", F.lit(1)).withColumn("host", F.lit("h"))
     want = sorted(map(tuple, html_wrapper.extract(pages).collect()))
